@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foreshock.functions.expr import literal_table
 from foreshock.session import ensure_utc
 
 # The five bands in order (f0..f4).
@@ -45,7 +46,5 @@ def samples(spark: SparkSession, sf_dir: str, series: str = "'all'") -> DataFram
 
 def event_dates(spark: SparkSession, dates: list[str] | None = None) -> DataFrame:
     ensure_utc(spark)
-    rows = [("all", d) for d in (EVENT_DATES if dates is None else dates)]
-    return spark.createDataFrame(rows, "series string, d string").select(
-        "series", F.to_date("d").alias("event_date")
-    )
+    days = literal_table(spark, "d", EVENT_DATES if dates is None else dates)
+    return days.select(F.lit("all").alias("series"), F.to_date("d").alias("event_date"))

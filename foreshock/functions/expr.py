@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
@@ -92,3 +92,8 @@ def lerp(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Linear interpolation at ``x``; copies the known side when one is missing."""
     inner = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / F.nullif(x1 - x0, F.lit(0.0)))
     return F.when(y0.isNull(), y1).when(y1.isNull(), y0).otherwise(inner)
+
+
+def literal_table(spark: SparkSession, name: str, values: Sequence[object]) -> DataFrame:
+    """One-column table of a short list of constants, without a Python worker."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
