@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.functions.expr import rounded
+from foreshock.functions.reuse import release
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Every query starts cold: nothing persisted for an earlier one is reused.
+            release()
             return finish(fn(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__

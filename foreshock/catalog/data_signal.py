@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.catalog.base import BAND_CASE, FILL, cte, oracle, query
+from foreshock.functions.reuse import keep
 from foreshock.operators import checks, gaps, signal
 from foreshock.plans.tremor import filled_rsam
 from foreshock.sources import archive, tables
@@ -23,7 +24,7 @@ def rsam_wide(spark, sf):
 def long_cells(spark, sf):
     s = B.samples(spark, sf)
     cells = signal.rsam(s, H).select("series", signal.band_metric(BANDS).alias("metric"), "ts", "v")
-    return signal.on_grid(cells, s, H, B.RSAM_METRICS)
+    return signal.on_grid(keep(cells), H, B.RSAM_METRICS)
 
 
 WIDE_COLS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN v END) AS {m}" for m in B.RSAM_METRICS)

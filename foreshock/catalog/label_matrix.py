@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.catalog.base import cte, oracle, query
+from foreshock.functions.expr import window_start
 from foreshock.operators import labels as L
 from foreshock.operators import lookback
 from foreshock.plans.tremor import filled_rsam
@@ -34,7 +35,7 @@ def observed(spark, sf):
     """Rows of the label table that tie label queries to the events: 6-hour cells with samples."""
     return (
         B.samples(spark, sf)
-        .groupBy("series", F.window("ts", f"{STEP_S} seconds").start.alias("ts"))
+        .groupBy("series", window_start("ts", STEP_S).alias("ts"))
         .agg(F.count("*").alias("n_samples"))
     )
 

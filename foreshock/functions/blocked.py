@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.expr import col
+from foreshock.functions.reuse import join_back, keep
 
 
 def time_block(ts: str | Column, unit: str = "month") -> Column:
@@ -37,7 +38,7 @@ def carry_back(
     out = df.withColumn("_rn", F.row_number().over(inside))
     for c in cols:
         out = out.withColumn(f"prev_{c}", F.lag(c).over(inside))
-    out = out.join(carried, [*keys, block], "left")
+    out = join_back(out, carried, [*keys, block], "left")
     for c in cols:
         out = out.withColumn(
             f"prev_{c}", F.when(F.col("_rn") == 1, F.col(f"_carry.{c}")).otherwise(F.col(f"prev_{c}"))
@@ -57,7 +58,7 @@ def running_sum(
         *keys, block, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     out = df.select("*", *[F.sum(e).over(inside).alias(f"_c_{n}") for n, e in sums.items()])
-    out = out.join(offsets, [*keys, block])
+    out = join_back(out, offsets, [*keys, block])
     return out.select(
         *df.columns, *[(F.col(f"_c_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
     )
@@ -90,7 +91,8 @@ def neighbours(
         "*",
         F.last(point, ignorenulls=True).over(upto).alias("_lo"),
         F.first(point, ignorenulls=True).over(onward).alias("_hi"),
-    ).join(edges, [*keys, block], "left")
+    )
+    out = join_back(out, edges, [*keys, block], "left")
     lo, hi = F.coalesce("_lo", "_back"), F.coalesce("_hi", "_fwd")
     return out.select(
         *df.columns,
@@ -126,20 +128,20 @@ def value_histogram(
     Ties collapse into one row by a combining aggregate.  The distinct values of
     a key are then cut into about ``slices`` ranges at approximate quantiles, so
     no task sorts a whole key; the cuts decide only where work is split, never
-    the result.  For every entry of ``counts`` the output has ``<name>`` (total
+    the result.  The histogram is read several times and therefore persisted.  For every entry of ``counts`` the output has ``<name>`` (total
     at this value) and ``<name>_before`` (total over smaller values), and
     ``<name>_all`` (total of the key).
     """
     keys = list(keys)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        *[F.sum(e).alias(n) for n, e in counts.items()]
+    hist = keep(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in counts.items()])
     )
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = hist.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, F.lit(slices * 10)).alias("_cuts"),
     )
     v = F.col(value).cast("double")
-    cut = hist.join(cuts, keys) if keys else hist.crossJoin(F.broadcast(cuts))
+    cut = join_back(hist, cuts, keys) if keys else hist.crossJoin(F.broadcast(cuts))
     cut = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
     totals = cut.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in counts])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,7 +154,7 @@ def value_histogram(
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(n).over(inside).alias(f"_c_{n}") for n in counts])
-    return local.join(offsets, [*keys, "_slice"]).select(
+    return join_back(local, offsets, [*keys, "_slice"]).select(
         *keys,
         value,
         *[c for n in counts for c in (

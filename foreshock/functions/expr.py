@@ -82,10 +82,22 @@ def check_divides_day(seconds: int) -> None:
         raise ValueError(f"window of {seconds} s must divide a day")
 
 
+# Modulus and multipliers of the order key (largest prime below 2^31).
+KEY_MODULUS = 2147483647
+KEY_STEP, KEY_SEED_STEP, KEY_MIX = 48271, 69621, 16807
+
+
 def shuffle_key(id_col: str | Column, seed: int | str | Column) -> Column:
-    """Deterministic pseudo-random order key of an id under a seed."""
-    seed = F.lit(seed) if isinstance(seed, int) else col(seed)
-    return (col(id_col) * F.lit(48271) + seed * F.lit(69621) + F.lit(11)) * F.lit(16807) % F.lit(2147483647)
+    """Deterministic pseudo-random order key of an id under a seed, in [0, 2^31 - 1).
+
+    Plain integer arithmetic, so any engine gives the same order; every product
+    stays below 2^63.
+    """
+    m = F.lit(KEY_MODULUS).cast("long")
+    seed = (F.lit(seed) if isinstance(seed, int) else col(seed)).cast("long")
+    factor = (F.pmod(seed, m) * F.lit(KEY_SEED_STEP) + F.lit(KEY_STEP)) % m
+    first = ((F.pmod(col(id_col).cast("long"), m) + F.lit(1)) * factor) % m
+    return (first * F.lit(KEY_MIX) + F.lit(11)) % m
 
 
 def lerp(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

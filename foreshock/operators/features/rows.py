@@ -1,19 +1,19 @@
 """Calculators that are one aggregate over a slice and its neighbour columns.
 
 All of them share one shuffle by (series, id, metric): the window columns are
-added once, and the single aggregation reuses the same partitioning.  Unused
-window columns are pruned by the optimizer.
+added once, and the single aggregation reuses the same partitioning.  The
+calculators are SQL expressions, so only the columns a wanted calculator names
+are added at all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.functions.expr import safe_divide
-
 KEYS = ["series", "id", "metric"]
 MAX_LAG = 40
 
@@ -31,187 +31,180 @@ VALUE_COUNTS = [-1, 0, 1]
 N_ABS_MAX = 7
 SEGMENTS = 10
 
-def _share(cond: Column) -> Column:
-    return F.avg(F.when(cond, 1.0).otherwise(0.0))
-
-
-def _count(cond: Column) -> Column:
-    return F.sum(F.when(cond, 1.0).otherwise(0.0))
-
-
-def _flag(cond: Column) -> Column:
-    return F.when(cond, 1.0).otherwise(0.0)
-
-
-def prepare(matrix: DataFrame) -> DataFrame:
-    """Add the statistics, neighbours and running columns the calculators read."""
-    whole = Window.partitionBy(*KEYS)
-    order = whole.orderBy("pos")
-    quantile = {f"q{int(q * 100)}": F.percentile("v", F.lit(q)).over(whole) for q in CORRIDOR}
-    base = matrix.withColumns(
-        {
-            "m": F.avg("v").over(whole),
-            "sd": F.stddev_pop("v").over(whole),
-            "mn": F.min("v").over(whole),
-            "mx": F.max("v").over(whole),
-            "med": F.percentile("v", F.lit(0.5)).over(whole),
-            "t0": F.min("ts").over(whole),
-            **quantile,
-            "mass": F.sum(F.abs("v")).over(whole),
-            "run_mass": F.sum(F.abs("v")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "mag_rank": F.row_number().over(whole.orderBy(F.abs("v").desc(), "pos")),
-            **{f"next{i}": F.lead("v", i).over(order) for i in range(1, 7)},
-            **{f"peak_l{k}": F.max("v").over(order.rowsBetween(-k, -1)) for k in PEAKS},
-            **{f"peak_r{k}": F.max("v").over(order.rowsBetween(1, k)) for k in PEAKS},
-        }
-    )
-    return base.withColumns(
-        {
-            "d": F.col("next1") - F.col("v"),
-            "hours": (F.unix_micros("ts") - F.unix_micros("t0")) / F.lit(3.6e9),
-            "above": F.col("v") > F.col("m"),
-            "below": F.col("v") < F.col("m"),
-        }
-    )
+WHOLE = "(partition by series, id, metric)"
+ORDER = "(partition by series, id, metric order by pos)"
+
+
+def _rows(first: str, last: str, order: str = "pos") -> str:
+    return f"(partition by series, id, metric order by {order} rows between {first} and {last})"
+
+
+def window_columns() -> dict[str, str]:
+    """Statistics, neighbours and running values of a slice, by column name."""
+    cols = {
+        "m": f"avg(v) over {WHOLE}",
+        "sd": f"stddev_pop(v) over {WHOLE}",
+        "mn": f"min(v) over {WHOLE}",
+        "mx": f"max(v) over {WHOLE}",
+        "t0": f"min(ts) over {WHOLE}",
+        "mass": f"sum(abs(v)) over {WHOLE}",
+        "run_mass": f"sum(abs(v)) over {_rows('unbounded preceding', 'current row')}",
+        "mag_rank": "row_number() over (partition by series, id, metric order by abs(v) desc, pos)",
+    }
+    for q in CORRIDOR:
+        cols[f"q{int(q * 100)}"] = f"percentile(v, {q}) over {WHOLE}"
+    for i in range(1, 7):
+        cols[f"next{i}"] = f"lead(v, {i}) over {ORDER}"
+    for k in PEAKS:
+        cols[f"peak_l{k}"] = f"max(v) over {_rows(f'{k} preceding', '1 preceding')}"
+        cols[f"peak_r{k}"] = f"max(v) over {_rows('1 following', f'{k} following')}"
+    return cols
+
+
+HOURS = "((unix_micros(ts) - unix_micros(t0)) / 3.6e9D)"
+STEP = "(next1 - v)"
+
 
+def share(cond: str) -> str:
+    return f"avg(case when {cond} then 1D else 0D end)"
 
-def _moments() -> dict[str, Column]:
-    v = F.col("v")
-    sd, mean = F.stddev_pop("v"), F.avg("v")
-    c = F.count("v")
-    spread = F.max("v") - F.min("v")
-    g1 = F.skewness("v") * F.sqrt(c * (c - 1)) / (c - 2)
-    g2 = (c - 1) / ((c - 2) * (c - 3)) * ((c + 1) * F.kurtosis("v") + 6)
+
+def count(cond: str) -> str:
+    return f"sum(case when {cond} then 1D else 0D end)"
+
+
+def flag(cond: str) -> str:
+    return f"case when {cond} then 1D else 0D end"
+
+
+def _moments() -> dict[str, str]:
+    c, sd, spread, med = "count(v)", "stddev_pop(v)", "(max(v) - min(v))", "percentile(v, 0.5D)"
+    g1 = f"skewness(v) * sqrt({c} * ({c} - 1)) / ({c} - 2)"
+    g2 = f"({c} - 1) / (({c} - 2) * ({c} - 3)) * (({c} + 1) * kurtosis(v) + 6)"
     out = {
-        "sum_values": F.sum("v"),
-        "mean": mean,
-        "maximum": F.max("v"),
-        "minimum": F.min("v"),
-        "median": F.percentile("v", F.lit(0.5)),
-        "length": c.cast("double"),
-        "abs_energy": F.sum(v * v),
-        "absolute_maximum": F.max(F.abs(v)),
-        "root_mean_square": F.sqrt(F.avg(v * v)),
-        "variance": F.var_pop("v"),
+        "sum_values": "sum(v)",
+        "mean": "avg(v)",
+        "maximum": "max(v)",
+        "minimum": "min(v)",
+        "median": med,
+        "length": f"double({c})",
+        "abs_energy": "sum(v * v)",
+        "absolute_maximum": "max(abs(v))",
+        "root_mean_square": "sqrt(avg(v * v))",
+        "variance": "var_pop(v)",
         "standard_deviation": sd,
-        "variation_coefficient": safe_divide(sd, mean),
-        "variance_larger_than_standard_deviation": _flag(F.var_pop("v") > sd),
-        "skewness": F.when(sd > 0, g1).otherwise(0.0),
-        "kurtosis": F.when(sd > 0, g2).otherwise(0.0),
+        "variation_coefficient": f"{sd} / nullif(avg(v), 0D)",
+        "variance_larger_than_standard_deviation": flag(f"var_pop(v) > {sd}"),
+        "skewness": f"case when {sd} > 0 and {c} > 2 then {g1} when {c} > 2 then 0D end",
+        "kurtosis": f"case when {sd} > 0 and {c} > 3 then {g2} when {c} > 3 then 0D end",
     }
     for r in LSD_R:
-        out[f"large_standard_deviation__r_{r}"] = _flag(sd > F.lit(r) * spread)
+        out[f"large_standard_deviation__r_{r}"] = flag(f"{sd} > {r}D * {spread}")
     for r in SYMMETRY_R:
-        out[f"symmetry_looking__r_{r}"] = _flag(F.abs(mean - F.percentile("v", F.lit(0.5))) < F.lit(r) * spread)
+        out[f"symmetry_looking__r_{r}"] = flag(f"abs(avg(v) - {med}) < {r}D * {spread}")
     for r in SIGMA_R:
-        out[f"ratio_beyond_r_sigma__r_{r}"] = _share(F.abs(v - F.col("m")) > F.lit(float(r)) * F.col("sd"))
+        out[f"ratio_beyond_r_sigma__r_{r}"] = share(f"abs(v - m) > {float(r)}D * sd")
     for q in QUANTILES:
-        out[f"quantile__q_{q}"] = F.percentile("v", F.lit(q))
+        out[f"quantile__q_{q}"] = f"percentile(v, {q}D)"
     return out
 
 
-def _changes() -> dict[str, Column]:
-    v, pos, n = F.col("v"), F.col("pos"), F.col("n")
-    d = F.col("d")
-    last, first = F.max_by("v", "pos"), F.min_by("v", "pos")
-    size = F.max("n")
-    second = F.max(F.when(pos == n - 1, v)) - F.max(F.when(pos == n - 2, v))
-    second = second - F.max(F.when(pos == 1, v)) + F.max(F.when(pos == 0, v))
-    cid = F.sqrt(F.sum(d * d))
-    sd = F.max("sd")
+def _changes() -> dict[str, str]:
+    def at(position: str) -> str:
+        return f"max(case when pos = {position} then v end)"
+
+    curve = f"({at('n - 1')} - {at('n - 2')} - {at('1')} + {at('0')})"
+    cid = f"sqrt(sum({STEP} * {STEP}))"
     out = {
-        "mean_abs_change": F.avg(F.abs(d)),
-        "mean_change": (last - first) / (size - 1),
-        "absolute_sum_of_changes": F.sum(F.abs(d)),
-        "mean_second_derivative_central": second / (F.lit(2.0) * (size - 2)),
+        "mean_abs_change": f"avg(abs({STEP}))",
+        "mean_change": "(max_by(v, pos) - min_by(v, pos)) / nullif(max(n) - 1, 0)",
+        "absolute_sum_of_changes": f"sum(abs({STEP}))",
+        "mean_second_derivative_central": f"{curve} / nullif(2D * (max(n) - 2), 0D)",
         "cid_ce__normalize_False": cid,
-        "cid_ce__normalize_True": F.when(sd > 0, cid / F.nullif(sd, F.lit(0.0))).otherwise(0.0),
+        "cid_ce__normalize_True": f"case when max(sd) > 0 then {cid} / nullif(max(sd), 0D) else 0D end",
     }
     for lag in (1, 2, 3):
-        a, b = F.col(f"next{lag}"), F.col(f"next{2 * lag}")
-        out[f"c3__lag_{lag}"] = F.avg(v * a * b)
-        out[f"time_reversal_asymmetry_statistic__lag_{lag}"] = F.avg(b * b * a - a * v * v)
+        a, b = f"next{lag}", f"next{2 * lag}"
+        out[f"c3__lag_{lag}"] = f"avg(v * {a} * {b})"
+        out[f"time_reversal_asymmetry_statistic__lag_{lag}"] = f"avg({b} * {b} * {a} - {a} * v * v)"
     for i, ql in enumerate(CORRIDOR):
         for qh in CORRIDOR[i + 1 :]:
-            lo, hi = F.col(f"q{int(ql * 100)}"), F.col(f"q{int(qh * 100)}")
-            inside = v.between(lo, hi) & F.col("next1").between(lo, hi)
+            lo, hi = f"q{int(ql * 100)}", f"q{int(qh * 100)}"
+            inside = f"v between {lo} and {hi} and next1 between {lo} and {hi}"
             for is_abs in (False, True):
-                step = F.when(inside, F.abs(d) if is_abs else d)
-                for agg, fn in (("mean", F.avg), ("var", F.var_pop)):
+                step = f"abs({STEP})" if is_abs else STEP
+                for agg, fn in (("mean", "avg"), ("var", "var_pop")):
                     name = f'change_quantiles__f_agg_"{agg}"__isabs_{is_abs}__qh_{qh}__ql_{ql}'
-                    out[name] = F.coalesce(fn(step), F.lit(0.0))
+                    out[name] = f"coalesce({fn}(case when {inside} then {step} end), 0D)"
     return out
 
 
-def _trends() -> dict[str, Column]:
-    pos = F.col("pos")
-    out: dict[str, Column] = {}
-    for calc, x in (("linear_trend", pos.cast("double")), ("linear_trend_timewise", F.col("hours"))):
-        c = F.count("v")
-        slope, r = F.regr_slope("v", x), F.corr("v", x)
-        out[f'{calc}__attr_"slope"'] = slope
-        out[f'{calc}__attr_"intercept"'] = F.regr_intercept("v", x)
-        out[f'{calc}__attr_"rvalue"'] = r
-        out[f'{calc}__attr_"stderr"'] = F.sqrt((1 - r * r) * F.var_pop("v") / F.var_pop(x) / (c - 2))
+def _trends() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for calc, x in (("linear_trend", "double(pos)"), ("linear_trend_timewise", HOURS)):
+        r = f"corr(v, {x})"
+        out[f'{calc}__attr_"slope"'] = f"regr_slope(v, {x})"
+        out[f'{calc}__attr_"intercept"'] = f"regr_intercept(v, {x})"
+        out[f'{calc}__attr_"rvalue"'] = f"nanvl({r}, null)"
+        out[f'{calc}__attr_"stderr"'] = (
+            f"sqrt((1 - {r} * {r}) * var_pop(v) / nullif(var_pop({x}), 0D) / nullif(count(v) - 2, 0))"
+        )
     return out
 
 
-def _counts() -> dict[str, Column]:
-    v, pos, n = F.col("v"), F.col("pos"), F.col("n")
+def _counts() -> dict[str, str]:
     out = {
-        "count_above__t_0": _share(v >= 0),
-        "count_below__t_0": _share(v <= 0),
-        "count_above_mean": _count(F.col("above")),
-        "count_below_mean": _count(F.col("below")),
+        "count_above__t_0": share("v >= 0"),
+        "count_below__t_0": share("v <= 0"),
+        "count_above_mean": count("v > m"),
+        "count_below_mean": count("v < m"),
+        "number_crossing_m__m_mean": count("(v > m) <> (next1 > m)"),
     }
     for a, b in RANGES:
-        out[f"range_count__max_{b}__min_{a}"] = _count((v >= a) & (v < b))
+        out[f"range_count__max_{b}__min_{a}"] = count(f"v >= {a} and v < {b}")
     for x in VALUE_COUNTS:
-        out[f"value_count__value_{x}"] = _count(v == x)
+        out[f"value_count__value_{x}"] = count(f"v = {x}")
     for m0 in CROSSINGS:
-        out[f"number_crossing_m__m_{m0}"] = _count((v > m0) != (F.col("next1") > m0))
-    out["number_crossing_m__m_mean"] = _count((v > F.col("m")) != (F.col("next1") > F.col("m")))
+        out[f"number_crossing_m__m_{m0}"] = count(f"(v > {m0}) <> (next1 > {m0})")
     for k in PEAKS:
-        inner = (pos >= k) & (pos <= n - 1 - k)
-        out[f"number_peaks__n_{k}"] = _count(inner & (v > F.col(f"peak_l{k}")) & (v > F.col(f"peak_r{k}")))
+        inner = f"pos >= {k} and pos <= n - 1 - {k}"
+        out[f"number_peaks__n_{k}"] = count(f"{inner} and v > peak_l{k} and v > peak_r{k}")
     return out
 
 
-def _locations() -> dict[str, Column]:
-    v, pos, n = F.col("v"), F.col("pos"), F.col("n")
-    at_max, at_min = v == F.col("mx"), v == F.col("mn")
+def segment(parts: int) -> str:
+    """Part of ``pos`` when ``n`` rows are split into near-equal parts, longer ones first."""
+    small = f"floor(n / {parts})"
+    longer = f"(n - {small} * {parts})"
+    edge = f"({longer} * ({small} + 1))"
+    return (
+        f"(case when pos < {edge} then floor(pos / ({small} + 1)) "
+        f"else {longer} + floor((pos - {edge}) / greatest({small}, 1)) end)"
+    )
+
+
+def _locations() -> dict[str, str]:
     out = {
-        "first_location_of_maximum": F.min(F.when(at_max, pos)) / F.max("n"),
-        "last_location_of_maximum": (F.max(F.when(at_max, pos)) + 1) / F.max("n"),
-        "first_location_of_minimum": F.min(F.when(at_min, pos)) / F.max("n"),
-        "last_location_of_minimum": (F.max(F.when(at_min, pos)) + 1) / F.max("n"),
-        "has_duplicate_max": _flag(_count(at_max) > 1),
-        "has_duplicate_min": _flag(_count(at_min) > 1),
-        f"mean_n_absolute_max__number_of_maxima_{N_ABS_MAX}": F.when(
-            F.max("n") > N_ABS_MAX, F.avg(F.when(F.col("mag_rank") <= N_ABS_MAX, F.abs("v")))
+        "first_location_of_maximum": "min(case when v = mx then pos end) / max(n)",
+        "last_location_of_maximum": "(max(case when v = mx then pos end) + 1) / max(n)",
+        "first_location_of_minimum": "min(case when v = mn then pos end) / max(n)",
+        "last_location_of_minimum": "(max(case when v = mn then pos end) + 1) / max(n)",
+        "has_duplicate_max": flag(f"{count('v = mx')} > 1"),
+        "has_duplicate_min": flag(f"{count('v = mn')} > 1"),
+        f"mean_n_absolute_max__number_of_maxima_{N_ABS_MAX}": (
+            f"case when max(n) > {N_ABS_MAX} then avg(case when mag_rank <= {N_ABS_MAX} then abs(v) end) end"
         ),
     }
     for q in QUANTILES:
-        reached = F.col("run_mass") >= F.lit(q) * F.col("mass")
-        out[f"index_mass_quantile__q_{q}"] = F.min(F.when(reached, pos + 1)) / F.max("n")
+        out[f"index_mass_quantile__q_{q}"] = f"min(case when run_mass >= {q}D * mass then pos + 1 end) / max(n)"
     for k in range(SEGMENTS):
-        in_segment = segment(pos, n, SEGMENTS) == k
-        part = F.sum(F.when(in_segment, v * v).otherwise(0.0))
-        out[f"energy_ratio_by_chunks__num_segments_{SEGMENTS}__segment_focus_{k}"] = safe_divide(part, F.sum(v * v))
+        out[f"energy_ratio_by_chunks__num_segments_{SEGMENTS}__segment_focus_{k}"] = (
+            f"sum(case when {segment(SEGMENTS)} = {k} then v * v else 0D end) / nullif(sum(v * v), 0D)"
+        )
     return out
 
 
-def segment(position: Column, size: Column, parts: int) -> Column:
-    """Part of a position when ``size`` rows are split into near-equal parts, longer ones first."""
-    small = F.floor(size / parts)
-    longer = size - small * parts
-    edge = longer * (small + 1)
-    return F.when(position < edge, F.floor(position / (small + 1))).otherwise(
-        longer + F.floor((position - edge) / F.greatest(small, F.lit(1)))
-    )
-
-
-FAMILIES: dict[str, Callable[[], dict[str, Column]]] = {
+FAMILIES: dict[str, Callable[[], dict[str, str]]] = {
     "moments": _moments,
     "changes": _changes,
     "trends": _trends,
@@ -227,17 +220,17 @@ def calculator_of(name: str) -> str:
 
 def to_long(wide: DataFrame, names: list[str]) -> DataFrame:
     """Unpivot feature columns to (series, id, feature, value)."""
-    cells = [
-        F.struct(F.concat("metric", F.lit("__" + c)).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"))
-        for c in names
-    ]
-    return wide.select("series", "id", F.inline(F.array(*cells)))
+    cells = ", ".join(f"concat(metric, '__{c}'), double(`{c}`)" for c in names)
+    return wide.selectExpr("series", "id", f"stack({len(names)}, {cells}) as (feature, value)")
 
 
 def aggregate_rows(matrix: DataFrame, wanted: Callable[[str], bool]) -> DataFrame | None:
     """All wanted row calculators in one aggregation, long form."""
-    aggs = {name: c for build in FAMILIES.values() for name, c in build().items() if wanted(name)}
+    aggs = {name: e for build in FAMILIES.values() for name, e in build().items() if wanted(name)}
     if not aggs:
         return None
-    wide = prepare(matrix).groupBy(*KEYS).agg(*[c.alias(name) for name, c in aggs.items()])
+    used = set(re.findall(r"[a-z_]+\d*", " ".join(aggs.values())))
+    windows = [f"{e} as {name}" for name, e in window_columns().items() if name in used]
+    prepared = matrix.selectExpr("*", *windows)
+    wide = prepared.groupBy(*KEYS).agg(*[F.expr(e).alias(name) for name, e in aggs.items()])
     return to_long(wide, list(aggs))

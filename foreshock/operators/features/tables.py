@@ -415,3 +415,26 @@ TABLES: dict[str, Callable[[DataFrame, Wanted], DataFrame | None]] = {
     "cwt": cwt_features,
     "cwt_peaks": cwt_peaks,
 }
+
+# Calculators of each family, so that a family nobody asked for is not built.
+CALCULATORS: dict[str, list[str]] = {
+    "autocorrelation": ["autocorrelation", "agg_autocorrelation", "partial_autocorrelation"],
+    "chunk_trend": ["agg_linear_trend"],
+    "repeats": [
+        "has_duplicate",
+        "percentage_of_reoccurring_datapoints_to_all_datapoints",
+        "percentage_of_reoccurring_values_to_all_values",
+        "sum_of_reoccurring_data_points",
+        "sum_of_reoccurring_values",
+        "ratio_value_number_to_time_series_length",
+    ],
+    "runs": ["longest_strike_above_mean", "longest_strike_below_mean"],
+    "binned_entropy": ["binned_entropy"],
+    "permutation_entropy": ["permutation_entropy"],
+    "benford": ["benford_correlation"],
+    "match_entropy": ["approximate_entropy", "sample_entropy"],
+    "fft": ["fft_coefficient", "fft_aggregated"],
+    "welch": ["spkt_welch_density", "fourier_entropy"],
+    "cwt": ["cwt_coefficients"],
+    "cwt_peaks": ["number_cwt_peaks"],
+}

@@ -18,6 +18,7 @@ from foreshock.functions.blocked import (
     with_halo,
 )
 from foreshock.functions.expr import epoch, lerp
+from foreshock.functions.reuse import join_back
 
 KEYS = ["series", "metric"]
 
@@ -37,10 +38,10 @@ def robust_anomalies(
         raise ValueError("threshold must be positive")
     keys = list(keys)
     med = df.groupBy(*keys).agg(F.median("v").alias("_med"))
-    dev = df.join(med, keys).withColumn("_dev", F.abs(F.col("v") - F.col("_med")))
+    dev = join_back(df, med, keys).withColumn("_dev", F.abs(F.col("v") - F.col("_med")))
     mad = dev.groupBy(*keys).agg(F.median("_dev").alias("_mad"))
     z = F.lit(0.6745) * F.col("_dev") / F.nullif("_mad", F.lit(0.0))
-    out = dev.join(mad, keys).withColumn(
+    out = join_back(dev, mad, keys).withColumn(
         "v", F.when(F.coalesce(z > F.lit(threshold), F.lit(False)), None).otherwise(F.col("v"))
     )
     out = out.select(*df.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.expr import literal_table
+from foreshock.functions.reuse import join_back
 from foreshock.operators.checks import day_bounds
 
 UNITS = {"minutes": 60, "hours": 3600}
@@ -78,7 +79,7 @@ def require_positive(labels: DataFrame) -> DataFrame:
     checked = state.withColumn(
         "_any", F.when(F.col("_any") > 0, 1).otherwise(F.raise_error(F.lit("no event between start and end")).cast("int"))
     )
-    return labels.join(checked, "series").where("_any = 1").drop("_any")
+    return join_back(labels, checked, ["series"]).where("_any = 1").drop("_any")
 
 
 def label_standard(

@@ -1,8 +1,8 @@
 """Overlapping look-back slices of the tremor table, one per label.
 
 When the label step divides a day, each tremor row is assigned to the look-back
-windows that hold it (``F.window``) and windows meet labels in an equi-join on
-their end, so no range join is planned.
+windows that hold it and windows meet labels in an equi-join on their end, so
+no range join is planned.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ def slices(tremor: DataFrame, labels: DataFrame, days: float, step_s: int) -> Da
         raise ValueError("the look-back must be positive")
     keys = labels.select("series", "id", F.col("ts").alias("_end"))
     if SECONDS_PER_DAY % step_s == 0 and width_s % step_s == 0:
-        win = F.window("ts", f"{width_s} seconds", f"{step_s} seconds")
-        spread = tremor.select("series", "metric", "ts", "v", win.alias("_w")).select(
-            "series", "metric", "ts", "v", F.col("_w.end").alias("_end")
+        # Ends of the look-backs that hold a row: the next width/step multiples of the step.
+        first = F.floor(F.unix_micros("ts") / F.lit(step_s * 1_000_000)) + 1
+        ends = F.sequence(first, first + F.lit(width_s // step_s - 1))
+        spread = tremor.select("series", "metric", "ts", "v", F.explode(ends).alias("_e")).select(
+            "series", "metric", "ts", "v", F.timestamp_seconds(F.col("_e") * F.lit(step_s)).alias("_end")
         )
         return spread.join(keys, ["series", "_end"]).select("series", "id", "metric", "ts", "v")
     # Any other step: meet on the days a look-back touches, then compare times.

@@ -28,6 +28,7 @@ from foreshock.functions.expr import (
     valid_sample,
     window_start,
 )
+from foreshock.functions.reuse import join_back, keep
 
 KEYS = ["series", "band"]
 DEFAULT_RATIO = 0.3
@@ -72,11 +73,11 @@ def chunk_windows(samples: DataFrame, width_s: int, overlap: float | None = None
         .withColumn("_k", F.explode(F.sequence("_first", "_last")))
         .select(*KEYS, start.alias("window_start"), "ts", "x")
     )
-    days = day_grid(samples, KEYS, SECONDS_PER_DAY).withColumnRenamed("ts", "_day")
+    filled = keep(chunks.select(*KEYS, "window_start").distinct())
+    days = day_grid(filled.withColumnRenamed("window_start", "ts"), KEYS, SECONDS_PER_DAY).withColumnRenamed("ts", "_day")
     grid = days.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1)))).select(
         *KEYS, start.alias("window_start")
     )
-    filled = chunks.select(*KEYS, "window_start").distinct()
     empty = grid.join(filled, [*KEYS, "window_start"], "left_anti").select(
         *KEYS, "window_start", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("x")
     )
@@ -118,7 +119,7 @@ def _with_stats(samples: DataFrame, seconds: int) -> DataFrame:
         F.stddev_pop("x").alias("_sd"),
         F.max_by(F.struct("ts", "x"), F.struct(mag, -F.unix_micros("ts"))).alias("_top"),
     )
-    return rows.join(stats, [*KEYS, "window_start"])
+    return join_back(rows, stats, [*KEYS, "window_start"])
 
 
 def drop_max_outlier(samples: DataFrame, seconds: int, threshold: float = 3.0) -> DataFrame:
@@ -331,7 +332,7 @@ def shannon_entropy(
 
     a = F.abs(valid_sample("x"))
     y, y_top = density(a), density(F.col("top"))
-    totals = rows.join(stats, key).groupBy(*key).agg(
+    totals = join_back(rows, stats, key).groupBy(*key).agg(
         F.sum(term(y)).alias("h"),
         F.sum(F.when(y == 0, 1).otherwise(0)).alias("zeros"),
         *[F.first(c).alias(c) for c in ("n", "n_rows", "n_valid", "cut", "energy2")],
@@ -446,12 +447,17 @@ def metric_names(bands: Sequence[str], methods: Sequence[str]) -> list[str]:
     return names
 
 
-def on_grid(metrics: DataFrame, samples: DataFrame, seconds: int, names: Sequence[str]) -> DataFrame:
-    """Long metrics on the full grid of the series' days; absent windows are NULL."""
-    grid = day_grid(samples, ["series"], seconds).withColumn(
+def on_grid(metrics: DataFrame, seconds: int, names: Sequence[str]) -> DataFrame:
+    """Long metrics on the full grid of the series' days; absent windows are NULL.
+
+    The days come from the metrics, not from the far larger samples.
+    """
+    grid = day_grid(metrics, ["series"], seconds).withColumn(
         "metric", F.explode(F.array(*[F.lit(n) for n in names]))
     )
-    return grid.join(metrics, ["series", "metric", "ts"], "left").select("series", "metric", "ts", "v")
+    return join_back(grid, metrics.select("series", "metric", "ts", F.col("v").alias("_v")), ["series", "metric", "ts"], "left").select(
+        "series", "metric", "ts", F.col("_v").alias("v")
+    )
 
 
 def tremor_table(
@@ -464,10 +470,12 @@ def tremor_table(
     """Wide table: one row per series and window of every day, one column per metric."""
     names = metric_names(bands, methods)
     long = tremor_long(samples, seconds, bands, methods, expected)
-    wide = long.groupBy("series", "ts").agg(
-        *[F.max(F.when(F.col("metric") == n, F.col("v"))).alias(n) for n in names]
+    wide = keep(
+        long.groupBy("series", "ts").agg(
+            *[F.max(F.when(F.col("metric") == n, F.col("v"))).alias(n) for n in names]
+        )
     )
-    return day_grid(samples, ["series"], seconds).join(wide, ["series", "ts"], "left")
+    return join_back(day_grid(wide, ["series"], seconds), wide, ["series", "ts"], "left")
 
 
 def drop_incomplete_days(wide: DataFrame, period_s: int, min_ratio: float = DEFAULT_RATIO) -> DataFrame:
