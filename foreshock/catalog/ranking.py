@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.catalog.base import cte, oracle, query
 from foreshock.catalog.label_matrix import labels, matrix
 from foreshock.catalog.window_features import changes_sql, moments_sql, trends_sql, unpivot
+from foreshock.functions.reuse import keep
 from foreshock.operators import sampling, selection
 from foreshock.operators.features import extract
 from foreshock.plans.ranking import COMPACT, compact_names, features_from_samples, ranked_features
@@ -442,7 +444,7 @@ WHERE rank <= least(n_sel, 10)""",
 
 def seed_rankings(spark, sf, top_n=10):
     under = sampling.undersample(seed_labels(spark, sf), 0.75)
-    return selection.per_seed_selection(features(spark, sf), under, top_n)
+    return keep(selection.per_seed_selection(features(spark, sf), under, top_n))
 
 
 @query("per_seed_selection", oracle("SELECT * FROM seed_top", "seed_top", dbl=["p_value"]))
@@ -457,7 +459,7 @@ cte("seed_scores", "SELECT series, seed, feature, round(p_value + 1e-9, 6) AS p_
 def rounded_rankings(spark, sf):
     from foreshock.functions.expr import rounded
 
-    return seed_rankings(spark, sf).withColumn("p_value", rounded("p_value"))
+    return keep(seed_rankings(spark, sf).withColumn("p_value", rounded("p_value")))
 
 
 cte(
@@ -582,11 +584,13 @@ UNION ALL SELECT 'even', seed, feature, rank FROM seed_fdr WHERE rank % 2 = 0 AN
 def method_choices(spark, sf):
     under = sampling.undersample(seed_labels(spark, sf), 0.75)
     every = selection.select_significant(features(spark, sf), under, 10, keys=["series", "seed"])
-    rank = selection.per_seed_selection(features(spark, sf), under, 10)
+    every = keep(every)
+    n_selected = F.least(F.sum(F.col("selected").cast("int")).over(Window.partitionBy("series", "seed")), F.lit(10))
+    rank = every.withColumn("_n", n_selected).where("rank <= _n")
     chosen = rank.select(F.lit("rank").alias("method"), "seed", "feature", "rank").unionByName(
         every.where("rank % 2 = 0 AND rank <= 20").select(F.lit("even").alias("method"), "seed", "feature", "rank")
     )
-    return chosen
+    return keep(chosen)
 
 
 def method_metrics(chosen):
