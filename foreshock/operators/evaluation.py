@@ -142,41 +142,43 @@ def pr_curve(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return points.unionByName(_origin(hist, keys, precision=F.lit(1.0), recall=F.lit(0.0)))
 
 
-def _on_grid(points: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """Curve values at ``size`` even steps of x in [0, 1], linear between points.
-
-    ``points(keys, num, den, seq, y)`` has x = num / den in order of ``seq``.
-    Points are reduced to the first and last of each grid cell, so what is
-    interpolated has at most two points per cell however long the curve is.
+def _mean_curve(
+    points: DataFrame, areas: DataFrame, size: int, start: float, names: tuple[str, str, str], force_origin: bool = False
+) -> DataFrame:
+    """Curves on ``size`` even steps of x in [0, 1], averaged over seeds.
+
+    ``points(keys, num, den, seq, y)`` has x = num / den in order of ``seq`` and
+    an implied first point (0, ``start``); ``areas`` has one row per model.
+    Points are reduced to the first and last of each grid cell, so at most two
+    points per cell are interpolated however long the curve is.
     """
+    x_name, y_name, score = names
     top = F.lit(size - 1)
-    x = F.col("num") / F.col("den")
-    # Grid steps at or after a point: an integer ceiling, so no point changes sides by rounding.
-    cell = F.expr(f"(num * {size - 1} + den - 1) div den")
-    point = F.struct(x.alias("x"), F.col("seq"), F.col("y"))
-    cells = points.groupBy(*keys, cell.cast("int").alias("g")).agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"))
-    cells = keep(cells)
-    every = cells.select(*keys).distinct().withColumn("g", F.explode(F.sequence(F.lit(0), top)))
-    order = Window.partitionBy(*keys).orderBy("g")
-    near = join_back(every, cells, [*keys, "g"], "left").withColumns(
+    # Grid step at or after a point: an integer ceiling, so no point changes sides by rounding.
+    cell = F.expr(f"cast((num * {size - 1} + den - 1) div den as int)")
+    point = F.struct((F.col("num") / F.col("den")).alias("x"), F.col("seq"), F.col("y"))
+    cells = points.groupBy(*KEYS, cell.alias("g")).agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"))
+    every = areas.select(*KEYS, score, F.explode(F.sequence(F.lit(0), top)).alias("g"))
+    order = Window.partitionBy(*KEYS).orderBy("g")
+    near = join_back(every, cells, [*KEYS, "g"], "left").withColumns(
         {
             "_a": F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
             "_b": F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
         }
     )
     at = F.col("g") / top
-    y = lerp(at, F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y"))
-    return near.select(*keys, "g", at.alias("x"), y.alias("y"))
-
-
-def _mean_curve(curve: DataFrame, auc: DataFrame, x: str, y: str, score: str) -> DataFrame:
-    """Mean and population deviation over seeds, with those of the area."""
-    groups = ["series", "classifier"]
-    areas = auc.groupBy(*groups).agg(F.avg(score).alias(f"mean_{score}"), F.stddev_pop(score).alias(f"std_{score}"))
-    curves = curve.groupBy(*groups, "g").agg(
-        F.max("x").alias(x), F.avg("y").alias(f"mean_{y}"), F.stddev_pop("y").alias(f"std_{y}")
-    )
-    return join_back(curves, areas, groups).drop("g")
+    x0, y0 = F.coalesce("_a.x", F.lit(0.0)), F.coalesce("_a.y", F.lit(float(start)))
+    y = lerp(at, x0, y0, F.col("_b.x"), F.col("_b.y"))
+    if force_origin:
+        y = F.when(F.col("g") == 0, F.lit(0.0)).otherwise(y)
+    curve = near.select(*KEYS, "g", at.alias("x"), y.alias("y"), score)
+    return curve.groupBy("series", "classifier", "g").agg(
+        F.max("x").alias(x_name),
+        F.avg("y").alias(f"mean_{y_name}"),
+        F.stddev_pop("y").alias(f"std_{y_name}"),
+        F.avg(score).alias(f"mean_{score}"),
+        F.stddev_pop(score).alias(f"std_{score}"),
+    ).drop("g")
 
 
 def mean_roc(evaluated: DataFrame, size: int = 100, force_origin: bool = True) -> DataFrame:
@@ -184,33 +186,23 @@ def mean_roc(evaluated: DataFrame, size: int = 100, force_origin: bool = True) -
 
     ``force_origin`` sets the first point to 0, as the per-classifier form does.
     """
-    hist = keep(score_histogram(evaluated))
+    hist = score_histogram(evaluated)
     neg = F.col("total") - F.col("pos")
     points = hist.where(neg > 0).select(
         *KEYS, (F.col("above") - F.col("tp")).alias("num"), neg.alias("den"), F.col("above").alias("seq"),
         (F.col("tp") / F.col("pos")).alias("y"),
     )
-    origin = points.groupBy(*KEYS).agg(F.max("den").alias("den")).select(
-        *KEYS, F.lit(0).cast("long").alias("num"), "den", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("y")
-    )
-    curve = _on_grid(points.unionByName(origin), KEYS, size)
-    if force_origin:
-        curve = curve.withColumn("y", F.when(F.col("g") == 0, F.lit(0.0)).otherwise(F.col("y")))
-    return _mean_curve(curve, ranking_metrics(hist), "fpr", "tpr", "roc_auc")
+    return _mean_curve(points, ranking_metrics(hist), size, 0.0, ("fpr", "tpr", "roc_auc"), force_origin)
 
 
 def mean_pr(evaluated: DataFrame, size: int = 200) -> DataFrame:
     """Mean precision over seeds on an even grid of recalls."""
-    hist = keep(score_histogram(evaluated))
+    hist = score_histogram(evaluated)
     points = hist.where("pos > 0").select(
         *KEYS, F.col("tp").alias("num"), F.col("pos").alias("den"), F.col("above").alias("seq"),
         (F.col("tp") / F.col("above")).alias("y"),
     )
-    end = points.groupBy(*KEYS).agg(F.max("den").alias("den")).select(
-        *KEYS, F.lit(0).cast("long").alias("num"), "den", F.lit(0).cast("long").alias("seq"), F.lit(1.0).alias("y")
-    )
-    curve = _on_grid(points.unionByName(end), KEYS, size)
-    return _mean_curve(curve, ranking_metrics(hist), "recall", "precision", "average_precision")
+    return _mean_curve(points, ranking_metrics(hist), size, 1.0, ("recall", "precision", "average_precision"))
 
 
 def threshold_sweep(evaluated: DataFrame, resolution: int = 101, keys: Sequence[str] = KEYS) -> DataFrame:

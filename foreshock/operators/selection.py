@@ -275,12 +275,11 @@ def selector_jaccard(chosen: DataFrame, runs: DataFrame) -> DataFrame:
     ``runs(method, seed)`` lists every run, so a run that chose nothing counts;
     two empty choices overlap fully.  A choice holds at most top-n names.
     """
-    sets = runs.join(
-        chosen.groupBy("method", "seed").agg(F.collect_set("feature").alias("s")), ["method", "seed"], "left"
-    ).select("method", "seed", F.coalesce("s", F.array().cast("array<string>")).alias("s"))
+    picked = chosen.groupBy("method", "seed").agg(F.collect_set("feature").alias("s"))
+    sets = join_back(runs, picked, ["method", "seed"], "left").select("method", "seed", F.coalesce("s", F.array().cast("array<string>")).alias("s"))
     left = sets.select(F.col("method").alias("method_a"), "seed", F.col("s").alias("_a"))
     right = sets.select(F.col("method").alias("method_b"), "seed", F.col("s").alias("_b"))
-    both = left.join(right, "seed").where("method_a < method_b")
+    both = join_back(left, right, ["seed"]).where("method_a < method_b")
     union = F.size(F.array_union("_a", "_b"))
     overlap = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("_a", "_b")) / F.nullif(union, F.lit(0)))
     return both.select("method_a", "method_b", "seed", overlap.alias("jaccard"))
@@ -292,9 +291,8 @@ def compare_selectors(chosen: DataFrame, runs: DataFrame, metrics: DataFrame) ->
     ``metrics(method, seed, balanced_accuracy, roc_auc)`` has one row per run.
     """
     overlap = selector_jaccard(chosen, runs).agg(F.coalesce(F.avg("jaccard"), F.lit(0.0)).alias("mean_jaccard"))
-    per_run = runs.join(
-        chosen.groupBy("method", "seed").agg(F.count("*").alias("n_selected")), ["method", "seed"], "left"
-    ).join(metrics, ["method", "seed"])
+    sizes = chosen.groupBy("method", "seed").agg(F.count("*").alias("n_selected"))
+    per_run = join_back(join_back(runs, sizes, ["method", "seed"], "left"), metrics, ["method", "seed"])
     summary = per_run.groupBy("method").agg(
         F.avg(F.coalesce("n_selected", F.lit(0))).alias("n_selected_mean"),
         F.avg("balanced_accuracy").alias("balanced_accuracy_mean"),
