@@ -50,6 +50,12 @@ def zero_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows with both values; NULL when either is constant."""
+    x, y = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    return safe_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def erfc(z: Column) -> Column:
     """Complementary error function for z >= 0 (error below 1.5e-7)."""
     k = F.lit(1.0) / (F.lit(1.0) + F.lit(ERFC_P) * z)

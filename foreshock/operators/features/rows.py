@@ -142,10 +142,11 @@ def _changes() -> dict[str, str]:
 def _trends() -> dict[str, str]:
     out: dict[str, str] = {}
     for calc, x in (("linear_trend", "double(pos)"), ("linear_trend_timewise", HOURS)):
-        r = f"corr(v, {x})"
+        # Spelled out because corr() divides by zero on a constant slice.
+        r = f"(covar_pop(v, {x}) / nullif(stddev_pop(v) * stddev_pop({x}), 0D))"
         out[f'{calc}__attr_"slope"'] = f"regr_slope(v, {x})"
         out[f'{calc}__attr_"intercept"'] = f"regr_intercept(v, {x})"
-        out[f'{calc}__attr_"rvalue"'] = f"nanvl({r}, null)"
+        out[f'{calc}__attr_"rvalue"'] = r
         out[f'{calc}__attr_"stderr"'] = (
             f"sqrt((1 - {r} * {r}) * var_pop(v) / nullif(var_pop({x}), 0D) / nullif(count(v) - 2, 0))"
         )

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreshock.functions.expr import safe_divide
+from foreshock.functions.expr import correlation, safe_divide
 from foreshock.operators.features.rows import CHUNK_LENGTHS, KEYS, MAX_LAG, to_long
 
 # Parameter grids of the calculators.
@@ -99,14 +99,14 @@ def chunk_trends(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
         aggs: dict[str, Column] = {}
         for fn in ("max", "min", "mean", "var"):
             x, y = F.col("chunk"), F.col(fn)
-            r, c = F.corr(y, x), F.count(y)
+            r, c = correlation(y, x), F.count(y)
             stem = f'agg_linear_trend__attr_"%s"__chunk_len_{length}__f_agg_"{fn}"'
             many = F.when(c > 1, 1.0)
             aggs[stem % "slope"] = F.regr_slope(y, x) * many
             aggs[stem % "intercept"] = F.regr_intercept(y, x) * many
-            aggs[stem % "rvalue"] = F.nanvl(r, F.lit(None)) * many
+            aggs[stem % "rvalue"] = r * many
             aggs[stem % "stderr"] = F.when(
-                c > 2, F.sqrt((1 - r * r) * F.var_pop(y) / F.var_pop(x) / F.nullif(c - 2, F.lit(0)))
+                c > 2, F.sqrt((1 - r * r) * F.var_pop(y) / F.nullif(F.var_pop(x), F.lit(0.0)) / F.nullif(c - 2, F.lit(0)))
             )
         parts.append(_finish(chunk.groupBy(*KEYS), _kept(aggs, wanted)))
     return _union(parts)
@@ -194,8 +194,7 @@ def benford(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
         for d in range(1, 10)
     ]
     table = digits.groupBy(*KEYS).agg(F.array(*shares).alias("_s")).select(*KEYS, F.inline("_s"))
-    corr = F.nanvl(F.corr("share", "law"), F.lit(None).cast("double"))
-    return _finish(table.groupBy(*KEYS), {"benford_correlation": corr})
+    return _finish(table.groupBy(*KEYS), {"benford_correlation": correlation("share", "law")})
 
 
 def _match_entropies(values: pd.Series) -> pd.DataFrame:
@@ -259,8 +258,8 @@ def fft_features(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
     m1, m2, m3, m4 = (safe_divide(F.sum(mag * F.pow(k.cast("double"), p)), F.sum(mag)) for p in (1, 2, 3, 4))
     var = m2 - m1 * m1
     wide_enough = var >= 0.5
-    skew = (m3 - 3 * m1 * var - m1 * m1 * m1) / F.pow(var, F.lit(1.5))
-    kurt = (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1 * m1 * m1 * m1) / (var * var)
+    skew = (m3 - 3 * m1 * var - m1 * m1 * m1) / F.pow(F.nullif(var, F.lit(0.0)), F.lit(1.5))
+    kurt = (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1 * m1 * m1 * m1) / F.nullif(var * var, F.lit(0.0))
     aggs['fft_aggregated__aggtype_"centroid"'] = m1
     aggs['fft_aggregated__aggtype_"variance"'] = var
     aggs['fft_aggregated__aggtype_"skew"'] = F.when(wide_enough, skew)
@@ -293,7 +292,7 @@ def welch(matrix: DataFrame) -> DataFrame:
     re = F.sum(w * x * F.cos(angle)) - mean * F.sum(w * F.cos(angle))
     im = F.sum(w * x * F.sin(angle)) - mean * F.sum(w * F.sin(angle))
     one_sided = F.when((F.col("k") == 0) | (F.col("k") * 2 == F.max("len")), 1.0).otherwise(2.0)
-    density = (re * re + im * im) * one_sided / F.sum(w * w)
+    density = (re * re + im * im) * one_sided / F.nullif(F.sum(w * w), F.lit(0.0))
     per_segment = rows.groupBy(*KEYS, "k", "seg").agg(density.alias("density"))
     return per_segment.groupBy(*KEYS, "k").agg(F.avg("density").alias("density"))
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.expr import literal_table
-from foreshock.functions.reuse import join_back
 from foreshock.operators.checks import day_bounds
 
 UNITS = {"minutes": 60, "hours": 3600}
@@ -62,24 +61,27 @@ def label_events(labels: DataFrame, dates: DataFrame, days_ahead: int, include:
     """
     if days_ahead < 1:
         raise ValueError("days_ahead must be at least 1")
-    days = event_days(dates, days_ahead, include)
+    # The earliest event of a day decides: if any event of the day counts, it does.
+    hit = event_days(dates, days_ahead, include).groupBy("series", "day").agg(F.min("event_date").alias("_event"))
+    # One series' grid is one row per step of a calendar span, which bounds the window.
+    last = F.to_date(F.max("ts").over(Window.partitionBy("series")))
+    marked = labels.withColumns({"day": F.to_date("ts"), "_last": last}).join(hit, ["series", "day"], "left")
+    counts = F.col("_event").isNotNull()
     if skip_after:
-        last = labels.groupBy("series").agg(F.to_date(F.max("ts")).alias("_last"))
-        days = days.join(last, "series").where(F.col("event_date") <= F.col("_last")).drop("_last")
-    hit = days.select("series", "day").distinct().withColumn("_hit", F.lit(1))
-    out = labels.withColumn("day", F.to_date("ts")).join(hit, ["series", "day"], "left")
-    return out.select(
-        "series", "id", "ts", F.greatest("is_erupted", F.coalesce("_hit", F.lit(0))).cast("int").alias("is_erupted")
+        counts = counts & (F.col("_event") <= F.col("_last"))
+    return marked.select(
+        "series", "id", "ts", F.greatest("is_erupted", F.when(counts, 1).otherwise(0)).cast("int").alias("is_erupted")
     )
 
 
 def require_positive(labels: DataFrame) -> DataFrame:
     """Raise when a series has no positive row; checked as the rows are computed."""
-    state = labels.groupBy("series").agg(F.max("is_erupted").alias("_any"))
-    checked = state.withColumn(
-        "_any", F.when(F.col("_any") > 0, 1).otherwise(F.raise_error(F.lit("no event between start and end")).cast("int"))
+    some = F.max("is_erupted").over(Window.partitionBy("series"))
+    checked = labels.withColumn("_any", some)
+    ok = F.when(F.col("_any") > 0, True).otherwise(
+        F.raise_error(F.lit("no event between start and end")).cast("boolean")
     )
-    return join_back(labels, checked, ["series"]).where("_any = 1").drop("_any")
+    return checked.where(ok).drop("_any")
 
 
 def label_standard(

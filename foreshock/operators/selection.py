@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.blocked import average_ranks, value_histogram
-from foreshock.functions.expr import erfc
+from foreshock.functions.expr import correlation, erfc
 from foreshock.functions.reuse import join_back, keep
 from foreshock.operators.features.extract import describe_features
 
@@ -67,7 +67,7 @@ def rank_test(features: DataFrame, labels: DataFrame, keys: Sequence[str] = DEFA
     total, pos = F.col("_n").cast("double"), F.col("_n1").cast("double")
     neg = total - pos
     u = F.col("_r1") - pos * (pos + 1) / 2
-    var = pos * neg / 12 * ((total + 1) - F.col("_ties") / (total * (total - 1)))
+    var = pos * neg / 12 * ((total + 1) - F.col("_ties") / F.nullif(total * (total - 1), F.lit(0.0)))
     z = F.greatest(F.abs(u - pos * neg / 2) - F.lit(0.5), F.lit(0.0)) / F.sqrt(F.nullif(var, F.lit(0.0)))
     stats = stats.withColumn("z", F.when((pos > 0) & (neg > 0), z))
     # Fisher's exact test: the possible tables become rows and are summed, so a
@@ -145,14 +145,12 @@ def per_seed_selection(
 def transform_selected(features: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of the selected features; a selected feature that is absent is an error."""
     chosen = selected.select("series", "feature").distinct()
-    have = features.select("series", "feature").distinct().withColumn("_have", F.lit(True))
-    checked = chosen.join(have, ["series", "feature"], "left").withColumn(
-        "_ok",
-        F.when(F.col("_have"), True).otherwise(
-            F.raise_error(F.concat(F.lit("selected feature is missing: "), F.col("feature"))).cast("boolean")
-        ),
-    )
-    return features.join(checked.where("_ok").select("series", "feature"), ["series", "feature"], "left_semi")
+    have = features.select("series", "feature").distinct()
+    message = F.concat(F.lit("selected feature is missing: "), F.col("feature"))
+    # A branch of its own: it has rows, and therefore raises, only for absent features.
+    lost = chosen.join(have, ["series", "feature"], "left_anti").where(F.raise_error(message).cast("boolean"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in features.schema.fields]
+    return features.join(chosen, ["series", "feature"], "left_semi").select(*features.columns).unionByName(lost.select(*none))
 
 
 def feature_scores(ranked: DataFrame) -> DataFrame:
@@ -217,7 +215,7 @@ def feature_correlation(features: DataFrame, names: Sequence[str], method: str =
     """Correlation of every pair of the listed top features.
 
     The names are a short list, so the matrix is one aggregation over a row per
-    id with one ``corr`` per pair; no pair of rows is formed.
+    id with one correlation per pair; no pair of rows is formed.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
@@ -232,10 +230,10 @@ def feature_correlation(features: DataFrame, names: Sequence[str], method: str =
     cells = []
     for i, a in enumerate(names):
         for j, b in enumerate(names):
-            r = F.corr(f"_c{min(i, j)}", f"_c{max(i, j)}")
+            r = correlation(f"_c{min(i, j)}", f"_c{max(i, j)}")
             cells.append(
                 F.struct(
-                    F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.nanvl(r, F.lit(None).cast("double")).alias("r")
+                    F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("r")
                 )
             )
     return wide.groupBy("series").agg(F.array(*cells).alias("_m")).select("series", F.inline("_m"))
