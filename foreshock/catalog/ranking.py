@@ -59,7 +59,7 @@ def exclude_features(spark, sf):
 @query(
     "extract_features",
     oracle(
-        "SELECT series, id, count(*) AS n_features, sum(value) AS total FROM ("
+        "SELECT series, id, count(*) AS n_features, round(sum(value), 2) AS total FROM ("
         + "\nUNION ALL\n".join([TRENDS_ONLY, unpivot("fx", changes_sql()), unpivot("fx", moments_sql())])
         + """) WHERE NOT regexp_matches(feature, '__(linear_trend_timewise|length|median|minimum|quantile)(__|$)') GROUP BY series, id""",
         "fx",
@@ -69,7 +69,7 @@ def exclude_features(spark, sf):
 def extract_features(spark, sf):
     """Default set of three families in one aggregation, summed per label."""
     long = extract.extract_features(matrix(spark, sf), families=["trends", "changes", "moments"])
-    return long.groupBy("series", "id").agg(F.count("*").alias("n_features"), F.sum("value").alias("total"))
+    return long.groupBy("series", "id").agg(F.count("*").alias("n_features"), F.round(F.sum("value"), 2).alias("total"))
 
 
 HOLED = "SELECT series, id, feature, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN 'Infinity'::DOUBLE WHEN id % 13 = 0 THEN '-Infinity'::DOUBLE ELSE value END AS value FROM feat"

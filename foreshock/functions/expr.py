@@ -25,6 +25,15 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"missing column(s) {missing}; found {df.columns}")
 
 
+def failing_rows(df: DataFrame, broken: Column, message: Column) -> DataFrame:
+    """No rows of ``df``; raises ``message`` when any row is ``broken``.
+
+    ``broken`` must read a column of each side of a preceding join, so that the
+    optimizer cannot evaluate it before the join.
+    """
+    return df.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
+
+
 def rounded(c: str | Column, places: int = 6) -> Column:
     """Round for comparison across engines.
 

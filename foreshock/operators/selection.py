@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.blocked import average_ranks, value_histogram
-from foreshock.functions.expr import correlation, erfc
+from foreshock.functions.expr import correlation, erfc, failing_rows
 from foreshock.functions.reuse import join_back, keep
 from foreshock.operators.features.extract import describe_features
 
@@ -145,10 +145,10 @@ def per_seed_selection(
 def transform_selected(features: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of the selected features; a selected feature that is absent is an error."""
     chosen = selected.select("series", "feature").distinct()
-    have = features.select("series", "feature").distinct()
+    have = features.select("series", "feature").distinct().withColumn("_have", F.lit(True))
     message = F.concat(F.lit("selected feature is missing: "), F.col("feature"))
     # A branch of its own: it has rows, and therefore raises, only for absent features.
-    lost = chosen.join(have, ["series", "feature"], "left_anti").where(F.raise_error(message).cast("boolean"))
+    lost = failing_rows(chosen.join(have, ["series", "feature"], "left"), F.col("_have").isNull(), message)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in features.schema.fields]
     return features.join(chosen, ["series", "feature"], "left_semi").select(*features.columns).unionByName(lost.select(*none))
 

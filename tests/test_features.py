@@ -108,6 +108,8 @@ def test_impute_and_missing_labels(spark):
     rows = [("s", i, "f", v) for i, v in enumerate([1.0, 3.0, 5.0, inf, -inf, None, float("nan")])]
     df = spark.createDataFrame(rows, "series string, id long, feature string, value double")
     assert [r["value"] for r in extract.impute(df).orderBy("id").collect()] == [1, 3, 5, 5, 1, 3, 3]
+    some = spark.createDataFrame([("s", 0, 1), ("s", 2, 0)], "series string, id long, is_erupted int")
+    assert [r["id"] for r in extract.relevant_ids(df, some).orderBy("id").collect()] == [0, 2]
     labels = spark.createDataFrame([("s", 99, 1)], "series string, id long, is_erupted int")
     with pytest.raises(Exception, match="have no features"):
         extract.relevant_ids(df, labels).collect()

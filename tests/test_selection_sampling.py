@@ -49,6 +49,8 @@ def test_selection_falls_back_to_top_n(spark):
     noise = {f"n{i}": rng.normal(size=60) for i in range(6)}
     out = selection.select_significant(*frame(spark, noise, y), top_n=3)
     assert out.where("selected").count() == 3 and out.count() == 6
+    kept = selection.transform_selected(frame(spark, noise, y)[0], out.where("selected"))
+    assert kept.count() == 3 * 60 and len(kept.collect()) == 3 * 60
     missing = out.where("selected").withColumn("feature", F.lit("zz"))
     with pytest.raises(Exception, match="missing"):
         selection.transform_selected(frame(spark, noise, y)[0], missing).collect()
