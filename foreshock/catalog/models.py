@@ -33,7 +33,7 @@ def fit_classifier(spark, sf):
     """Every kind fitted on the training span, scored on the later one."""
     f, y, later = parts(spark, sf, FIVE)
     train = train_rows(f, y)
-    small = {"rf": {"numTrees": 20}, "gb": {"maxIter": 5}, "nn": {"hidden": (8,), "maxIter": 20}}
+    small = {"rf": {"numTrees": 20}, "gb": {"maxIter": 5}, "nn": {"hidden": (8,), "maxIter": 20}, "svm": {"maxIter": 10}}
     models = [training.fit_classifier(k, train, FIVE, 0, small.get(k)) for k in training.KINDS if k != "voting"]
     rows = f.join(later.select("series", "id"), ["series", "id"], "left_semi")
     return training.score_seeds(models, rows)

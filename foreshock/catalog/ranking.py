@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.catalog.base import cte, oracle, query
-from foreshock.catalog.label_matrix import labels, matrix
+from foreshock.catalog.label_matrix import labels, labels_seen, matrix
 from foreshock.catalog.window_features import changes_sql, moments_sql, trends_sql, unpivot
+from foreshock.functions.expr import literal_table, rounded
 from foreshock.functions.reuse import keep
 from foreshock.operators import sampling, selection
 from foreshock.operators.features import extract
@@ -127,8 +128,6 @@ def merge_matrices(spark, sf):
     oracle("SELECT 'rsam_f9__mean' AS feature WHERE NOT EXISTS (SELECT 1 FROM feat WHERE feature = 'rsam_f9__mean')", "feat"),
 )
 def missing_names(spark, sf):
-    from foreshock.functions.expr import literal_table
-
     wanted = literal_table(spark, "feature", ["rsam_f0__mean", "rsam_f9__mean"])
     return extract.missing_names(features(spark, sf, ["rsam_f0__mean", "rsam_f1__mean"]), wanted)
 
@@ -298,8 +297,6 @@ cte("under", "SELECT series, seed, id, is_erupted FROM y_sized WHERE is_erupted
 
 
 def seed_labels(spark, sf):
-    from foreshock.catalog.label_matrix import labels_seen
-
     return sampling.with_seeds(labels_seen(spark, sf).select("series", "id", "ts", "is_erupted"), SEEDS)
 
 
@@ -457,8 +454,6 @@ cte("seed_scores", "SELECT series, seed, feature, round(p_value + 1e-9, 6) AS p_
 
 
 def rounded_rankings(spark, sf):
-    from foreshock.functions.expr import rounded
-
     return keep(seed_rankings(spark, sf).withColumn("p_value", rounded("p_value")))
 
 
@@ -639,8 +634,6 @@ cte("sweep_mean", 'SELECT "N", avg(score) AS mean, stddev_samp(score) AS std, co
 
 
 def sweep(spark, sf):
-    from foreshock.functions.expr import rounded
-
     r = seed_rankings(spark, sf).withColumn("N", F.explode(F.array(*[F.lit(n) for n in (1, 2, 4, 6, 8, 10)])))
     score = F.avg(1 - F.col("p_value")) - F.lit(0.004) * F.abs(F.col("N") - 5 - F.col("seed") % 2)
     return r.where("rank <= N").groupBy("N", "seed").agg(rounded(score).alias("score"))

@@ -24,10 +24,10 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foreshock.functions.reuse import keep
+from foreshock.functions.reuse import join_back, keep
 from foreshock.operators import sampling, selection
 from foreshock.operators.scoring import logistic
 
@@ -112,7 +112,7 @@ def estimator(kind: str, seed: int, n_features: int, params: Mapping[str, object
     if kind == "nb":
         return NaiveBayes(**w, modelType="gaussian", **p)
     if kind == "svm":
-        return LinearSVC(**w, **{"regParam": 0.1, **p})
+        return LinearSVC(**w, **{"regParam": 0.1, "maxIter": 20, "tol": 1e-4, **p})
     if kind == "nn":
         hidden = list(p.pop("hidden", (50,)))
         return MultilayerPerceptronClassifier(**io, seed=seed, layers=[n_features, *hidden, 2], **{"maxIter": 50, **p})
@@ -356,7 +356,7 @@ def feature_count_sweep(
     for seed, names in rankings.items():
         mine = splits.where(F.col("seed") == seed)
         for n in usable:
-            data = matrix(kept, names[:n]).join(mine.select("series", "id", "fold", "part", "is_erupted"), ["series", "id"]).cache()
+            data = keep(matrix(kept, names[:n]).join(mine.select("series", "id", "fold", "part", "is_erupted"), ["series", "id"]))
             for fold in range(k):
                 here = data.where(F.col("fold") == fold)
                 model = fit_classifier(kind, here.where("part = 'train'").select("series", "id", "x", "is_erupted"), names[:n], seed)
@@ -397,8 +397,6 @@ def select_permutation(
     agg = shuffled.groupBy(by_name.alias("feature")).agg(
         F.avg(F.col("_base") - F.col("score")).alias("mean"), F.stddev_pop(F.col("_base") - F.col("score")).alias("std")
     )
-    from pyspark.sql import Window
-
     ranked = agg.withColumn(
         "rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("mean", 9).desc(), "feature")).cast("long")
     )
@@ -426,8 +424,6 @@ def feature_importance(models: Sequence[SeedModel], spark: SparkSession, top_n:
     )
     if top_n is None:
         return out
-    from pyspark.sql import Window
-
     order = Window.partitionBy("classifier").orderBy(F.col("mean").desc(), F.col("feature"))
     return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_n).drop("_r")
 
@@ -452,8 +448,6 @@ def attribute_sampled(model: SeedModel, rows: DataFrame, orders: int = 8, seed:
         perms.append(order if o % 2 == 0 else order[::-1])
     place = [[p.index(i) for i in range(f)] for p in perms]
     orders_lit = F.array(*[F.array(*[F.lit(v) for v in p]) for p in place])
-    from foreshock.functions.reuse import join_back
-
     grown = (
         join_back(kept, means, ["series"])
         .select("*", F.posexplode(orders_lit).alias("ord", "_place"))
@@ -462,8 +456,6 @@ def attribute_sampled(model: SeedModel, rows: DataFrame, orders: int = 8, seed:
         .select("series", "id", "x", "ord", "step")
     )
     scored = score_model(model, grown)
-    from pyspark.sql import Window
-
     steps = Window.partitionBy("series", "id", "ord").orderBy("step")
     gained = scored.withColumn("_d", F.col("p") - F.lag("p").over(steps)).where("step > 0")
     at = F.array(*[F.array(*[F.lit(v) for v in p]) for p in perms])

@@ -51,7 +51,8 @@ def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[s
     last = F.max_by(F.struct(*values), F.col("_new")).alias("_v")
     out = merged.groupBy(*keys, "dt").agg(last).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values], "dt")
     (
-        out.repartition("dt")
+        # By day and series: a day of all series is never one task.
+        out.repartition("dt", keys[0])
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
