@@ -46,10 +46,23 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
-        done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        self.known.update(zip(chunks, (np.array(e.ids, "<u4").tobytes() for e in done), strict=True))
+        # A chunk of Latin letters is one word to the tokenizer: many are encoded in one call and cut at word ends.
+        words = [c for c in chunks if max(c) < "\u0250" and c.lower().isalpha()]
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw = ids.tobytes()
+                self.known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+        rest = [c for c in chunks if c not in self.known]
+        done = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in done), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
