@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foreshock.llm import packing, pieces
+from foreshock.llm import language, neighbours, packing, pieces, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -25,3 +25,21 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with begin and end, and the decoded text, as digests."""
     return pieces.digests(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@query("op3_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon learned from two thirds of the labels, applied to all documents."""
+    return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op4_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    return language.identify_held_out(read(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by nearest-neighbour voting, learned from four fifths of the labels."""
+    return neighbours.classify_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

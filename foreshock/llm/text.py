@@ -43,8 +43,8 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def rounds(batches: Iterator[pa.RecordBatch], limit: int = ROUND_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about ``limit`` bytes of column ``text``; never an empty slice."""
+def rounds(batches: Iterator[pa.RecordBatch], limit: int = ROUND_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``limit`` bytes of column ``text`` and at most ``rows`` rows; never an empty slice."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,7 +53,7 @@ def rounds(batches: Iterator[pa.RecordBatch], limit: int = ROUND_BYTES) -> Itera
         at = 0
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(total, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
