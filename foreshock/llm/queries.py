@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foreshock.llm import language, neighbours, packing, pieces, toxicity
+from foreshock.llm import language, neighbours, packing, pieces, repeats, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -43,3 +44,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality by nearest-neighbour voting, learned from four fifths of the labels."""
     return neighbours.classify_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_suffix_array_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that occur again."""
+    cut = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
