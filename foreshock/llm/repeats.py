@@ -244,6 +244,8 @@ def merge_runs(runs: list[tuple[bytes, bytes]], width: int) -> Iterator[tuple[in
 
 def _intervals(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first, last) of runs of neighbouring suffix starts."""
+    if not len(owner):
+        return owner[:, 0], owner[:, 1], owner[:, 1]
     owner = owner[np.lexsort((owner[:, 1], owner[:, 0]))]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:, 0] != owner[:-1, 0]) | (owner[1:, 1] > owner[:-1, 1] + 1)
