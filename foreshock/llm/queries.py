@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import language, neighbours, packing, pieces, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, language, neighbours, packing, pieces, repeats, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -51,3 +51,15 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 200 bytes that occur again."""
     cut = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), 200)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules", host_rules.JUDGE_SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules per document and verdicts per host."""
+    return host_rules.judge(read(spark, sf_dir, "documents")).drop("host_rate")
