@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foreshock.llm.base import remainder
 from foreshock.llm.ngrams import LETTERS, ngram_counts, unit_rows
-from foreshock.llm.sampling import labelled_sample
+from foreshock.llm.sampling import sample_rows
 from foreshock.llm.text import rounds, to_batch
 
 DIMS = 2048
@@ -92,20 +92,16 @@ def fit(x: np.ndarray, y: list[str]) -> CodeModel:
     return CodeModel(languages, code, weight / weight.sum(1, keepdims=True), w, b)
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> CodeModel | None:
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> CodeModel | None:
     """Model from ``docs`` (doc_id, text, lang): a bounded sample, spread evenly over the languages; None without any."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    kinds = known.select("lang").distinct().count()
-    if not kinds:
-        return None
-    sample = labelled_sample(known, "lang", max(20, sample_rows // kinds))
+    sample = sample_rows(docs.where(F.col("text").isNotNull()), "lang", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
         for b in rounds(batches):
             yield to_batch(out, doc_id=b.column("doc_id"), lang=b.column("lang"), x=[r.tobytes() for r in features(b.column("text"))])
 
-    got = sample.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id").toPandas()  # the bounded sample
+    got = sample.mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values("doc_id")  # the bounded sample
     if not len(got):
         return None
     return fit(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), got["lang"].tolist())

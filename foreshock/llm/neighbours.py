@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foreshock.llm.base import remainder
 from foreshock.llm.ngrams import ngram_counts, unit_rows
-from foreshock.llm.sampling import attach_labels, labelled_sample
+from foreshock.llm.sampling import one_label, sample_labelled
 from foreshock.llm.text import distinct_per_row, rounds, shingles, text_bytes, to_batch, words
 
 DIMS = 2048
@@ -90,9 +90,9 @@ def fit(x: np.ndarray, label: np.ndarray, prior: float) -> VoteModel:
     return VoteModel(rarity, axes, unit_rows(x @ axes), label.astype(np.float32), prior)
 
 
-def learn(docs: DataFrame, voters: int = VOTERS_PER_LABEL) -> VoteModel | None:
-    """Model from ``docs`` (doc_id, text, quality); None without labelled rows."""
-    share = docs.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+def learn(docs: DataFrame, labels: DataFrame, voters: int = VOTERS_PER_LABEL) -> VoteModel | None:
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality; one row per document); None without labelled rows."""
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     if share is None:
         return None
 
@@ -101,8 +101,8 @@ def learn(docs: DataFrame, voters: int = VOTERS_PER_LABEL) -> VoteModel | None:
         for b in rounds(batches):
             yield to_batch(out, doc_id=b.column("doc_id"), quality=b.column("quality").cast(pa.int32()), x=[r.tobytes() for r in features(b.column("text"))])
 
-    sample = labelled_sample(docs, "quality", voters).mapInArrow(run, "doc_id long, quality int, x binary")
-    got = sample.orderBy("doc_id").toPandas()  # the bounded sample
+    sample = sample_labelled(docs, labels, "quality", voters).mapInArrow(run, "doc_id long, quality int, x binary")
+    got = sample.toPandas().sort_values("doc_id")  # the bounded sample
     if not len(got):
         return None
     return fit(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), got["quality"].to_numpy(), float(share))
@@ -126,8 +126,7 @@ def classify(docs: DataFrame, model: VoteModel | None, threshold: float = THRESH
 
 def learn_quality(docs: DataFrame, labels: DataFrame) -> VoteModel | None:
     """Learned only from rows whose id is not held out."""
-    known = attach_labels(docs.where(remainder("doc_id", 5) != 0), labels, "quality")
-    return learn(known)
+    return learn(docs, one_label(labels.where(remainder("doc_id", 5) != 0), "quality"))
 
 
 def classify_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.llm.base import remainder
-from foreshock.llm.sampling import attach_labels, labelled_sample
+from foreshock.llm.base import remainder, stored
+from foreshock.llm.sampling import one_label, sample_labelled
 from foreshock.llm.text import rounds, to_batch
 
 #: Labelled documents of each label that the lexicon is learned from, at most.
@@ -158,13 +158,13 @@ def _curve(strength: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def learn(docs: DataFrame, exceptions: Iterable[str] = (), cap: int = SAMPLE_PER_LABEL) -> Lexicon:
-    """Lexicon from ``docs`` (doc_id, text, toxic); an empty one when a label is missing.
+def learn(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), cap: int = SAMPLE_PER_LABEL) -> Lexicon:
+    """Lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic; one row per document); an empty one when a label is missing.
 
     ``exceptions`` are phrases given by the user; a two-word phrase around an
     entry that clean texts use again and again is learned as one too.
     """
-    sample = labelled_sample(docs, "toxic", cap)
+    sample = stored(sample_labelled(docs, labels, "toxic", cap), "toxic-sample")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("entry", pa.string()), ("before", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, exceptions: Iterable[str] = (), cap: int = SAMPLE_PER
                 phrases=pa.array([sorted(phrases_around(lexicon, t)) for t in texts], pa.list_(pa.string())),
             )
 
-    measured = sample.mapInArrow(measure, "doc_id long, toxic int, strength double, phrases array<string>").orderBy("doc_id").toPandas()  # the bounded sample
+    measured = sample.mapInArrow(measure, "doc_id long, toxic int, strength double, phrases array<string>").toPandas().sort_values("doc_id")  # the bounded sample
     toxic, clean = Counter(), Counter()
     for y, found in zip(measured["toxic"], measured["phrases"], strict=True):
         (toxic if y else clean).update(found)
@@ -253,7 +253,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learned only from rows whose id is not held out."""
-    return learn(attach_labels(docs.where(remainder("doc_id", 3) != 1), labels, "toxic"))
+    return learn(docs, one_label(labels.where(remainder("doc_id", 3) != 1), "toxic"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
