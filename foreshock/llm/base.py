@@ -17,7 +17,13 @@ ORACLE: dict[str, str] = {}
 
 
 def reach(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, whatever folder they start in."""
+    """Let Python workers import this package from where the driver found it, and give them texts in small batches.
+
+    Shuffle files go when their job is over: every step ends in a written table.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -6,8 +6,11 @@ Suffixes are compared on their first ``length`` bytes.  They need not all be sor
     equal windows have equal anchors.  A suffix whose anchor string occurs once
     in the corpus cannot repeat; only anchors that occur again go on.
 2.  Windows around one anchor are alike in all copies of a passage, except at
-    its ends.  Whole windows that are equal repeat; the suffixes of the others,
-    with one of each kind of the equal ones, are sorted.
+    its ends.  Stretches of windows that are equal as a whole repeat.  The others
+    are cut into blocks of starts, at fixed distances before the anchor: a block
+    repeats if it is equal to another as a whole, and none of its suffixes does
+    if the bytes common to all of them occur once.  The suffixes of what is left,
+    with one of each kind of the equal blocks, are sorted.
 3.  Each task sorts its suffixes into runs and writes them front-coded (length of
     the prefix shared with the one before, and the rest).  Runs are exchanged by
     ranges of the anchor and merged by a loser tree that keeps, for each run's
@@ -26,19 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.llm.base import stored
-from foreshock.llm.text import BASE, BYTE_VALUE, mix, powers, rounds, text_bytes, to_batch
+from foreshock.llm.text import BASE, BYTE_VALUE, grown, mix, powers, rounds, text_bytes, to_batch
 
 #: Bytes of the string that an anchor is.
 ANCHOR = 40
 #: Windows looked at in one round of array operations; a longer text is several rounds.
-ROUND = 1 << 20
+ROUND = 1 << 18
+#: Suffix starts of a block.
+BLOCK = 16
 #: Suffixes sorted into one run, and suffixes of all runs merged by one task.
-RUN_ROWS = 60_000
-MERGE_ROWS = 150_000
+RUN_ROWS = 40_000
+MERGE_ROWS = 100_000
 KEY_BYTES = 8
 
 _INVERSE = pow(int(BASE), -1, 1 << 64)
@@ -48,7 +55,7 @@ _inverses = np.ones(1, np.uint64)
 def _inverse_powers(n: int) -> np.ndarray:
     global _inverses
     if len(_inverses) < n:
-        step = np.full(max(n, 2 * len(_inverses)), np.uint64(_INVERSE), np.uint64)
+        step = np.full(grown(n), np.uint64(_INVERSE), np.uint64)
         step[0] = 1
         _inverses = np.multiply.accumulate(step)
     return _inverses
@@ -66,11 +73,14 @@ def _sliding_min(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows - 1, anchor hash, content hash) for each stretch of windows with one anchor.
+    """(text, first window, windows - 1, distance to the anchor, anchor hash, content hash) for each stretch of windows with one anchor.
 
     ``buf`` holds texts end to end from the places ``at``.
     """
     m = length - ANCHOR + 1
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    ends = np.repeat(at[1:], size)
     out: list[tuple[np.ndarray, ...]] = []
     a = 0
     while a + length <= len(buf):
@@ -83,8 +93,8 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, .
         places = np.arange(len(spot), dtype=np.uint64)
         least = _sliding_min((spot & ~np.uint64(0xFFFFFF)) | places, m) & np.uint64(0xFFFFFF)
         first = np.arange(len(least)) + a
-        text = np.searchsorted(at, first, side="right") - 1
-        inside = first + length <= at[text + 1]
+        text = owner[a : a + len(least)]
+        inside = first + length <= ends[a : a + len(least)]
         first, text, least = first[inside], text[inside], least[inside].astype(np.int64)
         if len(first):
             new = np.ones(len(first), bool)
@@ -94,11 +104,11 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, .
             lo, hi = first[head] - a, first[tail] - a + length
             content = (value[hi] - value[lo]) * undo[lo]
             content = mix(content + (least[head] - lo).astype(np.uint64) + ((hi - lo).astype(np.uint64) << np.uint64(20)))
-            out.append((text[head], first[head] - at[text[head]], tail - head, spot[least[head]], content))
+            out.append((text[head], first[head] - at[text[head]], tail - head, least[head] - lo, spot[least[head]], content))
         a += ROUND
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -108,13 +118,63 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _stretches(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([(c, pa.int64()) for c in ("doc_id", "tie", "at", "more", "anchor", "content")])
+        out = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("more", pa.int32()), ("lead", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
         for b in rounds(batches):
-            text, at, more, anchor, content = anchors(*text_bytes(b.column("text")), length)
+            text, at, more, lead, anchor, content = anchors(*text_bytes(b.column("text")), length)
             pick = pa.array(text)
-            yield to_batch(out, doc_id=b.column("doc_id").take(pick), tie=b.column("tie").take(pick), at=at, more=more, anchor=_signed(anchor), content=_signed(content))
+            yield to_batch(out, doc_id=b.column("doc_id").take(pick), tie=b.column("tie").take(pick), at=at, more=more, lead=lead, anchor=_signed(anchor), content=_signed(content))
 
-    return docs.mapInArrow(run, "doc_id long, tie long, at long, more long, anchor long, content long")
+    return docs.mapInArrow(run, "doc_id long, tie int, at int, more int, lead int, anchor long, content long")
+
+
+def blocks(buf: np.ndarray, at: np.ndarray, more: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(stretch, block, first start, starts - 1, hash of the common bytes, hash of all bytes) of each block of the stretches.
+
+    ``at`` are places in ``buf``; a block holds the starts BLOCK * b to
+    BLOCK * b + BLOCK - 1 before the anchor, as far as the stretch has them.
+    """
+    value = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[buf] * powers(len(buf))[: len(buf)], out=value[1:])
+    undo = _inverse_powers(len(buf) + 1)
+    low, high = (lead - more) // BLOCK, lead // BLOCK
+    count = high - low + 1
+    row = np.repeat(np.arange(len(at)), count)
+    b = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+    anchor = (at + lead)[row]
+    latest = anchor - BLOCK * b
+    p0, p1 = np.maximum(at[row], latest - BLOCK + 1), np.minimum((at + more)[row], latest)
+    core = mix((value[latest + length - BLOCK + 1] - value[latest]) * undo[latest] + b.astype(np.uint64))
+    span = ((anchor - p0) * BLOCK + (p1 - p0)).astype(np.uint64)
+    content = mix((value[p1 + length] - value[p0]) * undo[p0] + span)
+    return row, b, p0, p1 - p0, core, content
+
+
+def _blocks(windows: DataFrame, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema(
+            [("doc_id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("more", pa.int32()), ("anchor", pa.int64()), ("block", pa.int32()), ("core", pa.int64()), ("content", pa.int64()), ("n", pa.int64())]
+        )
+        for b in rounds(batches):
+            buf, places = text_bytes(b.column("text"))
+            doc = pc.list_parent_indices(b.column("windows")).to_numpy()
+            w = b.column("windows").flatten()
+            at, more, lead = (w.field(c).to_numpy().astype(np.int64) for c in ("at", "more", "lead"))
+            row, block, first, rest, core, content = blocks(buf, at + places[doc], more, lead, length)
+            pick = pa.array(doc[row])
+            yield to_batch(
+                out,
+                doc_id=b.column("doc_id").take(pick),
+                tie=b.column("tie").take(pick),
+                at=first - places[doc[row]],
+                more=rest,
+                anchor=w.field("anchor").take(pa.array(row)),
+                block=block,
+                core=_signed(core),
+                content=_signed(content),
+                n=w.field("n").take(pa.array(row)),
+            )
+
+    return windows.mapInArrow(run, "doc_id long, tie int, at int, more int, anchor long, block int, core long, content long, n long")
 
 
 class SuffixRun:
@@ -254,8 +314,8 @@ def _intervals(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[head, 0], owner[head, 1], owner[tail, 1]
 
 
-_RUN_SCHEMA = "part int, share binary, rest binary, owner binary, start binary, doc_ids array<long>, ties array<long>"
-_SPAN_SCHEMA = "doc_id long, tie long, first long, last long"
+_RUN_SCHEMA = "part int, share binary, rest binary, owner binary, start binary, doc_ids array<long>, ties array<int>"
+_SPAN_SCHEMA = "doc_id long, tie int, first long, last long"
 
 
 def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
@@ -263,9 +323,11 @@ def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema(
-            [("part", pa.int32()), ("share", pa.binary()), ("rest", pa.binary()), ("owner", pa.binary()), ("start", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64()))]
+            [("part", pa.int32()), ("share", pa.binary()), ("rest", pa.binary()), ("owner", pa.binary()), ("start", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ties", pa.list_(pa.int32()))]
         )
 
+        pack = zstandard.ZstdCompressor(level=1)
+
         def rows(current: SuffixRun, ids: list[int], ties: list[int]) -> pa.RecordBatch:
             entries, share, owner, repeats = current.close()
             top = entries[:, :4].copy().view(">u4").ravel().astype(np.int64)
@@ -275,7 +337,9 @@ def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
             def put(p: int, s: bytes | None, rest: bytes | None, own: np.ndarray) -> None:
                 index = np.full(len(own), -1, "<i4")
                 docs, index[own[:, 0] >= 0] = np.unique(own[own[:, 0] >= 0, 0], return_inverse=True)
-                row = (p, s, rest, index.tobytes(), own[:, 1].astype("<i8").tobytes(), [ids[d] for d in docs], [ties[d] for d in docs])
+                # Suffixes of one window overlap, which the codec of the shuffle does not see over its short blocks.
+                packed = [x if x is None else pack.compress(x) for x in (s, rest, index.tobytes(), own[:, 1].astype("<i8").tobytes())]
+                row = (p, *packed, [ids[d] for d in docs], [ties[d] for d in docs])
                 for name, v in zip(columns, row, strict=True):
                     columns[name].append(v)
 
@@ -307,6 +371,7 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
     """Suffix starts that repeat, as runs of neighbours: doc_id, tie, first, last."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
         coded = rows["share"].notna().to_numpy()
         owners = []
         docs: dict[tuple, int] = {}
@@ -319,10 +384,10 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
                     names.append(pair)
                 local.append(docs[pair])
             # Index -1, an entry that only stands for others, reads the last place.
-            owners.append((np.array([*local, -1], np.int64)[np.frombuffer(own, "<i4")], np.frombuffer(start, "<i8")))
+            owners.append((np.array([*local, -1], np.int64)[np.frombuffer(unpack(own), "<i4")], np.frombuffer(unpack(start), "<i8")))
         found = [np.stack(o, 1) for o, c in zip(owners, coded, strict=True) if not c]
         index = np.flatnonzero(coded)
-        runs = [(rows["share"].iloc[i], rows["rest"].iloc[i]) for i in index]
+        runs = [(unpack(rows["share"].iloc[i]), unpack(rows["rest"].iloc[i])) for i in index]
         width = KEY_BYTES + length
         pairs, before = [], (0, 0)
         for r, e, k in merge_runs(runs, width):
@@ -335,37 +400,57 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
             found.append(np.array([[o[e], s[e]]]))
         own = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         doc, first, last = _intervals(own[own[:, 0] >= 0])
-        return pd.DataFrame({"doc_id": [names[d][0] for d in doc], "tie": [names[d][1] for d in doc], "first": first, "last": last}).astype({"first": "int64", "last": "int64"})
+        return pd.DataFrame({"doc_id": [names[d][0] for d in doc], "tie": [names[d][1] for d in doc], "first": first, "last": last}).astype({"doc_id": "int64", "tie": "int32", "first": "int64", "last": "int64"})
 
     return runs.groupBy("part").applyInPandas(merge, _SPAN_SCHEMA)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``tie``: with the id it tells rows of different texts apart; equal rows may share what is found."""
-    return docs.withColumn("tie", F.xxhash64("text"))
+    """``docs`` with _id and _tie, which tell rows of different texts apart (equal rows may share what is found), and _text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1 << 63)), "_tie": F.hash(text), "_text": text})
+
+
+def _with_texts(keyed: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, tie, text and an array ``windows`` of the fields of ``found``, which has its place in ``w``; bounded by the text's length."""
+    inside = found.select("w.doc_id", "w.tie", *[F.col(c if c in found.columns else f"w.{c}").alias(c) for c in fields])
+    per_doc = inside.groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.collect_list(F.struct(*fields)).alias("windows"))
+    joined = keyed.join(per_doc, (F.col("_id") == F.col("_d")) & (F.col("_tie") == F.col("_t")))
+    return joined.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("_text").alias("text"), "windows")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, tie and spans (array of start, end in bytes, not yet united) of the documents that hold repeated strings."""
-    keyed = _keyed(docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).where(F.octet_length("text") >= length)
-    stretches = _stretches(keyed, length)
+    keyed = _keyed(docs)
+    texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("_text").alias("text"))
+    stretches = _stretches(texts.where(F.octet_length("text") >= length), length)
     again = stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
     again = stored(again.where("n >= 2").select("_anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     hit = stored(stretches.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "stretches")
 
     mixed = hit.where("mixed")
-    first = F.min(F.struct("doc_id", "tie", "at", "more")).alias("w")
-    kinds = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first), "kinds")
+    place = F.min(F.struct("doc_id", "tie", "at", "more", "lead")).alias("w")
+    kinds = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place), "kinds")
     whole = kinds.where("n >= 2").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
     equal = mixed.join(whole, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi")
-    equal = hit.where("not mixed").unionByName(equal)
-
-    total = kinds.agg(F.sum(F.col("w.more") + 1)).first()[0] or 0
+    equal = hit.where("not mixed").unionByName(equal).select("doc_id", "tie", "at", "more")
+
+    blocks_ = stored(_blocks(_with_texts(keyed, kinds, "at", "more", "lead", "anchor", "n"), length), "blocks")
+    place = F.min(F.struct("doc_id", "tie", "at", "more")).alias("w")
+    unlike = blocks_.groupBy("anchor", "block", "content").agg(F.sum("n").alias("n"), F.min("core").alias("core"), place)
+    unlike = stored(unlike, "unlike-blocks")
+    twice = unlike.where("n >= 2").select(F.col("anchor").alias("_a"), F.col("block").alias("_b"), F.col("content").alias("_c"))
+    same = (F.col("anchor") == F.col("_a")) & (F.col("block") == F.col("_b")) & (F.col("content") == F.col("_c"))
+    equal = equal.unionByName(blocks_.where("n = 1").join(twice, same, "left_semi").select("doc_id", "tie", "at", "more"))
+
+    # Blocks with the same common bytes that differ at an end: only there single suffixes have to be compared.
+    ends = unlike.groupBy(F.col("anchor").alias("_a"), F.col("block").alias("_b"), F.col("core").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+    same = (F.col("anchor") == F.col("_a")) & (F.col("block") == F.col("_b")) & (F.col("core") == F.col("_c"))
+    rest = unlike.join(ends, same, "left_semi").select(F.xxhash64("anchor", "block").alias("anchor"), "w", (F.col("n") >= 2).alias("known"))
+    rest = stored(rest, "single-suffixes")
+    total = rest.agg(F.sum(F.col("w.more") + 1)).first()[0] or 0
     parts = max(1, -(-total // MERGE_ROWS))
-    window = F.struct(F.col("w.at").alias("at"), F.col("w.more").alias("more"), "anchor", (F.col("n") >= 2).alias("known"))
-    per_doc = kinds.groupBy(F.col("w.doc_id").alias("_d"), F.col("w.tie").alias("_t")).agg(F.collect_list(window).alias("windows"))  # bounded by the text's length
-    windows = keyed.join(per_doc, (F.col("doc_id") == F.col("_d")) & (F.col("tie") == F.col("_t")))
-    ends = _merge(_runs(windows, length, parts), length)
+    ends = _merge(_runs(_with_texts(keyed, rest, "at", "more", "anchor", "known"), length, parts), length)
 
     spans = equal.select("doc_id", "tie", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("more") + length).alias("end")).alias("span"))
     spans = spans.unionByName(ends.select("doc_id", "tie", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span")))
@@ -391,9 +476,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     covered.  An empty table stays empty.  Cuts may fall inside a character.
     """
     spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("spans").alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
-    on = (F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_d")) & (F.xxhash64(text) == F.col("_t"))
-    joined = docs.join(spans, on, "left").drop("_d", "_t")
+    joined = _keyed(docs).join(spans, (F.col("_id") == F.col("_d")) & (F.col("_tie") == F.col("_t")), "left").drop("_d", "_t", "_id", "_tie", "_text")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,11 +33,16 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
 
 
+def grown(n: int) -> int:
+    """Size of a table that is asked for ``n`` entries; few sizes, little waste."""
+    return max(1024, n if n < 1 << 18 else -(-n // (1 << 18)) * (1 << 18))
+
+
 def powers(n: int) -> np.ndarray:
     """BASE ** 0, 1, ... modulo 2 ** 64, at least ``n`` of them."""
     global _powers
     if len(_powers) < n:
-        step = np.full(max(n, 2 * len(_powers)), BASE, np.uint64)
+        step = np.full(grown(n), BASE, np.uint64)
         step[0] = 1
         _powers = np.multiply.accumulate(step)
     return _powers
