@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import fingerprints, host_rules, language, neighbours, packing, pieces, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, language, neighbours, packing, partenum, pieces, repeats, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -63,3 +63,9 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules per document and verdicts per host."""
     return host_rules.judge(read(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@query("op9_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 3/4 of its five-word shingles."""
+    return partenum.near_duplicates(read(spark, sf_dir, "documents"))

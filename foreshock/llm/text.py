@@ -48,12 +48,12 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def rounds(batches: Iterator[pa.RecordBatch], limit: int = ROUND_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about ``limit`` bytes of column ``text`` and at most ``rows`` rows; never an empty slice."""
+def rounds(batches: Iterator[pa.RecordBatch], limit: int = ROUND_BYTES, rows: int = 1000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``limit`` bytes of ``column`` and at most ``rows`` rows; never an empty slice."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(size, dtype=np.int64)
         at = 0
         while at < batch.num_rows:
