@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import remainder
 from foreshock.llm.ngrams import ngram_counts, unit_rows
 from foreshock.llm.sampling import one_label, sample_labelled
-from foreshock.llm.text import distinct_per_row, rounds, shingles, text_bytes, to_batch, words
+from foreshock.llm.text import distinct_per_row, keep_rows, rounds, shingles, text_bytes, to_batch, words
 
 DIMS = 2048
 SIZES = (1, 2, 3)
@@ -133,3 +133,8 @@ def classify_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of all documents."""
     model = learn_quality(docs, labels)
     return classify(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: VoteModel | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows, with all columns, that :func:`classify` does not reject."""
+    return docs if model is None else keep_rows(docs, lambda texts: model.score(features(texts)) >= threshold)

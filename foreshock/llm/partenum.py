@@ -378,3 +378,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = profile.join(of_set, (F.col("s") == F.col("_s")) & (n > 0), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents of a component other than that with its smallest id; rows with a null id stay."""
+    others = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_other_id")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("_other_id"), "left_anti")

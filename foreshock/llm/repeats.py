@@ -406,23 +406,23 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _id and _tie, which tell rows of different texts apart (equal rows may share what is found), and _text."""
+    """``docs`` with an id and a tie, which tell rows of different texts apart (equal rows may share what is found), and the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1 << 63)), "_tie": F.hash(text), "_text": text})
+    return docs.withColumns({"_repeats_id": F.coalesce("doc_id", F.lit(-1 << 63)), "_repeats_tie": F.hash(text), "_repeats_text": text})
 
 
 def _with_texts(keyed: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
     """doc_id, tie, text and an array ``windows`` of the fields of ``found``, which has its place in ``w``; bounded by the text's length."""
     inside = found.select("w.doc_id", "w.tie", *[F.col(c if c in found.columns else f"w.{c}").alias(c) for c in fields])
-    per_doc = inside.groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.collect_list(F.struct(*fields)).alias("windows"))
-    joined = keyed.join(per_doc, (F.col("_id") == F.col("_d")) & (F.col("_tie") == F.col("_t")))
-    return joined.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("_text").alias("text"), "windows")
+    per_doc = inside.groupBy(F.col("doc_id").alias("_repeats_d"), F.col("tie").alias("_repeats_t")).agg(F.collect_list(F.struct(*fields)).alias("windows"))
+    joined = keyed.join(per_doc, (F.col("_repeats_id") == F.col("_repeats_d")) & (F.col("_repeats_tie") == F.col("_repeats_t")))
+    return joined.select(F.col("_repeats_id").alias("doc_id"), F.col("_repeats_tie").alias("tie"), F.col("_repeats_text").alias("text"), "windows")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, tie and spans (array of start, end in bytes, not yet united) of the documents that hold repeated strings."""
     keyed = _keyed(docs)
-    texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("_text").alias("text"))
+    texts = keyed.select(F.col("_repeats_id").alias("doc_id"), F.col("_repeats_tie").alias("tie"), F.col("_repeats_text").alias("text"))
     stretches = _stretches(texts.where(F.octet_length("text") >= length), length)
     again = stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
     again = stored(again.where("n >= 2").select("_anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
@@ -468,30 +468,34 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes).
+def remove_repeats(docs: DataFrame, length: int = 200, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes), which replace columns so named.
+
+    ``as_text`` gives ``kept`` as a string, without the bytes of characters that were cut.
 
     A null text is empty and keeps nothing; texts under ``length`` bytes stay
     whole.  Repeated rows repeat each other's text and lose all of it that is
     covered.  An empty table stays empty.  Cuts may fall inside a character.
     """
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("spans").alias("_spans"))
-    joined = _keyed(docs).join(spans, (F.col("_id") == F.col("_d")) & (F.col("_tie") == F.col("_t")), "left").drop("_d", "_t", "_id", "_tie", "_text")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_repeats_d"), F.col("tie").alias("_repeats_t"), F.col("spans").alias("_repeats_spans"))
+    joined = _keyed(docs).join(spans, (F.col("_repeats_id") == F.col("_repeats_d")) & (F.col("_repeats_tie") == F.col("_repeats_t")), "left").drop("_repeats_d", "_repeats_t", "_repeats_id", "_repeats_tie", "_repeats_text")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
             sizes, removed, counts, kept = [], [], [], []
-            for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for t, s in zip(b.column("text").to_pylist(), b.column("_repeats_spans").to_pylist(), strict=True):
                 raw = (t or "").encode()
                 cut = unite([(x["start"], x["end"]) for x in s]) if s else []
                 edges = [0, *(e for x in cut for e in x), len(raw)]
                 sizes.append(len(raw))
-                kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(len(raw) - len(kept[-1]))
+                left = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(left.decode(errors="ignore") if as_text else left)
+                removed.append(len(raw) - len(left))
                 counts.append(len(cut))
-            new = [pa.array(x, pa.int64()) for x in (sizes, removed, counts)] + [pa.array(kept, pa.binary())]
+            new = [pa.array(x, pa.int64()) for x in (sizes, removed, counts)] + [pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *new], [*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")
     return joined.mapInArrow(run, schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled by one round of array operations; a longer single text is a round of its own.
 ROUND_BYTES = 2 << 20
@@ -151,3 +152,13 @@ def to_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type, from_pandas=False) for f in schema], schema=schema
     )
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, for whose texts ``decide`` says yes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rounds(batches):
+            yield b.filter(pa.array(decide(b.column("text")), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

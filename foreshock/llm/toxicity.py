@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foreshock.llm.base import remainder, stored
 from foreshock.llm.sampling import one_label, sample_labelled
-from foreshock.llm.text import rounds, to_batch
+from foreshock.llm.text import keep_rows, rounds, to_batch
 
 #: Labelled documents of each label that the lexicon is learned from, at most.
 SAMPLE_PER_LABEL = 1500
@@ -260,3 +260,8 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, hits of all documents."""
     lexicon = learn_toxicity(docs, labels)
     return score(docs, lexicon).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "hits")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows, with all columns, that :func:`score` does not predict to be toxic."""
+    return keep_rows(docs, lambda texts: np.array([lexicon.score(lexicon.strength(fold(t))[0]) < threshold for t in texts.to_pylist()], bool))
