@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import fingerprints, host_rules, language, neighbours, packing, partenum, pieces, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, pieces, repeats, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -69,3 +69,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of at least 3/4 of its five-word shingles."""
     return partenum.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op8_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a Katz bigram model of six sevenths of them."""
+    return katz.score_held_out(read(spark, sf_dir, "documents"))
