@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import remainder, stored
 from foreshock.llm.text import mix, rounds, text_bytes, to_batch, words
 
-#: Words that are classes of their own; all others are class RARE, and BEGIN only ever precedes.
+#: Words that are classes of their own (65,534 at most); the class after them is that of all others, and one more, the begin, only ever precedes.
 SHORTLIST = 65_000
-RARE, BEGIN = SHORTLIST, SHORTLIST + 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END_HASH = np.uint64(0x5DEECE66D1234567)
@@ -84,6 +83,7 @@ class KatzModel:
 
     tables: DataFrame  # part, kind, keys, counts
     parts: int
+    rare: int  # class of the words outside the shortlist
     total: int  # tokens
     distinct: int  # different tokens
     names: np.ndarray  # hashes of the shortlist, ascending
@@ -103,9 +103,9 @@ class KatzModel:
 
     def classes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.names):
-            return np.full(len(h), RARE)
+            return np.full(len(h), self.rare)
         at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names[at] == h, self.number[at], RARE)
+        return np.where(self.names[at] == h, self.number[at], self.rare)
 
     def word_chance(self, count: np.ndarray) -> np.ndarray:
         """Probability of words by count, by the unigram model."""
@@ -124,7 +124,7 @@ def _pairs(model: KatzModel, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray
     before[1:] = now[:-1]
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    before[first] = BEGIN
+    before[first] = model.rare + 1
     return now, (before << 16 | now).astype(np.uint64)
 
 
@@ -184,7 +184,7 @@ def _often(table: DataFrame) -> dict[int, int]:
     return {r: sums[str(r)] or 0 for r in range(1, DISCOUNTED + 2)}
 
 
-def fit(docs: DataFrame) -> KatzModel:
+def fit(docs: DataFrame, shortlist: int = SHORTLIST) -> KatzModel:
     """Model of the texts of ``docs``; a null text is empty and has only its end.
 
     Without rows every token is unknown.
@@ -199,11 +199,11 @@ def fit(docs: DataFrame) -> KatzModel:
         for b in batches:
             for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 h, c = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")
-                top = np.lexsort((h, -c))[:SHORTLIST]
+                top = np.lexsort((h, -c))[:shortlist]
                 yield to_batch(out, h=h[top].view(np.int64), c=c[top])
 
-    top = table.select("keys", "counts").mapInArrow(leading, "h long, c long").orderBy(F.desc("c"), "h").limit(SHORTLIST).toPandas()  # the shortlist
-    names, count = top["h"].to_numpy(np.int64).view(np.uint64), np.zeros(SHORTLIST, np.int64)
+    top = table.select("keys", "counts").mapInArrow(leading, "h long, c long").orderBy(F.desc("c"), "h").limit(shortlist).toPandas()  # the shortlist
+    names, count = top["h"].to_numpy(np.int64).view(np.uint64), np.zeros(shortlist, np.int64)
     count[: len(top)] = top["c"]
     order = np.argsort(names)
     keep = discounts(_often(table))
@@ -212,16 +212,16 @@ def fit(docs: DataFrame) -> KatzModel:
     spare = 1 - kept / total if total else 1.0
     unknown = max(spare, 1 / (total + distinct + 1))
     scale = (1 - unknown) * total / kept if kept else 0.0
-    model = KatzModel(table.select("part", "kind", "keys", "counts"), parts, total, distinct, names[order], order, count, keep, unknown, scale)
-    model.chance = np.zeros(SHORTLIST + 2)
-    model.chance[:SHORTLIST] = np.where(count > 0, model.word_chance(count), 0)
-    model.chance[RARE] = max(1 - model.chance.sum(), unknown)
+    model = KatzModel(table.select("part", "kind", "keys", "counts"), parts, shortlist, total, distinct, names[order], order, count, keep, unknown, scale)
+    model.chance = np.zeros(shortlist + 2)
+    model.chance[:shortlist] = np.where(count > 0, model.word_chance(count), 0)
+    model.chance[shortlist] = max(1 - model.chance.sum(), unknown)
     model.chance /= model.chance.sum()
 
     pairs = stored(_counts(docs, parts, PAIRS, model), "pair-counts")
     model.keep_pairs = discounts(_often(pairs))
     history = _history(pairs, model)
-    model.after, seen, covered = np.zeros(SHORTLIST + 2), np.zeros(SHORTLIST + 2), np.zeros(SHORTLIST + 2)
+    model.after, seen, covered = np.zeros(shortlist + 2), np.zeros(shortlist + 2), np.zeros(shortlist + 2)
     h = history["h"].to_numpy()
     model.after[h], seen[h], covered[h] = history["total"], history["seen"], history["covered"]
     share = np.where(model.after > 0, seen / np.maximum(1, model.after), 0)
@@ -290,7 +290,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
             rows = b.num_rows
             row, h = tokens(b.column("text"))
             now, pair = _pairs(model, row, h)
-            common = now < SHORTLIST
+            common = now < model.rare
             n = np.bincount(row, minlength=rows)
             columns: dict[str, list] = {f.name: [] for f in out}
 
@@ -328,7 +328,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
                 count = np.where(names[at] == keys, counts[at], 0)
             times, row = np.frombuffer(e.times, "<u4"), np.frombuffer(e.rows, "<u2")
             if e.kind == WORDS:
-                value = np.log10(model.word_chance(count)) - np.log10(model.chance[RARE])
+                value = np.log10(model.word_chance(count)) - np.log10(model.chance[model.rare])
                 base, known = (np.bincount(row, np.repeat(x, times)) for x in (np.log10(count + 1.0), count > 0))
                 base, known = base.tobytes(), known.astype(np.int64).tobytes()
             else:
@@ -356,8 +356,8 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     return summed.groupBy("batch").applyInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, shortlist: int = SHORTLIST) -> DataFrame:
     """Learned from six sevenths of the documents and applied to all."""
     held_out = remainder("doc_id", 7) == 2
-    model = fit(docs.where(~held_out).select("text"))
+    model = fit(docs.where(~held_out).select("text"), shortlist)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

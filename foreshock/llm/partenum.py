@@ -312,15 +312,17 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and component of all ends of ``links`` (x, y); equal numbers are connected.
 
-    Each round every node joins its smallest neighbour and links are redrawn
-    between the joined; the number of rounds grows with the logarithm of the
-    largest component.
+    Each round every node joins the one of its neighbours that a hash, new in
+    each round, puts first, and links are redrawn between the joined; the number
+    of rounds grows with the logarithm of the largest component.
     """
     links = stored(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "links")
-    label = None
+    label, turn = None, 0
     while not links.isEmpty():
+        turn += 1
         ends = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        parent = ends.groupBy(F.col("x").alias("_n")).agg(F.min("y").alias("_p")).select("_n", F.least("_n", "_p").alias("_p"))
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        parent = ends.groupBy(F.col("x").alias("_n")).agg(F.min(ranked("y")).alias("_m")).select("_n", F.least("_m", ranked("_n"))["v"].alias("_p"))
         parent = stored(parent, "parents")
         if label is None:
             label = parent.select(F.col("_n").alias("node"), F.col("_p").alias("component"))
@@ -360,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     The component is named by its smallest doc_id.  A null or empty text, or one
     of white space, has no shingles and is a component of its own.  Rows with a
     null id may connect others but have a null component.  Repeated rows are
-    repeated in the result.
+    repeated in the result; different texts under one id are told apart.
     """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (12 * PART_ENTRIES)))
@@ -381,6 +383,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of a component other than that with its smallest id; rows with a null id stay."""
-    others = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_other_id")).distinct()
+    """``docs`` without the documents of a component other than that with its smallest id.
+
+    Rows with a null id stay, and so do all rows of an id that is the smallest of any of its texts' components.
+    """
+    first = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
+    others = near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_other_id")).agg(first.alias("_first"))
+    others = others.where("_first = 0").select("_other_id")
     return docs.join(others, F.col("doc_id") == F.col("_other_id"), "left_anti")
