@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import stored
 from foreshock.llm.text import rounds, to_batch
 
-#: Words kept per Python worker; about 200 bytes each.  The cache is emptied when full.
-CACHED_WORDS = 700_000
+#: Words kept per Python worker; about 250 bytes each.  When there are more, those of the last texts stay.
+CACHED_WORDS = 300_000
 #: Pieces per block in which ranks are counted.
 BLOCK_ROWS = 4000
 
@@ -66,8 +66,6 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         get = self.known.get
         found = [list(map(get, s)) for s in split]
@@ -78,7 +76,10 @@ class WordTokenizer:
         self._learn(sorted(single.difference(self.known)))
         for c in cut:
             self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
-        return [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
+        ids = [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""} | {w: get(w) for s in split for w in s}
+        return ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

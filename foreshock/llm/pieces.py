@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from foreshock.llm.text import rounds, to_batch
 
 SPACE_MARK = "▁"
-#: Chunks kept per Python worker; about 200 bytes each.  The cache is emptied when full.
-CACHED_CHUNKS = 700_000
+#: Chunks kept per Python worker; about 250 bytes each.  When there are more, those of the last texts stay.
+CACHED_CHUNKS = 300_000
 
 
 def _number(b: bytes, i: int) -> tuple[int, int]:
@@ -214,13 +214,13 @@ class PieceCodec:
         if self.chunks is None:
             ids = [self._ids(t) for t, _ in normal]
         else:
-            if len(self.known) > CACHED_CHUNKS:
-                self.known = {}
             split = [self.chunks.findall(t) for t, _ in normal]
             get = self.known.get
             found = [list(map(get, s)) for s in split]
             self._learn({c for s, f in zip(split, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None})
             ids = [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
+            if len(self.known) > CACHED_CHUNKS:
+                self.known = {c: get(c) for s in split for c in s}
         out = []
         for x, (_, source) in zip(ids, normal, strict=True):
             x = np.frombuffer(x, "<u4")
