@@ -187,10 +187,17 @@ def rank_test_sql(source: str, keys: str) -> str:
     GROUP BY {keys}, feature))"""
 
 
+LOG_P_SQL = (
+    "CASE WHEN n_distinct = 2 THEN CASE WHEN p_value > 0 THEN ln(p_value) ELSE -1e300 END WHEN z IS NULL THEN 0 ELSE ln("
+    + erfc_sql("(z / sqrt(2e0))").rsplit(" * exp(", 1)[0].removeprefix("(")
+    + ") - z * z / 2 END"
+)
+
+
 def fdr_sql(source: str, keys: str) -> str:
     return f"""SELECT *, least(1, min(raw) OVER (PARTITION BY {keys} ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted FROM (
   SELECT *, p_value * count(*) OVER (PARTITION BY {keys}) * sum(1e0 / rank) OVER (PARTITION BY {keys}) / rank AS raw FROM (
-    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(p_value, 12), feature) AS rank FROM {source}))"""
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round({LOG_P_SQL}, 9), feature) AS rank FROM {source}))"""
 
 
 cte("feat_y", "SELECT f.*, is_erupted FROM feat f JOIN y ON f.series = y.series AND f.id = y.id", "feat", "y")

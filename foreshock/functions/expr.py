@@ -74,6 +74,15 @@ def erfc(z: Column) -> Column:
     return poly * F.exp(-z * z)
 
 
+def log_erfc(z: Column) -> Column:
+    """ln of :func:`erfc`; falls with z however far out."""
+    k = F.lit(1.0) / (F.lit(1.0) + F.lit(ERFC_P) * z)
+    poly = F.lit(0.0)
+    for a in reversed(ERFC_A):
+        poly = (poly + F.lit(a)) * k
+    return F.log(poly) - z * z
+
+
 def epoch(c: str | Column) -> Column:
     """Seconds since 1970 as DOUBLE, keeping microseconds."""
     return F.unix_micros(col(c)).cast("double") / F.lit(1e6)

@@ -18,8 +18,8 @@ from foreshock.functions.expr import SECONDS_PER_DAY, require_columns
 def slices(tremor: DataFrame, labels: DataFrame, days: float, step_s: int) -> DataFrame:
     """``(series, id, metric, ts, v)`` with ``ts`` in [label - days, label).
 
-    Labels must lie on multiples of ``step_s`` from midnight; the span of the
-    labels is pushed to the tremor rows before they are multiplied.
+    Labels must lie on multiples of ``step_s`` from midnight.  Tremor rows of days
+    that no look-back touches are left out before rows are multiplied.
     """
     width_s = int(days * SECONDS_PER_DAY)
     if width_s <= 0:
@@ -29,7 +29,10 @@ def slices(tremor: DataFrame, labels: DataFrame, days: float, step_s: int) -> Da
         # Ends of the look-backs that hold a row: the next width/step multiples of the step.
         first = F.floor(F.unix_micros("ts") / F.lit(step_s * 1_000_000)) + 1
         ends = F.sequence(first, first + F.lit(width_s // step_s - 1))
-        spread = tremor.select("series", "metric", "ts", "v", F.explode(ends).alias("_e")).select(
+        day = F.sequence(F.to_date(F.timestamp_seconds(F.unix_seconds("_end") - F.lit(width_s))), F.to_date("_end"))
+        days_ = keys.select("series", F.explode(day).alias("_day")).distinct()
+        near = tremor.withColumn("_day", F.to_date("ts")).join(days_, ["series", "_day"], "left_semi")
+        spread = near.select("series", "metric", "ts", "v", F.explode(ends).alias("_e")).select(
             "series", "metric", "ts", "v", F.timestamp_seconds(F.col("_e") * F.lit(step_s)).alias("_end")
         )
         return spread.join(keys, ["series", "_end"]).select("series", "id", "metric", "ts", "v")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.functions.blocked import average_ranks, value_histogram
-from foreshock.functions.expr import correlation, erfc, failing_rows
+from foreshock.functions.expr import correlation, erfc, failing_rows, log_erfc
 from foreshock.functions.reuse import join_back, keep
 from foreshock.operators.features.extract import describe_features
 
@@ -93,12 +93,17 @@ def fdr_filter(p_values: DataFrame, level: float = 0.05, keys: Sequence[str] = D
     """Benjamini-Yekutieli: add ``rank``, ``adjusted`` and ``relevant``.
 
     One window per key over the list of features, whose length is the number of
-    calculators and does not grow with the data.  Equal p-values are ordered by
-    feature name.
+    calculators and does not grow with the data.  The order is that of ln p,
+    taken from the statistic where there is one, so features far beyond the
+    smallest p-value are still told apart; equal ones are ordered by name.
     """
     keys = list(keys)
-    # Rounded so that p-values equal up to summation order count as ties.
-    order = Window.partitionBy(*keys).orderBy(F.round("p_value", 12), "feature")
+    log_p = F.coalesce(F.log("p_value"), F.lit(-1e300))
+    if "z" in p_values.columns:
+        tail = (F.col("n_distinct") != 2) & F.col("z").isNotNull()
+        log_p = F.when(tail, log_erfc(F.col("z") / F.lit(math.sqrt(2)))).otherwise(log_p)
+    # Rounded so that values equal up to summation order count as ties.
+    order = Window.partitionBy(*keys).orderBy(F.round(log_p, 9), "feature")
     whole = Window.partitionBy(*keys)
     up = order.rowsBetween(0, Window.unboundedFollowing)
     ranked = p_values.withColumn("rank", F.row_number().over(order).cast("long"))
@@ -198,6 +203,9 @@ def common_features(tables: Mapping[str, DataFrame], mean: bool = False) -> Data
         F.coalesce(fn("score_std"), F.lit(0.0)).alias("score_std"),
     )
     common = agg.where(F.col("_k") == len(tables)).drop("_k").withColumn("_all", F.lit(1))
+    # One row for each name of the calculators: none in common is an error at once.
+    if common.isEmpty():
+        raise ValueError("no feature is common to all tables")
     ranked = common.withColumn("position", _order(common, ["_all"]).cast("long")).drop("_all")
     return describe_features(ranked.withColumn("alias", F.concat(F.lit("ft_"), F.col("position")))).drop("short_name")
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -35,9 +36,9 @@ KINDS = ["svm", "dt", "rf", "gb", "nn", "nb", "lr", "voting", "lite-rf"]
 # Kinds whose classes are weighted by n / (2 n_class) by default.
 WEIGHTED = {"svm", "dt", "rf", "lite-rf", "lr"}
 
-# Hyper-parameter grids, in Spark ML names.
+# Hyper-parameter grids, in Spark ML names; C is the weight of the summed loss against the penalty.
 GRIDS: dict[str, dict[str, list]] = {
-    "svm": {"regParam": [1000.0, 100.0, 10.0, 1.0, 0.1]},
+    "svm": {"C": [0.001, 0.01, 0.1, 1.0, 10.0]},
     "dt": {"maxDepth": [3, 5, 7], "impurity": ["gini", "entropy"]},
     "rf": {
         "numTrees": [50, 100],
@@ -48,8 +49,8 @@ GRIDS: dict[str, dict[str, list]] = {
     },
     "gb": {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1], "subsamplingRate": [0.8, 1.0]},
     "nn": {"hidden": [(50,), (100,), (100, 50), (100, 100)], "stepSize": [0.001, 0.01]},
-    "nb": {"smoothing": [1.0]},
-    "lr": {"regParam": [1000.0, 100.0, 10.0, 1.0, 0.1], "elasticNetParam": [0.0, 0.15, 0.5, 0.85, 1.0]},
+    "nb": {},
+    "lr": {"C": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 0.15, 0.5, 0.85, 1.0]},
     "lite-rf": {
         "numTrees": [10, 30, 100],
         "maxDepth": [3, 5, 7],
@@ -59,6 +60,10 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+#: Smallest, median and largest finite value of a feature in the training rows.
+Fill = tuple[float, float, float]
+
+
 @dataclass
 class SeedModel:
     """A fitted model of one seed with the features it reads, in order."""
@@ -67,18 +72,52 @@ class SeedModel:
     seed: int
     features: list[str]
     models: list[Model] = field(default_factory=list)
+    fill: list[Fill] = field(default_factory=list)
+
 
+def fill_values(features: DataFrame, names: Sequence[str]) -> list[Fill]:
+    """Smallest, median and largest finite value of each named feature; an absent name is an error.
 
-def matrix(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(series, id, x)``: one array of the named features per id; all must be present."""
-    wide = features.where(F.col("feature").isin(list(names))).groupBy("series", "id").agg(
-        *[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(f"_{i}") for i, n in enumerate(names)]
+    One row per name reaches the driver.
+    """
+    value = F.col("value")
+    finite = F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+    stats = features.where(F.col("feature").isin(list(names))).groupBy("feature").agg(
+        F.min(finite).alias("lo"), F.percentile(finite, 0.5).alias("mid"), F.max(finite).alias("hi")
     )
-    cols = [F.col(f"_{i}") for i in range(len(names))]
-    whole = cols[0].isNotNull()
-    for c in cols[1:]:
-        whole = whole & c.isNotNull()
-    return wide.where(whole).select("series", "id", F.array(*cols).alias("x"))
+    found = {r["feature"]: tuple(float(v) if v is not None else 0.0 for v in (r["lo"], r["mid"], r["hi"])) for r in stats.collect()}
+    absent = [n for n in names if n not in found]
+    if absent:
+        raise ValueError(f"features are absent: {absent}")
+    return [found[n] for n in names]
+
+
+def _pivoted(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per id with column ``_i`` for the i-th name; ids without any of them have a row too."""
+    named = [F.max(F.when(F.col("feature") == n, F.col("value"))).alias(f"_{i}") for i, n in enumerate(names)]
+    return features.groupBy("series", "id").agg(*named)
+
+
+def _filled(columns: Sequence[str], fill: Sequence[Fill]) -> Column:
+    inf = F.lit(float("inf"))
+    out = []
+    for c, (lo, mid, hi) in zip(columns, fill, strict=True):
+        v = F.col(c)
+        missing = v.isNull() | F.isnan(v)
+        out.append(F.when(missing, F.lit(mid)).when(v == inf, F.lit(hi)).when(v == -inf, F.lit(lo)).otherwise(v))
+    return F.array(*out)
+
+
+def matrix(features: DataFrame, names: Sequence[str], fill: Sequence[Fill] | None = None) -> DataFrame:
+    """``(series, id, x)``: one array of the named features for every id.
+
+    A missing value becomes the median of ``fill``, an infinite one its largest
+    or smallest; without ``fill`` they are those of ``features``.  A name that
+    ``features`` lacks is an error.
+    """
+    fill = fill_values(features, names) if fill is None else fill
+    wide = _pivoted(features, names)
+    return wide.select("series", "id", _filled([f"_{i}" for i in range(len(names))], fill).alias("x"))
 
 
 def with_weights(train: DataFrame, weighted: bool) -> DataFrame:
@@ -94,9 +133,18 @@ def with_weights(train: DataFrame, weighted: bool) -> DataFrame:
     return out.withColumn("weight", w)
 
 
-def estimator(kind: str, seed: int, n_features: int, params: Mapping[str, object] | None = None):
-    """Unfitted Spark ML estimator of a kind."""
-    p = dict(params or {})
+def penalty(params: Mapping[str, object], n_rows: int) -> dict[str, object]:
+    """``C`` as Spark's ``regParam``, which weighs the penalty against the mean loss: 1 / (n C)."""
+    p = dict(params)
+    if "C" in p:
+        p["regParam"] = 1.0 / (max(1, n_rows) * float(p.pop("C")))
+    return p
+
+
+def estimator(kind: str, seed: int, n_features: int, params: Mapping[str, object] | None = None, n_rows: int = 1):
+    """Unfitted Spark ML estimator of a kind, for ``n_rows`` training rows."""
+    p = {"C": 1.0, **(params or {})} if kind in ("lr", "svm") and "regParam" not in (params or {}) else dict(params or {})
+    p = penalty(p, n_rows)
     io = {"featuresCol": "features", "labelCol": "label"}
     w = {**io, "weightCol": "weight"}
     if kind == "rf":
@@ -106,23 +154,28 @@ def estimator(kind: str, seed: int, n_features: int, params: Mapping[str, object
     if kind == "dt":
         return DecisionTreeClassifier(**w, seed=seed, **{"maxDepth": 5, **p})
     if kind == "gb":
-        return GBTClassifier(**w, seed=seed, **{"maxIter": 20, "maxDepth": 3, **p})
+        return GBTClassifier(**w, seed=seed, **{"maxIter": 100, "maxDepth": 3, **p})
     if kind == "lr":
-        return LogisticRegression(**w, **{"regParam": 0.1, "elasticNetParam": 0.0, **p})
+        return LogisticRegression(**w, **{"elasticNetParam": 0.0, **p})
     if kind == "nb":
         return NaiveBayes(**w, modelType="gaussian", **p)
     if kind == "svm":
-        return LinearSVC(**w, **{"regParam": 0.1, "maxIter": 20, "tol": 1e-4, **p})
+        return LinearSVC(**w, **{"maxIter": 100, "tol": 1e-4, **p})
     if kind == "nn":
         hidden = list(p.pop("hidden", (50,)))
-        return MultilayerPerceptronClassifier(**io, seed=seed, layers=[n_features, *hidden, 2], **{"maxIter": 50, **p})
+        return MultilayerPerceptronClassifier(**io, seed=seed, layers=[n_features, *hidden, 2], **{"maxIter": 1000, "tol": 1e-4, **p})
     raise ValueError(f"unknown classifier {kind}; choose from {KINDS}")
 
 
 def fit_classifier(
-    kind: str, train: DataFrame, names: Sequence[str], seed: int = 0, params: Mapping[str, object] | None = None
+    kind: str,
+    train: DataFrame,
+    names: Sequence[str],
+    seed: int = 0,
+    params: Mapping[str, object] | None = None,
+    fill: Sequence[Fill] = (),
 ) -> SeedModel:
-    """Fit one kind on ``train(series, id, x, is_erupted)``.
+    """Fit one kind on ``train(series, id, x, is_erupted)``; ``fill`` is kept for scoring.
 
     ``voting`` is the soft mean of the forest and the boosted trees.
     """
@@ -130,11 +183,12 @@ def fit_classifier(
         raise ValueError(f"unknown classifier {kind}; choose from {KINDS}")
     parts = ["rf", "gb"] if kind == "voting" else [kind]
     models = []
+    n_rows = train.count() if kind in ("lr", "svm") else 1
     for part in parts:
         data = with_weights(train, part in WEIGHTED)
         own = {} if kind == "voting" else params
-        models.append(estimator(part, seed, len(names), own).fit(data))
-    return SeedModel(kind, seed, list(names), models)
+        models.append(estimator(part, seed, len(names), own, n_rows).fit(data))
+    return SeedModel(kind, seed, list(names), models, list(fill))
 
 
 def _probability(scored: DataFrame) -> Column:
@@ -162,8 +216,19 @@ def score_model(model: SeedModel, rows: DataFrame) -> DataFrame:
 
 
 def score_seeds(models: Sequence[SeedModel], features: DataFrame) -> DataFrame:
-    """Scores of every seed model on its own features."""
-    parts = [score_model(m, matrix(features, m.features)) for m in models]
+    """Scores of every seed model on its own features, for every id of ``features``.
+
+    One pivot serves all models.  Values are filled as in training; models
+    without such a record fill from ``features``.
+    """
+    names = list(dict.fromkeys(n for m in models for n in m.features))
+    own = dict(zip(names, fill_values(features, names), strict=True))
+    column = {n: f"_{i}" for i, n in enumerate(names)}
+    wide = keep(_pivoted(features, names))
+    parts = []
+    for m in models:
+        x = _filled([column[n] for n in m.features], m.fill or [own[n] for n in m.features])
+        parts.append(score_model(m, wide.select("series", "id", x.alias("x"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -210,10 +275,11 @@ def grid_search(
     data = with_weights(train, kind in WEIGHTED).join(folds.select("series", "id", F.col("fold").cast("int").alias("fold")), ["series", "id"])
     data = data.cache()
     try:
-        base = estimator(kind, seed, len(names))
+        n_rows = data.count()
+        base = estimator(kind, seed, len(names), None, n_rows)
         maps = []
         for point in points:
-            named = {("layers" if n == "hidden" else n): v for n, v in point.items()}
+            named = {("layers" if n == "hidden" else n): v for n, v in penalty(point, n_rows).items()}
             if "layers" in named:
                 named["layers"] = [len(names), *named["layers"], 2]
             maps.append({base.getParam(n): v for n, v in named.items()})
@@ -249,16 +315,20 @@ def train_ensemble(
         names = lists.setdefault(row["seed"], [])
         if row["feature"] not in names:
             names.append(row["feature"])
+    names = sorted({n for chosen in lists.values() for n in chosen})
+    trained_on = kept.join(labels.select("series", "id").distinct(), ["series", "id"], "left_semi")
+    fills = dict(zip(names, fill_values(trained_on, names), strict=True)) if names else {}
     out = []
     for seed in seeds:
         pending = [k for k in kinds if (k, seed) not in done]
         if not pending or seed not in lists:
             continue
         rows = sampled.where(F.col("seed") == seed).select("series", "id", "is_erupted")
-        train = matrix(kept, lists[seed]).join(rows, ["series", "id"]).cache()
+        fill = [fills[n] for n in lists[seed]]
+        train = matrix(kept, lists[seed], fill).join(rows, ["series", "id"]).cache()
         try:
             for kind in pending:
-                out.append(fit_classifier(kind, train, lists[seed], seed, (params or {}).get(kind)))
+                out.append(fit_classifier(kind, train, lists[seed], seed, (params or {}).get(kind), fill))
         finally:
             train.unpersist()
     return out
@@ -270,9 +340,9 @@ def save_ensemble(models: Sequence[SeedModel], path: str, spark: SparkSession) -
     for m in models:
         for i, part in enumerate(m.models):
             part.write().overwrite().save(f"{path}/models/{m.classifier}/{m.seed:05d}/{i}")
-        rows.append((m.classifier, m.seed, m.features, [type(p).__name__ for p in m.models]))
+        rows.append((m.classifier, m.seed, m.features, [type(p).__name__ for p in m.models], [list(f) for f in m.fill]))
     if rows:
-        schema = "classifier string, seed int, features array<string>, parts array<string>"
+        schema = "classifier string, seed int, features array<string>, parts array<string>, fill array<array<double>>"
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{path}/registry")
 
 
@@ -280,8 +350,10 @@ def registry_pairs(spark: SparkSession, path: str) -> set[tuple[str, int]]:
     """(classifier, seed) pairs already trained under ``path``."""
     try:
         df = spark.read.parquet(f"{path}/registry")
-    except Exception:  # no registry yet
-        return set()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()  # no registry yet
     return {(r["classifier"], r["seed"]) for r in df.select("classifier", "seed").distinct().collect()}
 
 
@@ -290,11 +362,13 @@ def load_ensemble(spark: SparkSession, path: str) -> list[SeedModel]:
     import pyspark.ml.classification as classes
 
     out = []
-    for r in spark.read.parquet(f"{path}/registry").orderBy("classifier", "seed").collect():
+    # A pair that was trained again has several rows of the same models.
+    registry = spark.read.parquet(f"{path}/registry").dropDuplicates(["classifier", "seed"])
+    for r in registry.orderBy("classifier", "seed").collect():
         parts = [
             getattr(classes, name).load(f"{path}/models/{r['classifier']}/{r['seed']:05d}/{i}") for i, name in enumerate(r["parts"])
         ]
-        out.append(SeedModel(r["classifier"], r["seed"], list(r["features"]), parts))
+        out.append(SeedModel(r["classifier"], r["seed"], list(r["features"]), parts, [tuple(f) for f in r["fill"]]))
     return out
 
 

@@ -76,7 +76,7 @@ class ForecastPlan:
     def explain(self, features: DataFrame, truth: DataFrame, dates: DataFrame, top_n: int = 10) -> DataFrame:
         """Largest contributions to the highest forecast of each event."""
         parts = [
-            training.attribute_sampled(m, training.matrix(features, m.features), 4) for m in self.models
+            training.attribute_sampled(m, training.matrix(features, m.features, m.fill or None), 4) for m in self.models
         ]
         all_parts = parts[0]
         for p in parts[1:]:
