@@ -14,9 +14,11 @@ Before that, documents that cannot have a partner are put aside: of the
 smallest hashes, a set shares at least a known number with its partner's.
 
 Candidates are verified on whole sets.  Within a group of equal signatures the
-members are first compared with one of them; afterwards only pairs that are not
-yet connected are.  So a group of copies costs a comparison per member, and no
-link between different components is lost.
+members are first compared with one of them, then with the smallest; afterwards
+only pairs that are not yet connected are.  So a group of copies costs a few
+comparisons per member, and no link between different components is lost.  The
+members of large groups that are still apart, as when a passage fills most of
+many texts, are told apart by their rarest elements.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.llm.base import stored
@@ -42,6 +44,8 @@ TINY = 16
 CELLS = 3
 #: Cells of the sketch that bounds the difference of two sets from below.
 SKETCH = 64
+#: Members of a group of equal signatures of which every pair may be tried.
+SMALL = 16
 #: Entries of packed blocks that one task compares.
 PART_ENTRIES = 1_000_000
 
@@ -337,23 +341,72 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``members`` (g, y, n) of the groups that hold more than one component, with the component k of each."""
+    label = label.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    members = members.join(label, F.col("y") == F.col("_node"), "left").select("g", "y", "n", F.coalesce("_component", "y").alias("k"))
+    members = stored(members, "members")
+    mixed = members.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "y", "k")).alias("least")).where("lo <> hi")
+    mixed = stored(mixed.select(F.col("g").alias("_g"), "size", "least"), "mixed-groups")
+    return stored(members.join(mixed, F.col("g") == F.col("_g")).drop("_g"), "open-members")
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) of members of one group g that lie in different components and are not too different in size."""
+    other = members.select(F.col("g").alias("_g"), F.col("y").alias("z"), F.col("n").alias("m"), F.col("k").alias("_k"))
+    near = (100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n"))
+    both = members.join(other, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & (F.col("y") < F.col("z")) & near)
+    return both.select(F.col("y").alias("x"), F.col("z").alias("y")).distinct()
+
+
+def _rare_prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (g: element, y, n, k) of groups by the rarest elements of each of the ``nodes`` (y, k).
+
+    In one order of all elements, rarest first, two alike sets meet within the
+    first quarter and one of both.  What many texts share comes last there, so
+    texts meet on it only if hardly anything else is in them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rounds(batches, column="elements"):
+            e = np.frombuffer(b"".join(b.column("elements").to_pylist()), np.int64)
+            pick = pa.array(np.repeat(np.arange(b.num_rows), b.column("n").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(e), *(b.column(c).take(pick) for c in "ynk")], ["e", "y", "n", "k"])
+
+    chosen = sets.select(F.col("s").alias("_s"), "n", "elements").join(nodes, F.col("_s") == F.col("y")).select("y", "n", "k", "elements")
+    every = stored(chosen.mapInArrow(run, "e long, y long, n long, k long"), "open-elements")
+    often = every.groupBy(F.col("e").alias("_e")).agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("y").orderBy("often", "e")
+    ranked = every.join(often, F.col("e") == F.col("_e")).withColumn("place", F.row_number().over(order))
+    kept = stored(ranked.where("place <= floor(n / 4) + 1 and often > 1").select(F.col("e").alias("g"), "y", "n", "k"), "rare-prefixes")
+    mixed = kept.groupBy(F.col("g").alias("_g")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("_g")
+    return kept.join(mixed, F.col("g") == F.col("_g"), "left_semi")
+
+
 def link_sets(sets: DataFrame, parts: int) -> DataFrame:
-    """Links (x, y) between sets, enough of them to connect all that are alike directly or through others."""
+    """Links (x, y) between sets, enough of them to connect all that are alike directly or through others.
+
+    In groups of up to SMALL members every pair between components is tried.
+    Members of larger ones that are still apart meet by their rarest elements.
+    """
     groups = stored(_groups(sets, parts), "groups")
     stars = groups.where("edge").groupBy("x", "y").agg(F.sum("c").alias("c"))
     best = stars.groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
-    first = stored(_verified(best, sets), "star-links")
-    label = components(first).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-
-    members = groups.where("not edge").select(F.col("x").alias("g"), "y").distinct()
-    members = members.join(label, F.col("y") == F.col("_node"), "left").select("g", "y", F.coalesce("_component", "y").alias("k"))
-    members = stored(members, "members")
-    open_ = members.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select(F.col("g").alias("_g"))
-    members = stored(members.join(open_, F.col("g") == F.col("_g"), "left_semi"), "open-members")
-    other = members.select(F.col("g").alias("_g"), F.col("y").alias("z"), F.col("k").alias("_k"))
-    pairs = members.join(other, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & (F.col("y") < F.col("z"))).select(F.col("y").alias("x"), F.col("z").alias("y")).distinct()
-    rest = stored(_possible(pairs, sets), "possible-pairs")
-    return first.unionByName(_verified(rest, sets))
+    links = stored(_verified(best, sets), "star-links")
+
+    sizes = sets.select(F.col("s").alias("_s"), "n").distinct()
+    members = groups.where("not edge").select(F.col("x").alias("g"), "y").distinct().join(sizes, F.col("y") == F.col("_s")).select("g", "y", "n")
+    opened = _labelled(members, components(links))
+    # The smallest member has the least that is its own, so it is likest to most of the others.
+    second = opened.where(F.col("k") != F.col("least.k")).select(F.col("least.y").alias("x"), "y").distinct()
+    second = _verified(stored(_possible(second, sets), "possible-stars"), sets)
+    links = stored(links.unionByName(second), "links-to-least")
+    opened = _labelled(opened.select("g", "y", "n"), components(links))
+
+    few = _crossing(opened.where(F.col("size") <= SMALL))
+    nodes = opened.where(F.col("size") > SMALL).groupBy("y").agg(F.min("k").alias("k"))
+    pairs = few.unionByName(_crossing(_rare_prefixes(sets, nodes))).distinct()
+    return links.unionByName(_verified(stored(_possible(pairs, sets), "possible-pairs"), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
