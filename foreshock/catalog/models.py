@@ -32,7 +32,9 @@ def fit_classifier(spark, sf):
     """Every kind fitted on the training span, scored on the later one."""
     f, y, later = parts(spark, sf, NAMES)
     train = train_rows(f, y)
-    models = [training.fit_classifier(k, train, NAMES) for k in training.KINDS]
+    # Each boosting round and each step of the network is a job of its own: fewer of them on so small a table.
+    few = {"gb": {"maxIter": 10}, "voting": {"rf": {"numTrees": 20}, "gb": {"maxIter": 10}}, "nn": {"hidden": (8,), "maxIter": 20}}
+    models = [training.fit_classifier(k, train, NAMES, 0, few.get(k)) for k in training.KINDS]
     rows = f.join(later.select("series", "id"), ["series", "id"], "left_semi")
     return training.score_seeds(models, rows)
 
@@ -76,25 +78,25 @@ def feature_count_sweep(spark, sf):
     seeded = keep(sampling.undersample(sampling.with_seeds(y.select("series", "id", "is_erupted"), SEEDS), 0.75))
     ranked = selection.per_seed_selection(f, seeded, 9).select("seed", "rank", "feature").orderBy("seed", "rank").collect()
     lists = {s: [r["feature"] for r in ranked if r["seed"] == s] for s in SEEDS}
-    return sampling.cv_scores(training.feature_count_sweep("lr", f, seeded, lists, [2, 5, 9], k=5))
+    return sampling.cv_scores(training.feature_count_sweep("lr", f, seeded, lists, [2, 5, 9], k=2))
 
 
 @query("select_permutation")
 def select_permutation(spark, sf):
     f, y, _ = parts(spark, sf, NAMES)
-    return training.select_permutation(train_rows(f, y), NAMES, 5, repeats=10, trees=100)
+    return training.select_permutation(train_rows(f, y), NAMES, 5, repeats=10, trees=20)
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     f, y, _ = parts(spark, sf, NAMES)
     train = train_rows(f, y)
-    models = [training.fit_classifier("rf", train, NAMES, s) for s in SEEDS]
+    models = [training.fit_classifier("rf", train, NAMES, s, {"numTrees": 20}) for s in SEEDS]
     return training.feature_importance(models, spark, 5)
 
 
 @query("attribute_sampled")
 def attribute_sampled(spark, sf):
     f, y, later = parts(spark, sf, NAMES)
-    model = training.fit_classifier("rf", train_rows(f, y), NAMES)
+    model = training.fit_classifier("rf", train_rows(f, y), NAMES, 0, {"numTrees": 20})
     return training.attribute_sampled(model, training.matrix(f, NAMES), 4)

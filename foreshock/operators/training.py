@@ -177,7 +177,8 @@ def fit_classifier(
 ) -> SeedModel:
     """Fit one kind on ``train(series, id, x, is_erupted)``; ``fill`` is kept for scoring.
 
-    ``voting`` is the soft mean of the forest and the boosted trees.
+    ``voting`` is the soft mean of the forest and the boosted trees; its
+    ``params`` are those of each by kind.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown classifier {kind}; choose from {KINDS}")
@@ -186,7 +187,7 @@ def fit_classifier(
     n_rows = train.count() if kind in ("lr", "svm") else 1
     for part in parts:
         data = with_weights(train, part in WEIGHTED)
-        own = {} if kind == "voting" else params
+        own = (params or {}).get(part) if kind == "voting" else params
         models.append(estimator(part, seed, len(names), own, n_rows).fit(data))
     return SeedModel(kind, seed, list(names), models, list(fill))
 
