@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import remainder, stored
 from foreshock.llm.text import mix, rounds, text_bytes, to_batch, words
 
-#: Words that are classes of their own (65,534 at most); the class after them is that of all others, and one more, the begin, only ever precedes.
+#: Words that are classes of their own (65,534 at most; words as frequent as one that has no room are left out too); the class after them is that of all others, and one more, the begin, only ever precedes.
 SHORTLIST = 65_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -194,15 +194,17 @@ def fit(docs: DataFrame, shortlist: int = SHORTLIST) -> KatzModel:
     table = stored(_counts(docs, parts, WORDS, None), "word-counts")
     total, distinct = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
+    least = _least_count(table, shortlist)
+
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("h", pa.int64()), ("c", pa.int64())])
         for b in batches:
             for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 h, c = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")
-                top = np.lexsort((h, -c))[:shortlist]
-                yield to_batch(out, h=h[top].view(np.int64), c=c[top])
+                yield to_batch(out, h=h[c >= least].view(np.int64), c=c[c >= least])
 
-    top = table.select("keys", "counts").mapInArrow(leading, "h long, c long").orderBy(F.desc("c"), "h").limit(shortlist).toPandas()  # the shortlist
+    top = table.select("keys", "counts").mapInArrow(leading, "h long, c long").toPandas()  # at most the shortlist's size in all
+    top = top.sort_values(["c", "h"], ascending=[False, True])
     names, count = top["h"].to_numpy(np.int64).view(np.uint64), np.zeros(shortlist, np.int64)
     count[: len(top)] = top["c"]
     order = np.argsort(names)
@@ -235,6 +237,20 @@ def fit(docs: DataFrame, shortlist: int = SHORTLIST) -> KatzModel:
     return model
 
 
+def _least_count(table: DataFrame, shortlist: int) -> int:
+    """Smallest count that at most ``shortlist`` words reach; the different counts are as few as the root of all tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for counts in b.column("counts").to_pylist():
+                c, n = np.unique(np.frombuffer(counts, "<i8"), return_counts=True)
+                yield to_batch(pa.schema([("c", pa.int64()), ("n", pa.int64())]), c=c, n=n)
+
+    sizes = table.select("counts").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas().sort_values("c", ascending=False)
+    fits = sizes["c"][sizes["n"].cumsum() <= shortlist]
+    return int(fits.min()) if len(fits) else np.iinfo(np.int64).max
+
+
 def _kept(keep: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

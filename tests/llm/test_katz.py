@@ -47,7 +47,8 @@ def test_scores_match_a_plain_model_that_sums_to_one(spark, monkeypatch):
     train = [token_list(t) for i, t in data if not held[i]]
     count = Counter(w for t in train for w in t)
     total, distinct = sum(count.values()), len(count)
-    top = sorted(count, key=lambda w: (-count[w], int(np.int64(np.uint64(word_hash(w)).view(np.int64)))))[:40]
+    least = min(c for c in count.values() if sum(x >= c for x in count.values()) <= 40)
+    top = sorted((w for w in count if count[w] >= least), key=lambda w: (-count[w], int(np.uint64(word_hash(w)).view(np.int64))))
     number = {w: k for k, w in enumerate(top)}
     cls = lambda w: number.get(w, 40)
     pairs = Counter((p, cls(w)) for t in train for p, w in zip([41, *map(cls, t)], t, strict=False))
@@ -60,6 +61,7 @@ def test_scores_match_a_plain_model_that_sums_to_one(spark, monkeypatch):
     p_word = {w: (1 - unknown) * less(c, keep_w) / kept for w, c in count.items()}
     assert math.isclose(sum(p_word.values()) + unknown, 1)
     p_class = [p_word[w] for w in top]
+    p_class += [0.0] * (40 - len(p_class))
     p_class.append(1 - sum(p_class))
     after = Counter()
     for (p, _), c in pairs.items():
