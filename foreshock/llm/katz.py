@@ -2,19 +2,23 @@
 
 Counts of one to five are discounted by Good and Turing's estimate; what that
 sets free for a history goes to the words not seen after it, in proportion to
-their own probabilities, by a weight that makes the sum exactly one.
+their own probabilities, by a weight that makes the sum exactly one.  One more
+event is any unknown word.
 
-Words outside a shortlist of the most frequent are one class in the bigrams, so
-a bigram is a pair of class numbers, whatever the vocabulary; inside the class
-they have their own discounted counts, and one more event is any unknown word:
+Words and bigrams are 64-bit hashes in tables in parts by hash; nothing that
+grows with the vocabulary goes to all tasks.  The model is made by three
+exchanges between the parts of both tables: bigrams ask for the counts of their
+second words, send what was seen after their first words there, and get the
+first words' backoff back.  A bigram's entry then is
 
-    P(w | h) = P(class of w | class of h) * P(w | class of w)
+    log P(w | h) - log(weight of h) - log P(w)
 
-Both tables, words and class bigrams, are stored in parts by hash.  A text is
-scored token by token: the token's bigram, else the backoff weight times the
-class, and for classes of many words the word, are looked up where the table's
-part is; sums per text come back.  Only the shortlist, of fixed size, goes to
-all tasks.
+and a word's entry log P(w) + log(weight of w as a history), so a text's score
+is the sum of its words' and its bigrams' entries, each looked up where its part
+is; a bigram that was not seen adds nothing.  The end of a text is also the
+history of the next one's first word.
+
+With a shortlist, words outside it are one class in the bigrams.
 """
 
 from __future__ import annotations
@@ -32,16 +36,18 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import remainder, stored
 from foreshock.llm.text import mix, rounds, text_bytes, to_batch, words
 
-#: Words that are classes of their own (65,534 at most; words as frequent as one that has no room are left out too); the class after them is that of all others, and one more, the begin, only ever precedes.
-SHORTLIST = 65_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END_HASH = np.uint64(0x5DEECE66D1234567)
+#: Class of the words outside a shortlist.
+RARE_HASH = np.uint64(0x3C6EF372FE94F82B)
 #: Bytes of text in one round, bytes of text per part of the tables, and distinct keys a task holds before it passes them on.
 ROUND = 4 << 20
 PART_BYTES = 24 << 20
 HELD_KEYS = 1_500_000
-WORDS, PAIRS, ABOUT = 0, 1, 2
+#: Parts in which bigrams are counted, for each part of the tables: with both words they are wide.
+FINER = 4
+WORDS, PAIRS, ABOUT, HISTORY = 0, 1, 2, 3
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,51 +87,77 @@ def discounted(count: np.ndarray, keep: np.ndarray) -> np.ndarray:
 class KatzModel:
     """Stored tables and what all tasks know."""
 
-    tables: DataFrame  # part, kind, keys, counts
+    tables: DataFrame  # part, kind, keys, counts, entries
     parts: int
-    rare: int  # class of the words outside the shortlist
     total: int  # tokens
     distinct: int  # different tokens
-    names: np.ndarray  # hashes of the shortlist, ascending
-    number: np.ndarray  # their classes
-    count: np.ndarray  # counts by class
     keep_words: np.ndarray
     unknown: float  # probability of the unknown word
     scale_words: float
-    chance: np.ndarray | None = None  # probability by class
+    names: np.ndarray | None = None  # hashes of a shortlist, ascending
+    rare: float = 0.0  # probability of the words outside it
+    rare_weight: float = 0.0  # logarithm of their backoff weight
     keep_pairs: np.ndarray | None = None
-    after: np.ndarray | None = None  # tokens after each class
-    scale: np.ndarray | None = None
-    weight: np.ndarray | None = None  # backoff weight by class
 
     def __getstate__(self):
-        return self.__dict__ | {"tables": None}  # tasks get the arrays; tables are joined
+        return self.__dict__ | {"tables": None}  # tasks get the numbers; tables are joined
 
     def classes(self, h: np.ndarray) -> np.ndarray:
+        if self.names is None:
+            return h
         if not len(self.names):
-            return np.full(len(h), self.rare)
+            return np.full(len(h), RARE_HASH)
         at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names[at] == h, self.number[at], self.rare)
+        return np.where(self.names[at] == h, h, RARE_HASH)
 
     def word_chance(self, count: np.ndarray) -> np.ndarray:
         """Probability of words by count, by the unigram model."""
         return np.where(count > 0, self.scale_words * discounted(count, self.keep_words) / max(1, self.total), self.unknown)
 
-    def pair_chance(self, before: np.ndarray, now: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Probability of class ``now`` after ``before``, seen together ``count`` times in training."""
-        seen = self.scale[before] * discounted(count, self.keep_pairs) / np.maximum(1, self.after[before])
-        return np.where(count > 0, seen, self.weight[before] * self.chance[now])
-
 
 def _pairs(model: KatzModel, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, class before * 2 ** 16 + class) of tokens in order."""
+    """Classes before and of tokens in order."""
     now = model.classes(h)
-    before = np.empty(len(now), np.int64)
+    before = np.empty_like(now)
     before[1:] = now[:-1]
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    before[first] = model.rare + 1
-    return now, (before << 16 | now).astype(np.uint64)
+    before[first] = END_HASH
+    return before, now
+
+
+def _pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + now)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal rank together: where they are few or zero, the codecs of shuffles and tables see it."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _flat(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x.astype("<u8"), prepend=np.uint64(0)))
+
+
+def _climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(_flat(data, "<u8"), dtype=np.uint64)
+
+
+def _joined(blocks: Iterator[bytes], read) -> np.ndarray:
+    return np.concatenate([read(b) for b in blocks])
+
+
+def _at(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the ascending ``names``, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return at, names[at] == keys
 
 
 def _deal(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -137,9 +169,8 @@ def _deal(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int,
     return order, [(int(part[a]), a, b) for a, b in zip([0, *cut], [*cut, len(part)], strict=True) if b > a]
 
 
-def _counts(docs: DataFrame, parts: int, kind: int, model: KatzModel | None) -> DataFrame:
-    """Keys of ``kind`` in ``docs`` with their counts, one block per part, and how many keys occur 1, 2, ... times."""
-    width = "<u8" if kind == WORDS else "<u4"
+def _word_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Words in ``docs`` with their counts, one block per part, and how many occur 1, 2, ... times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -154,12 +185,11 @@ def _counts(docs: DataFrame, parts: int, kind: int, model: KatzModel | None) ->
             pool()
             keys, counts = held.pop()
             order, cuts = _deal(keys, parts)
-            keys, counts = keys[order].astype(width), counts[order].astype("<u4")
+            keys, counts = keys[order].astype("<u8"), counts[order].astype("<u4")
             return to_batch(out, part=[p for p, _, _ in cuts], keys=[keys[a:b].tobytes() for _, a, b in cuts], counts=[counts[a:b].tobytes() for _, a, b in cuts])
 
         for b in rounds(batches, ROUND, 4000):
-            row, h = tokens(b.column("text"))
-            held.append(np.unique(h if kind == WORDS else _pairs(model, row, h)[1], return_counts=True))
+            held.append(np.unique(tokens(b.column("text"))[1], return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_KEYS:
                 pool()
                 if len(held[0][0]) > HELD_KEYS // 2:
@@ -168,15 +198,67 @@ def _counts(docs: DataFrame, parts: int, kind: int, model: KatzModel | None) ->
             yield rows()
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, index = np.unique(np.frombuffer(b"".join(rows["keys"]), width), return_inverse=True)
+        keys, index = np.unique(np.frombuffer(b"".join(rows["keys"]), "<u8"), return_inverse=True)
         counts = np.bincount(index, np.frombuffer(b"".join(rows["counts"]), "<u4")).astype("<i8")
-        often = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        return pd.DataFrame(
-            {"part": [rows["part"].iloc[0]], "kind": [kind], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "total": [int(counts.sum())], "distinct": [len(keys)], "often": [often.tolist()]}
-        )
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "total": [int(counts.sum())], "distinct": [len(keys)], "often": [_how_often(counts)]})
 
     made = docs.select("text").mapInArrow(count, "part int, keys binary, counts binary")
-    return made.groupBy("part").applyInPandas(add, "part int, kind int, keys binary, counts binary, total long, distinct long, often array<long>")
+    return made.groupBy("part").applyInPandas(add, "part int, keys binary, counts binary, total long, distinct long, often array<long>")
+
+
+def _how_often(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3).tolist()
+
+
+def _pair_counts(docs: DataFrame, model: KatzModel) -> DataFrame:
+    """Bigrams in ``docs`` with their counts, one block per part, and how many occur 1, 2, ... times."""
+    parts = model.parts * FINER
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("part", pa.int32()), ("before", pa.binary()), ("now", pa.binary()), ("counts", pa.binary())])
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def pool() -> None:
+            key, before, now, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, first, index = np.unique(key, return_index=True, return_inverse=True)
+            held[:] = [(key, before[first], now[first], np.bincount(index, counts).astype(np.int64))]
+
+        def rows() -> pa.RecordBatch:
+            pool()
+            key, before, now, counts = held.pop()
+            order, cuts = _deal(key, parts)
+            columns: dict[str, list] = {f.name: [] for f in out}
+            for p, a, b in cuts:
+                block = order[a:b]
+                for name, v in zip(columns, (p, *_pair_block(before[block], now[block], counts[block])), strict=True):
+                    columns[name].append(v)
+            return to_batch(out, **columns)
+
+        for b in rounds(batches, ROUND, 4000):
+            before, now = _pairs(model, *tokens(b.column("text")))
+            key, first, counts = np.unique(_pair_hash(before, now), return_index=True, return_counts=True)
+            held.append((key, before[first], now[first], counts))
+            if sum(len(x[0]) for x in held) > HELD_KEYS:
+                pool()
+                if len(held[0][0]) > HELD_KEYS // 2:
+                    yield rows()
+        if held:
+            yield rows()
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        before, now = _joined(rows["before"], _climbed), _joined(rows["now"], lambda x: _flat(x, "<u8"))
+        _, first, index = np.unique(_pair_hash(before, now), return_index=True, return_inverse=True)
+        counts = np.bincount(index, _joined(rows["counts"], lambda x: _flat(x, "<u8"))).astype(np.int64)
+        before, now, packed = _pair_block(before[first], now[first], counts)
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "before": [before], "now": [now], "counts": [packed], "often": [_how_often(counts)]})
+
+    made = docs.select("text").mapInArrow(count, "part int, before binary, now binary, counts binary")
+    return made.groupBy("part").applyInPandas(add, "part int, before binary, now binary, counts binary, often array<long>")
+
+
+def _pair_block(before: np.ndarray, now: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    order = np.lexsort((now, before))
+    return _ascending(before[order]), _planes(now[order].astype("<u8")), _planes(counts[order].astype("<u8"))
 
 
 def _often(table: DataFrame) -> dict[int, int]:
@@ -184,16 +266,40 @@ def _often(table: DataFrame) -> dict[int, int]:
     return {r: sums[str(r)] or 0 for r in range(1, DISCOUNTED + 2)}
 
 
-def fit(docs: DataFrame, shortlist: int = SHORTLIST) -> KatzModel:
+def fit(docs: DataFrame, shortlist: int | None = None) -> KatzModel:
     """Model of the texts of ``docs``; a null text is empty and has only its end.
 
     Without rows every token is unknown.
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    table = stored(_counts(docs, parts, WORDS, None), "word-counts")
+    table = stored(_word_counts(docs, parts), "word-counts")
     total, distinct = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    keep = discounts(_often(table))
+    kept = table.mapInArrow(_kept(keep), "x double").agg(F.sum("x")).first()[0] or 0.0
+    # What the discounts leave is the unknown word's; at least as much as one more token would have.
+    spare = 1 - kept / total if total else 1.0
+    unknown = max(spare, 1 / (total + distinct + 1))
+    scale = (1 - unknown) * total / kept if kept else 0.0
+    words_ = table.select("part", "keys", "counts")
+    model = KatzModel(words_, parts, total, distinct, keep, unknown, scale)
+    if shortlist is not None:
+        model.names, count = _shortlist(table, shortlist)
+        model.rare = max(1 - float(model.word_chance(count).sum()), unknown)
 
+    pairs = stored(_pair_counts(docs, model), "pair-counts")
+    model.keep_pairs = discounts(_often(pairs))
+    seen = stored(_followers(pairs, words_, model), "pair-chances")
+    weighed = stored(_weighed(seen.where(F.col("kind") == HISTORY), words_, model), "word-entries")
+    if shortlist is not None:
+        model.rare_weight = weighed.agg(F.max("rare_weight")).first()[0] or 0.0
+    entries = stored(_pair_entries(seen.where(F.col("kind") == PAIRS), weighed.where(F.col("kind") == HISTORY)), "pair-entries")
+    model.tables = weighed.where(F.col("kind") == WORDS).select("part", "kind", "keys", "counts", "entries").unionByName(entries)
+    return model
+
+
+def _shortlist(table: DataFrame, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the most frequent words; those as frequent as one that has no room are left out too."""
     least = _least_count(table, shortlist)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,37 +310,9 @@ def fit(docs: DataFrame, shortlist: int = SHORTLIST) -> KatzModel:
                 yield to_batch(out, h=h[c >= least].view(np.int64), c=c[c >= least])
 
     top = table.select("keys", "counts").mapInArrow(leading, "h long, c long").toPandas()  # at most the shortlist's size in all
-    top = top.sort_values(["c", "h"], ascending=[False, True])
-    names, count = top["h"].to_numpy(np.int64).view(np.uint64), np.zeros(shortlist, np.int64)
-    count[: len(top)] = top["c"]
+    names = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
-    keep = discounts(_often(table))
-    kept = table.mapInArrow(_kept(keep), "x double").agg(F.sum("x")).first()[0] or 0.0
-    # What the discounts leave is the unknown word's; at least as much as one more token would have.
-    spare = 1 - kept / total if total else 1.0
-    unknown = max(spare, 1 / (total + distinct + 1))
-    scale = (1 - unknown) * total / kept if kept else 0.0
-    model = KatzModel(table.select("part", "kind", "keys", "counts"), parts, shortlist, total, distinct, names[order], order, count, keep, unknown, scale)
-    model.chance = np.zeros(shortlist + 2)
-    model.chance[:shortlist] = np.where(count > 0, model.word_chance(count), 0)
-    model.chance[shortlist] = max(1 - model.chance.sum(), unknown)
-    model.chance /= model.chance.sum()
-
-    pairs = stored(_counts(docs, parts, PAIRS, model), "pair-counts")
-    model.keep_pairs = discounts(_often(pairs))
-    history = _history(pairs, model)
-    model.after, seen, covered = np.zeros(shortlist + 2), np.zeros(shortlist + 2), np.zeros(shortlist + 2)
-    h = history["h"].to_numpy()
-    model.after[h], seen[h], covered[h] = history["total"], history["seen"], history["covered"]
-    share = np.where(model.after > 0, seen / np.maximum(1, model.after), 0)
-    free = np.maximum(1 - covered, 0)
-    full = free < 1e-9
-    # A history that was followed by everything keeps its whole mass; one without discounts gives up as much as one more token.
-    most = np.where(full, 1.0, model.after / (model.after + 1))
-    model.scale = np.where(share > 0, np.where(full, 1 / np.maximum(share, 1e-300), np.minimum(1.0, most / np.maximum(share, 1e-300))), 1.0)
-    model.weight = np.where(full, 0.0, (1 - model.scale * share) / np.where(full, 1, free))
-    model.tables = model.tables.unionByName(pairs.select("part", "kind", "keys", "counts"))
-    return model
+    return names[order], top["c"].to_numpy(np.int64)[order]
 
 
 def _least_count(table: DataFrame, shortlist: int) -> int:
@@ -260,29 +338,94 @@ def _kept(keep: np.ndarray):
     return run
 
 
-def _history(pairs: DataFrame, model: KatzModel) -> pd.DataFrame:
-    """Per class before: tokens after it, their discounted counts, and the probability of the classes seen after it."""
+def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFrame:
+    """Rows HISTORY, dealt like words: what each part of the bigrams holds after its histories; rows PAIRS: the bigrams' own share of their entries."""
+    parts = model.parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("h", pa.int32()), ("total", pa.int64()), ("seen", pa.float64()), ("covered", pa.float64())])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("part", pa.int32()), ("origin", pa.int32()), ("keys", pa.binary())])
         for b in batches:
-            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                key, c = np.frombuffer(keys, "<u4").astype(np.int64), np.frombuffer(counts, "<i8")
-                h, index = np.unique(key >> 16, return_inverse=True)
-                yield to_batch(
-                    out,
-                    h=h.astype(np.int32),
-                    total=np.bincount(index, c).astype(np.int64),
-                    seen=np.bincount(index, discounted(c, model.keep_pairs)),
-                    covered=np.bincount(index, model.chance[key & 0xFFFF]),
-                )
-
-    made = pairs.select("keys", "counts").mapInArrow(run, "h int, total long, seen double, covered double")
-    sums = made.groupBy("h").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"), F.sum("covered").alias("covered"))
-    return sums.toPandas()  # at most one row per class
-
-
-_ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids array<long>, n_tokens array<long>, known array<long>, base array<double>"
+            for origin, now in zip(b.column("part").to_pylist(), b.column("now").to_pylist(), strict=True):
+                now = np.unique(_flat(now, "<u8"))
+                order, cuts = _deal(now, parts)
+                now = now[order]
+                yield to_batch(out, part=[p for p, _, _ in cuts], origin=[origin] * len(cuts), keys=[_ascending(now[i:j]) for _, i, j in cuts])
+
+    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        names, counts = (np.frombuffer(b"".join(known[c]), kind) for c, kind in (("keys", "<u8"), ("counts", "<i8")))  # one block
+        found = []
+        for origin, keys in zip(asked["origin"], asked["keys"], strict=True):
+            at, there = _at(names, k := _climbed(keys))
+            found.append((origin, keys, _planes(np.where(there, counts[at] if len(counts) else 0, 0).astype("<u8"))))
+        return pd.DataFrame(found, columns=["origin", "keys", "counts"])
+
+    def see(told: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        name, count = _joined(told["keys"], _climbed), _joined(told["counts"], lambda x: _flat(x, "<u8")).astype(np.int64)
+        order = np.argsort(name)
+        name, count = name[order], count[order]
+        pair = mine.iloc[0]
+        before, now, c = _climbed(pair["before"]), _flat(pair["now"], "<u8"), _flat(pair["counts"], "<u8").astype(np.int64)
+        chance = np.where(name == RARE_HASH, model.rare, model.word_chance(count))[_at(name, now)[0]]
+        less = discounted(c, model.keep_pairs)
+        h, index = np.unique(before, return_inverse=True)
+        sums = [np.bincount(index, x) for x in (c, less, chance)]
+        order, cuts = _deal(h, parts)
+        found = [(p, int(pair["part"]), HISTORY, _ascending(h[order[i:j]]), b"", *(_planes(x[order[i:j]]) for x in sums)) for p, i, j in cuts]
+        found.append((int(pair["part"]), 0, PAIRS, _planes(_pair_hash(before, now)), pair["before"], b"", np.log10(less / chance).tobytes(), b""))
+        return pd.DataFrame(found, columns=["part", "origin", "kind", "keys", "before", "total", "seen", "covered"])
+
+    asked = pairs.select("part", "now").mapInArrow(ask, "part int, origin int, keys binary")
+    told = asked.groupBy("part").cogroup(words_.groupBy("part")).applyInPandas(answer, "origin int, keys binary, counts binary")
+    schema = "part int, origin int, kind int, keys binary, before binary, total binary, seen binary, covered binary"
+    return told.groupBy("origin").cogroup(pairs.drop("often").groupBy("part")).applyInPandas(see, schema)
+
+
+def _weighed(histories: DataFrame, words_: DataFrame, model: KatzModel) -> DataFrame:
+    """Rows WORDS with the words' entries, and rows HISTORY for the parts of the bigrams: what a history adds to their entries."""
+
+    def weigh(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("origin")  # sums in the same order whenever a task is run again
+        keys = [_climbed(k) for k in asked["keys"]]
+        h, index = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        total, seen, covered = (np.bincount(index, np.concatenate([np.zeros(0), *(_flat(x, "<f8") for x in asked[c])]), len(h)) for c in ("total", "seen", "covered"))
+        share = seen / np.maximum(1, total)
+        # The unknown word follows no history in training; a class of rare words may.
+        free = np.maximum(1 - covered, model.unknown if model.names is None else 0)
+        full = free < (0 if model.names is None else 1e-9)
+        # A history that was followed by everything keeps its whole mass; one without discounts gives up as much as one more token.
+        scale = np.where(full, 1 / share, np.minimum(1.0, total / (total + 1) / share))
+        weight = np.where(full, 1.0, (1 - scale * share) / np.where(full, 1, free))  # of a full history, nothing asks for it
+        added, weight = np.log10(scale / total) - np.log10(weight), np.log10(weight)
+        found = [(int(o), HISTORY, k, b"", added[_at(h, x)[0]].tobytes(), None) for o, k, x in zip(asked["origin"], asked["keys"], keys, strict=True)]
+        if len(known):
+            name, count = np.frombuffer(known["keys"].iloc[0], "<u8"), np.frombuffer(known["counts"].iloc[0], "<i8")
+            at, there = _at(h, name)
+            entry = np.log10(model.word_chance(count)) + (np.where(there, weight[at], 0) if len(h) else 0)
+            found.append((int(known["part"].iloc[0]), WORDS, known["keys"].iloc[0], known["counts"].iloc[0], entry.tobytes(), None))
+        rare, there = _at(h, np.array([RARE_HASH]))
+        if there[0]:
+            found.append((0, ABOUT, b"", b"", b"", float(weight[rare[0]])))
+        return pd.DataFrame(found, columns=["part", "kind", "keys", "counts", "entries", "rare_weight"]).astype({"rare_weight": "float64"})
+
+    schema = "part int, kind int, keys binary, counts binary, entries binary, rare_weight double"
+    return histories.select("part", "origin", "keys", "total", "seen", "covered").groupBy("part").cogroup(words_.groupBy("part")).applyInPandas(weigh, schema)
+
+
+def _pair_entries(pairs: DataFrame, histories: DataFrame) -> DataFrame:
+    def add(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        pair = mine.iloc[0]
+        name, added = _joined(told["keys"], _climbed), np.frombuffer(b"".join(told["entries"]), "<f8")
+        order = np.argsort(name)
+        at, _ = _at(name[order], _climbed(pair["before"]))
+        keys, entry = _flat(pair["keys"], "<u8"), np.frombuffer(pair["seen"], "<f8") + added[order][at]
+        order = np.argsort(keys)
+        return pd.DataFrame({"part": [pair["part"] // FINER], "kind": [PAIRS], "keys": [keys[order].tobytes()], "counts": [b""], "entries": [entry[order].tobytes()]})
+
+    told = histories.select("part", "keys", "entries")
+    return pairs.select("part", "keys", "before", "seen").groupBy("part").cogroup(told.groupBy("part")).applyInPandas(add, "part int, kind int, keys binary, counts binary, entries binary")
+
+
+_ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids array<long>, n_tokens array<long>, base array<double>, score array<double>"
 _SUMS = "batch long, part int, kind int, base binary, known binary, score binary, ids array<long>, n_tokens array<long>"
 
 
@@ -298,59 +441,57 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
         out = pa.schema(
-            [("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("rows", pa.binary()), ("ids", longs), ("n_tokens", longs), ("known", longs), ("base", doubles)]
+            [("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("rows", pa.binary()), ("ids", longs), ("n_tokens", longs), ("base", doubles), ("score", doubles)]
         )
         batch = TaskContext.get().partitionId() << 32
-        log_count = np.log10(model.count + 1.0)
         for b in rounds(batches, ROUND, 4000):
             rows = b.num_rows
             row, h = tokens(b.column("text"))
-            now, pair = _pairs(model, row, h)
-            common = now < model.rare
+            before, now = _pairs(model, row, h)
             n = np.bincount(row, minlength=rows)
             columns: dict[str, list] = {f.name: [] for f in out}
 
-            def put(part, kind, keys=None, times=None, at=None, ids=None, size=None, known=None, base=None, columns=columns):
-                for name, v in zip(columns, (part, kind, batch, keys, times, at, ids, size, known, base), strict=True):
+            def put(part, kind, keys=None, times=None, at=None, ids=None, size=None, base=None, score=None, columns=columns):
+                for name, v in zip(columns, (part, kind, batch, keys, times, at, ids, size, base, score), strict=True):
                     columns[name].append(v)
 
-            for kind, key, who, width in ((WORDS, h[~common], row[~common], "<u8"), (PAIRS, pair, row, "<u4")):
+            for kind, key in ((WORDS, h), (PAIRS, _pair_hash(before, now))):
                 order, cuts = _deal(key, parts)
-                key, who = key[order].astype(width), who[order].astype("<u2")
+                key, who = key[order], row[order].astype("<u2")
                 for p, a, z in cuts:
                     keys, times = np.unique(key[a:z], return_counts=True)
-                    put(p, kind, keys.tobytes(), times.astype("<u4").tobytes(), who[a:z].tobytes())
-            base = np.bincount(row[common], log_count[now[common]], rows) - n * floor
-            put(batch % parts, ABOUT, ids=b.column("doc_id").to_pylist(), size=n.tolist(), known=np.bincount(row[common], minlength=rows).tolist(), base=base.tolist())
+                    put(p, kind, _ascending(keys), _planes(times.astype("<u4")), _planes(who[a:z]))
+            rare = np.bincount(row[(now == RARE_HASH) & (h != END_HASH)], minlength=rows)
+            put(batch % parts, ABOUT, ids=b.column("doc_id").to_pylist(), size=n.tolist(), base=(-n * floor).tolist(), score=(rare * model.rare_weight).tolist())
             yield to_batch(out, **columns)
             batch += 1
 
     def sums(entries: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         found = []
         table = {}
-        for kind, width in ((WORDS, "<u8"), (PAIRS, "<u4")):
+        for kind in (WORDS, PAIRS):
             mine = tables[tables["kind"] == kind]
-            table[kind] = (np.frombuffer(b"".join(mine["keys"]), width), np.frombuffer(b"".join(mine["counts"]), "<i8"))  # one block
+            table[kind] = tuple(np.frombuffer(b"".join(mine[c]), width) for c, width in (("keys", "<u8"), ("counts", "<i8"), ("entries", "<f8")))
+            del mine
+        del tables
+        names, counts, values = table[PAIRS]  # FINER blocks; words are one
+        order = np.argsort(names)
+        table[PAIRS] = names[order], counts, values[order]
+        del names, values, order
         for e in entries.itertuples():
             if e.kind == ABOUT:
-                base, known = np.asarray(e.base, np.float64), np.asarray(e.known, np.int64)
-                found.append((e.batch, e.part, e.kind, base.tobytes(), known.tobytes(), np.zeros(len(base)).tobytes(), e.ids, e.n_tokens))
+                base = np.asarray(e.base, np.float64)
+                found.append((e.batch, e.part, e.kind, base.tobytes(), b"", np.asarray(e.score, np.float64).tobytes(), e.ids, e.n_tokens))
                 continue
-            keys = np.frombuffer(e.keys, "<u8" if e.kind == WORDS else "<u4")
-            names, counts = table[e.kind]
-            count = np.zeros(len(keys), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-                count = np.where(names[at] == keys, counts[at], 0)
-            times, row = np.frombuffer(e.times, "<u4"), np.frombuffer(e.rows, "<u2")
+            names, counts, values = table[e.kind]
+            at, there = _at(names, _climbed(e.keys))
+            value = np.where(there, values[at], np.log10(model.unknown) if e.kind == WORDS else 0) if len(names) else np.full(len(at), np.log10(model.unknown) if e.kind == WORDS else 0.0)
+            times, row = _flat(e.times, "<u4"), _flat(e.rows, "<u2")
+            base = known = b""
             if e.kind == WORDS:
-                value = np.log10(model.word_chance(count)) - np.log10(model.chance[model.rare])
+                count = np.where(there, counts[at], 0) if len(names) else np.zeros(len(at), np.int64)
                 base, known = (np.bincount(row, np.repeat(x, times)) for x in (np.log10(count + 1.0), count > 0))
                 base, known = base.tobytes(), known.astype(np.int64).tobytes()
-            else:
-                pair = keys.astype(np.int64)
-                value = np.log10(model.pair_chance(pair >> 16, pair & 0xFFFF, count))
-                base = known = b""
             found.append((e.batch, e.part, e.kind, base, known, np.bincount(row, np.repeat(value, times)).tobytes(), None, None))
         return pd.DataFrame(found, columns=["batch", "part", "kind", "base", "known", "score", "ids", "n_tokens"])
 
@@ -372,7 +513,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     return summed.groupBy("batch").applyInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame, shortlist: int = SHORTLIST) -> DataFrame:
+def score_held_out(docs: DataFrame, shortlist: int | None = None) -> DataFrame:
     """Learned from six sevenths of the documents and applied to all."""
     held_out = remainder("doc_id", 7) == 2
     model = fit(docs.where(~held_out).select("text"), shortlist)

@@ -103,3 +103,42 @@ def test_discounts_without_an_estimate():
     for n in ({}, {1: 5}, {1: 10, 2: 1}, {1: 3, 2: 9, 3: 20, 4: 1, 5: 2, 6: 90}):
         d = katz.discounts(n)
         assert ((d[1:] > 0) & (d[1:] < 1)).all()
+
+
+def test_bigrams_of_more_words_than_a_shortlist_had_room_for(spark):
+    """Nearly 100,000 words, each but the first hundred in one place of two texts alone: their bigrams count, too."""
+    rng = random.Random(5)
+    data = []
+    for i in range(0, 1000, 2):
+        t = [f"v{i * 1000 + k}" if k % 2 else f"v{rng.randrange(100)}" for k in range(400)]
+        data += [(i, " ".join(t)), (i + 1, " ".join(t[rng.randrange(50) :]))]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data}
+    train = [token_list(t) for i, t in data if not held[i]]
+    count = Counter(w for t in train for w in t)
+    total, distinct = sum(count.values()), len(count)
+    assert distinct > 65_000
+    pairs = Counter(p for t in train for p in zip([None, *t], t, strict=False))
+    often = lambda c: Counter(c.values())
+    keep_w, keep_p = katz.discounts(often(count)), katz.discounts(often(pairs))
+    less = lambda c, keep: c * (keep[c] if c <= 5 else 1)
+    kept = sum(less(c, keep_w) for c in count.values())
+    unknown = max(1 - kept / total, 1 / (total + distinct + 1))
+    p_word = {w: (1 - unknown) * less(c, keep_w) / kept for w, c in count.items()}
+    after, seen, covered = Counter(), Counter(), Counter()
+    for (p, w), c in pairs.items():
+        after[p] += c
+        seen[p] += less(c, keep_p)
+        covered[p] += p_word[w]
+
+    def chance(p, w):
+        if not after[p]:
+            return p_word.get(w, unknown)
+        share = seen[p] / after[p]
+        scale = min(1, after[p] / (after[p] + 1) / share)
+        if (p, w) in pairs:
+            return scale * less(pairs[p, w], keep_p) / after[p]
+        return (1 - scale * share) / (1 - covered[p]) * p_word.get(w, unknown)
+
+    for r in katz.score_held_out(corpus.frame(spark, data)).collect():
+        t = token_list(data[r["doc_id"]][1])
+        assert math.isclose(r["score"], sum(math.log10(chance(p, w)) for p, w in zip([None, *t], t, strict=False)), rel_tol=1e-6)
