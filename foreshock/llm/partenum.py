@@ -436,11 +436,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of a component other than that with its smallest id.
+    """One row of every component of ``docs``: of its smallest id, or of none if no row has one; equal rows are one.
 
-    Rows with a null id stay, and so do all rows of an id that is the smallest of any of its texts' components.
+    Components are those of near copies, whatever the rows' ids: other texts under
+    one id are told apart, and rows with a null id take part.  Texts without
+    shingles have no copies but equal rows.  Rows that agree in id and text alone
+    leave the smallest of them.
     """
-    first = F.max((F.col("component_id") == F.col("doc_id")).cast("int"))
-    others = near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_other_id")).agg(first.alias("_first"))
-    others = others.where("_first = 0").select("_other_id")
-    return docs.join(others, F.col("doc_id") == F.col("_other_id"), "left_anti")
+    key = F.xxhash64(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text").isNull().alias("empty"), F.coalesce("text", F.lit("")).alias("text")))
+    keyed = docs.withColumn("_keep_key", key)
+    near = stored(near_duplicates(keyed.select(F.col("_keep_key").alias("doc_id"), "text")), "near-rows")
+    rows = near.groupBy(F.col("doc_id").alias("_keep_row")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("_keep_times"))
+    ids = keyed.select("_keep_key", "doc_id").distinct()
+    rows = stored(rows.join(ids, F.col("_keep_row") == F.col("_keep_key")).drop("_keep_key"), "keyed-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_keep_row", "_keep_times")).alias("first"))
+    first = stored(first.select("first._keep_row", "first._keep_times"), "first-rows")
+    kept = keyed.join(first, F.col("_keep_key") == F.col("_keep_row"))
+    once = kept.where("_keep_times = 1").select(docs.columns)
+    # Only repeated rows are shuffled once more, after a reduction where they are.
+    least = stored(kept.where("_keep_times > 1"), "repeated-rows").groupBy("_keep_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(least.select("row.*"))

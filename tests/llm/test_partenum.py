@@ -115,3 +115,12 @@ def test_keep_one(spark):
     rows = near_copies(4)
     kept = {r["doc_id"] for r in partenum.keep_one(corpus.frame(spark, rows)).collect()}
     assert kept == {c for _, _, c in plain(rows)}
+
+
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (corpus.prose(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, a), (None, a + " more"), (7, a + " x"), (None, b), (None, b), (None, b + " y"), (3, c), (None, c), (8, d), (8, d + " z"), (8, c), (1, ""), (1, ""), (2, None)]
+    kept = [(r["doc_id"], r["text"]) for r in partenum.keep_one(corpus.frame(spark, rows)).collect()]
+    groups = [{(5, a)}, {(None, b), (None, b + " y")}, {(3, c)}, {(8, d), (8, d + " z")}, {(1, "")}, {(2, None)}]
+    assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups)

@@ -9,6 +9,7 @@ from test_repeats import plain as plain_repeats
 
 import corpus_pipeline
 from foreshock.llm import neighbours, toxicity
+from foreshock.llm.base import stored
 
 
 def write(spark, folder):
@@ -72,3 +73,19 @@ def test_stages_and_run(spark, tmp_path):
         assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert max(ends.values()) <= 2048
+
+
+def test_repeated_rows_and_null_ids_keep_one_text(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder)
+    rng = random.Random(12)
+    twice, nameless = corpus.prose(rng, 60), corpus.prose(rng, 60)
+    rows = [(950, twice), (950, twice), (None, nameless), (None, nameless), (None, twice)]
+    corpus.frame(spark, rows).write.mode("append").parquet(f"{folder}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    docs = corpus.frame(spark, rows)
+    cut = stage["suffix_array_dedup"](spark, stored(stage["ngram_jaccard_join"](spark, docs, folder), "single"), folder)
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in cut.collect())) == [(0, nameless), (950, twice)]
+    got = [r for r in corpus_pipeline.run(spark, folder).collect() if r["doc_id"] in (950, None)]
+    once = corpus_pipeline.pack(spark, corpus.frame(spark, [(950, twice), (None, nameless)]), folder).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter((r["doc_id"], r["length"]) for r in once)
