@@ -13,7 +13,9 @@ Suffixes are compared on their first ``length`` bytes.  They need not all be sor
     with one of each kind of the equal blocks, are sorted.
 3.  Each task sorts its suffixes into runs and writes them front-coded (length of
     the prefix shared with the one before, and the rest).  Runs are exchanged by
-    ranges of the anchor and merged by a loser tree that keeps, for each run's
+    ranges of the hash of anchor and block; where one such pair has more suffixes
+    than a task should merge, they go to several parts by a hash of their own
+    bytes.  Runs are merged by a loser tree that keeps, for each run's
     head, how much it shares with the last suffix put out: heads with different
     shares are told apart without looking at a byte, others from there on.
     Neighbours that share everything repeat.
@@ -185,10 +187,11 @@ class SuffixRun:
         self.length = length
         self.rows: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
+        self.spread: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc: int, raw: bytes, at: int, more: int, anchor: int, known: bool) -> None:
-        """Suffixes that start at ``at`` to ``at + more``; those of a known window only stand for others."""
+    def add(self, doc: int, raw: bytes, at: int, more: int, anchor: int, known: bool, spread: int = 1) -> None:
+        """Suffixes that start at ``at`` to ``at + more``; those of a known window only stand for others, and ``spread`` is how many parts take this anchor's."""
         part = np.frombuffer(raw, np.uint8, more + self.length, at)
         rows = np.empty((more + 1, self.width), np.uint8)
         rows[:, :KEY_BYTES] = np.frombuffer((anchor & (1 << 64) - 1).to_bytes(8, "big"), np.uint8)
@@ -197,10 +200,11 @@ class SuffixRun:
         owner[:, 0], owner[:, 1] = (-1 if known else doc), np.arange(at, at + more + 1)
         self.rows.append(rows)
         self.owner.append(owner)
+        self.spread.append(np.full(more + 1, spread, np.int64))
         self.size += more + 1
 
-    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(entries, shared prefix with the entry before, owner of each entry or -1, owners that repeat within the run)."""
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entries, shared prefix with the entry before, owner of each entry or -1, owners that repeat within the run, how many parts take an entry's anchor)."""
         rows, owner = np.concatenate(self.rows), np.concatenate(self.owner)
         order = np.argsort(rows.view(f"S{self.width}").ravel(), kind="stable")
         rows, owner = rows[order], owner[order]
@@ -214,7 +218,24 @@ class SuffixRun:
         repeats = owner[((count > 1) | unowned)[group] & (owner[:, 0] >= 0)]
         keep = owner[new].copy()
         keep[(count > 1) | unowned, 0] = -1
-        return rows[new], share[new], keep, repeats
+        return rows[new], share[new], keep, repeats, np.concatenate(self.spread)[order][new]
+
+
+def part_of(rows: np.ndarray, spread: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each entry: by range of its anchor's hash, and from there on, for an anchor that takes several, by a hash of all its bytes."""
+    part = rows[:, :4].copy().view(">u4").ravel().astype(np.int64) * parts >> 32
+    many = np.flatnonzero(spread > 1)
+    if len(many):
+        h = mix((BYTE_VALUE[rows[many]] * powers(rows.shape[1])[: rows.shape[1]]).sum(1, dtype=np.uint64))
+        part[many] = (part[many] + (h % spread[many].astype(np.uint64)).astype(np.int64)) % parts
+    return part
+
+
+def shares_within(rows: np.ndarray) -> np.ndarray:
+    """Prefix each of the sorted, different entries shares with the one before."""
+    share = np.zeros(len(rows), np.int64)
+    share[1:] = (rows[1:] != rows[:-1]).argmax(1)
+    return share
 
 
 def front_code(rows: np.ndarray, share: np.ndarray) -> tuple[bytes, bytes]:
@@ -329,9 +350,8 @@ def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
 
         def rows(current: SuffixRun, ids: list[int], ties: list[int]) -> pa.RecordBatch:
-            entries, share, owner, repeats = current.close()
-            top = entries[:, :4].copy().view(">u4").ravel().astype(np.int64)
-            part = top * parts >> 32
+            entries, share, owner, repeats, spread = current.close()
+            part = part_of(entries, spread, parts)
             columns: dict[str, list] = {f.name: [] for f in out}
 
             def put(p: int, s: bytes | None, rest: bytes | None, own: np.ndarray) -> None:
@@ -343,11 +363,13 @@ def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
                 for name, v in zip(columns, row, strict=True):
                     columns[name].append(v)
 
+            whole = bool((spread == 1).all())  # neighbours then stay neighbours
+            order = np.argsort(part, kind="stable")
             for p in np.unique(part):
-                a, b = np.searchsorted(part, [p, p + 1])
-                put(int(p), *front_code(entries[a:b], share[a:b]), owner[a:b])
-            if len(repeats):
-                put(int(part[0]), None, None, repeats)
+                own = order[slice(*np.searchsorted(part[order], [p, p + 1]))]
+                put(int(p), *front_code(entries[own], share[own] if whole else shares_within(entries[own])), owner[own])
+            if len(repeats):  # no other run has to meet them; the first part of all runs would be the same
+                put(int(mix(np.array([ids[0] & (1 << 63) - 1, repeats[0, 1]], np.uint64)).sum() % np.uint64(parts)), None, None, repeats)
             return to_batch(out, **columns)
 
         current, ids, ties = SuffixRun(length), [], []
@@ -357,7 +379,7 @@ def _runs(windows: DataFrame, length: int, parts: int) -> DataFrame:
                 ids.append(doc_id)
                 ties.append(tie)
                 for w in wins:
-                    current.add(len(ids) - 1, raw, w["at"], w["more"], w["anchor"], w["known"])
+                    current.add(len(ids) - 1, raw, w["at"], w["more"], w["anchor"], w["known"], w["spread"])
                     if current.size >= RUN_ROWS:
                         yield rows(current, ids, ties)
                         current, ids, ties = SuffixRun(length), [doc_id], [tie]
@@ -450,7 +472,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     rest = stored(rest, "single-suffixes")
     total = rest.agg(F.sum(F.col("w.more") + 1)).first()[0] or 0
     parts = max(1, -(-total // MERGE_ROWS))
-    ends = _merge(_runs(_with_texts(keyed, rest, "at", "more", "anchor", "known"), length, parts), length)
+    many = rest.groupBy(F.col("anchor").alias("_a")).agg(F.sum(F.col("w.more") + 1).alias("_n")).where(F.col("_n") > MERGE_ROWS)
+    many = stored(many.select("_a", F.least(F.ceil(F.col("_n") / MERGE_ROWS), F.lit(parts)).cast("int").alias("_spread")), "large-anchors")
+    rest = rest.join(many, F.col("anchor") == F.col("_a"), "left").select("anchor", "w", "known", F.coalesce("_spread", F.lit(1)).alias("spread"))
+    ends = _merge(_runs(_with_texts(keyed, rest, "at", "more", "anchor", "known", "spread"), length, parts), length)
 
     spans = equal.select("doc_id", "tie", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("more") + length).alias("end")).alias("span"))
     spans = spans.unionByName(ends.select("doc_id", "tie", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span")))

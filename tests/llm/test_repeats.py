@@ -4,6 +4,7 @@ from collections import Counter
 import corpus
 import numpy as np
 import pytest
+import zstandard
 
 from foreshock.llm import repeats
 
@@ -74,3 +75,23 @@ def test_cut_characters_are_dropped_from_text(spark):
     rows = [(1, "x" + passage + "yz"), (2, passage + "end")]
     got = {r["doc_id"]: r["kept"] for r in repeats.remove_repeats(corpus.frame(spark, rows), 201, as_text=True).collect()}
     assert got[1] in ("xyz", "xéyz") and "end" in got[2]
+
+
+def test_edges_of_one_passage_are_merged_by_several_tasks(spark, monkeypatch):
+    """Every text has other bytes around the passage, so all suffixes across its ends belong to few anchors and blocks."""
+    monkeypatch.setattr(repeats, "RUN_ROWS", 200)
+    monkeypatch.setattr(repeats, "MERGE_ROWS", 100)
+    rng = random.Random(6)
+    passage = corpus.prose(rng, 40)
+    texts = [corpus.prose(rng, 12) + passage + corpus.prose(rng, 12) for _ in range(120)]
+    sizes, merge = Counter(), repeats._merge
+
+    def watched(runs, length):
+        for r in runs.where("share is not null").collect():
+            sizes[r["part"]] += len(zstandard.ZstdDecompressor().decompress(r["share"]))
+        return merge(runs, length)
+
+    monkeypatch.setattr(repeats, "_merge", watched)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(corpus.frame(spark, enumerate(texts))).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(plain(texts, 200))}
+    assert max(sizes.values()) <= 4 * repeats.MERGE_ROWS < sum(sizes.values()) / 3, sizes
