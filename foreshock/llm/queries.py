@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, pieces, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, repeats, toxicity
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -75,3 +75,9 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a Katz bigram model of six sevenths of them."""
     return katz.score_held_out(read(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, on a grammar of its words."""
+    return periodic.digests(read(spark, sf_dir, "documents"))

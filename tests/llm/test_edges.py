@@ -3,7 +3,7 @@
 import corpus
 import pytest
 
-from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, pieces, queries, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, queries, repeats, toxicity
 
 LABELS = [(1, 1, 0), (2, 0, None), (4, None, 1), (5, 1, 0), (7, 0, 1), (7, 1, 0), (None, 1, 1), (99, 0, 0), (9, 1, 1)]
 
@@ -18,6 +18,7 @@ OPERATORS = {
     "rules": lambda d, y: host_rules.judge(d),
     "katz": lambda d, y: katz.score_held_out(d),
     "near": lambda d, y: partenum.near_duplicates(d),
+    "periodic": lambda d, y: periodic.digests(d),
     "quality": neighbours.classify_held_out,
 }
 
