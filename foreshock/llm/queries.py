@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, repeats, toxicity
+from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, repeats, toxicity, whitening
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -81,3 +81,9 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, on a grammar of its words."""
     return periodic.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 leading components of their distinct rows, whitened."""
+    return whitening.whitened_components(read(spark, sf_dir, "embeddings"), 16)
