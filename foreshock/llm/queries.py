@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreshock.llm import fingerprints, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, repeats, toxicity, whitening
+from foreshock.llm import fingerprints, forest, host_rules, katz, language, neighbours, packing, partenum, periodic, pieces, repeats, toxicity, whitening
 from foreshock.llm.base import ORACLE, QUERIES, query, read
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -87,3 +87,9 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on the 16 leading components of their distinct rows, whitened."""
     return whitening.whitened_components(read(spark, sf_dir, "embeddings"), 16)
+
+
+@query("op13_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of at least 0.9."""
+    return forest.near_vectors(read(spark, sf_dir, "embeddings"))
