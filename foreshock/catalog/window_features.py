@@ -7,9 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from foreshock import bindings as B
-from foreshock.catalog.base import cte, oracle, query
-from foreshock.catalog.label_matrix import labels, matrix
-from foreshock.operators.features import extract, rows, tables
+from foreshock.catalog.base import BAND_CASE, FILL, cte, oracle, query
+from foreshock.catalog.label_matrix import STEP_S, labels, matrix
+from foreshock.operators import lookback
+from foreshock.operators.features import arrays, extract, rows, tables
+from foreshock.plans.tremor import filled_rsam
 
 CORRIDOR_SQL = ", ".join(f"quantile_cont(v, {q}) OVER g AS q{int(q * 100)}" for q in rows.CORRIDOR)
 NEXT_SQL = ", ".join(f"lead(v, {i}) OVER o AS next{i}" for i in range(1, 7))
@@ -278,9 +280,9 @@ _table_query(
 )
 
 
-def permutation_sql():
+def permutation_sql(sizes):
     parts = []
-    for size in tables.PATTERN_SIZES:
+    for size in sizes:
         xs = ["v"] + [f"next{i}" for i in range(1, size)]
         # Rank of each element among the others, ties by position.
         ranks = " || ".join(
@@ -299,7 +301,8 @@ def permutation_sql():
     return "\nUNION ALL\n".join(parts)
 
 
-_table_query("permutation_entropy", oracle(permutation_sql(), "fx", dbl=["value"]))
+_table_query("permutation_entropy", oracle(permutation_sql(arrays.PATTERN_SIZES), "fx", dbl=["value"]))
+_table_query("permutation_long", oracle(permutation_sql(arrays.LONG_PATTERNS), "fx", dbl=["value"]))
 _table_query(
     "benford",
     oracle(
@@ -337,6 +340,26 @@ UNION ALL SELECT series, id, metric || '__sample_entropy', CASE WHEN a > 0 AND b
     ),
 )
 
+def match_grid_sql():
+    near = lambda r, size: " AND ".join(f"abs(a.x{k} - b.x{k}) <= {r} * a.sd" for k in range(size))
+    counts = ",\n    ".join(
+        f"count(*) FILTER ({near(r, 2)}) AS c2_{i}, count(*) FILTER ({near(r, 3)}) AS c3_{i}" for i, r in enumerate(arrays.TOLERANCES)
+    )
+    cells = {
+        f"approximate_entropy__m_2__r_{r}": f"abs(avg(ln(c2_{i} / (n - 1))) - avg(CASE WHEN c3_{i} > 0 THEN ln(c3_{i} / (n - 2)) END))"
+        for i, r in enumerate(arrays.TOLERANCES)
+    }
+    points = "SELECT series, id, metric, pos, n, sd, v AS x0, next1 AS x1, next2 AS x2 FROM fx"
+    pairs = f"""(SELECT a.series, a.id, a.metric, a.pos, max(a.n) AS n, {counts}
+  FROM ({points}) a JOIN ({points}) b USING (series, id, metric) WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL GROUP BY ALL)"""
+    return unpivot(pairs, cells)
+
+
+_table_query("match_entropy_grid", oracle(match_grid_sql(), "fx", dbl=["value"]))
+# Ridge lines and the longer partial autocorrelations are folds that SQL does not state; tests compare them with plain versions.
+_table_query("ridge_peaks", None)
+_table_query("partial_long", None)
+
 cte(
     "spec",
     """SELECT *, sqrt(re * re + im * im) AS mag FROM (
@@ -346,9 +369,9 @@ cte(
 )
 
 
-def fft_sql():
+def fft_sql(most=24):
     out = {}
-    for k in range(25):
+    for k in range(most + 1):
         w = f"FILTER (k = {k})"
         out[f'fft_coefficient__attr_"real"__coeff_{k}'] = f"max(re) {w}"
         out[f'fft_coefficient__attr_"imag"__coeff_{k}'] = f"max(im) {w}"
@@ -376,8 +399,8 @@ FROM (SELECT *, 0.5e0 - 0.5e0 * cos(2 * pi() * pos / 48e0) AS w FROM fx) CROSS J
 
 
 def welch_sql():
-    parts = [unpivot("psd", {f"spkt_welch_density__coeff_{c}": f"max(density) FILTER (k = {c})" for c in tables.WELCH_COEFFS})]
-    for bins in tables.FOURIER_BINS:
+    parts = [unpivot("psd", {f"spkt_welch_density__coeff_{c}": f"max(density) FILTER (k = {c})" for c in arrays.WELCH_COEFFS})]
+    for bins in arrays.FOURIER_BINS:
         parts.append(
             unpivot(
                 entropy_of(
@@ -395,7 +418,7 @@ _table_query("welch", oracle(welch_sql(), "psd", dbl=["value"]))
 
 def wavelet_sql(last: int) -> str:
     cols = []
-    for w in tables.CWT_WIDTHS:
+    for w in arrays.CWT_WIDTHS:
         k = min(10 * w, 48)
         off = f"(i + {(k - 1) // 2} - pos)"
         z = f"(power({off} - {(k - 1) / 2!r}, 2) / {float(w * w)!r})"
@@ -412,7 +435,7 @@ _table_query(
             f"({wavelet_sql(14)})",
             {
                 f"cwt_coefficients__coeff_{c}__w_{w}__widths_{WIDTHS}": f"max(w{w}) FILTER (i = {c})"
-                for w in tables.CWT_WIDTHS
+                for w in arrays.CWT_WIDTHS
                 for c in range(15)
             },
         ),
@@ -421,7 +444,7 @@ _table_query(
     ),
 )
 PEAK_TERMS = " + ".join(
-    f"CASE WHEN w{w} > lag(w{w}) OVER o AND w{w} > lead(w{w}) OVER o THEN 1 ELSE 0 END" for w in tables.CWT_WIDTHS
+    f"CASE WHEN w{w} > lag(w{w}) OVER o AND w{w} > lead(w{w}) OVER o THEN 1 ELSE 0 END" for w in arrays.CWT_WIDTHS
 )
 _table_query(
     "cwt_peaks",
@@ -434,3 +457,63 @@ _table_query(
         dbl=["value"],
     ),
 )
+
+
+# ---------------------------------------------------------------- a grid of ten minutes
+
+FINE_S = 600
+TEN = "time_bucket(INTERVAL 10 MINUTE, ts)"
+cte(
+    "fine_cells",
+    f"""SELECT g.series, g.metric, g.ts, r.v FROM (
+  SELECT series, ts, unnest([{", ".join(repr(m) for m in B.RSAM_METRICS)}]) AS metric FROM (
+    SELECT series, unnest(generate_series(a, b, INTERVAL 10 MINUTE)) AS ts FROM (
+      SELECT series, date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) + INTERVAL 1430 MINUTE AS b FROM samples GROUP BY series))) g
+LEFT JOIN (
+  SELECT series, {BAND_CASE} AS metric, h AS ts, avg(a) AS v FROM (
+    SELECT series, band, {TEN} AS h, ts, abs(x) AS a, avg(abs(x)) OVER w AS m, stddev_pop(abs(x)) OVER w AS sd,
+      row_number() OVER (PARTITION BY series, band, {TEN} ORDER BY abs(x) DESC, ts) AS rn
+    FROM samples WHERE x <> 0 WINDOW w AS (PARTITION BY series, band, {TEN}))
+  WHERE NOT (rn = 1 AND sd > 0 AND (a - m) / nullif(sd, 0) > 3) GROUP BY series, band, h) r
+ON g.series = r.series AND g.metric = r.metric AND g.ts = r.ts""",
+    "samples",
+)
+cte("fine_tremor", "SELECT series, metric, ts, round(v + 1e-9, 6) AS v FROM (" + FILL.format(src="fine_cells", lead="v1") + ")", "fine_cells")
+cte(
+    "fine_slices",
+    f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series, id, metric ORDER BY ts) - 1 AS BIGINT) AS pos,
+  count(*) OVER (PARTITION BY series, id, metric) AS n FROM (
+  SELECT y.series, y.id, t.metric, t.ts, t.v FROM y JOIN fine_tremor t ON t.series = y.series
+    AND t.ts >= y.ts - INTERVAL {B.LOOKBACK_DAYS} DAY AND t.ts < y.ts)) WHERE n = 288""",
+    "y",
+    "fine_tremor",
+)
+
+
+def fine_tremor(spark, sf):
+    return filled_rsam(B.samples(spark, sf), FINE_S, B.BANDS)
+
+
+def fine_matrix(spark, sf):
+    return lookback.lookback_matrix(fine_tremor(spark, sf), labels(spark), B.LOOKBACK_DAYS, STEP_S, FINE_S)
+
+
+cte(
+    "fine_spec",
+    """SELECT *, sqrt(re * re + im * im) AS mag FROM (
+  SELECT series, id, metric, k, sum(v * cos(2 * pi() * ((k * pos) % 288) / 288e0)) AS re, -sum(v * sin(2 * pi() * ((k * pos) % 288) / 288e0)) AS im
+  FROM fine_slices CROSS JOIN (SELECT unnest(generate_series(0, 144)) AS k) GROUP BY ALL)""",
+    "fine_slices",
+)
+
+
+@query("features_fft_long", oracle(unpivot("fine_spec", fft_sql(arrays.FFT_MOST)), "fine_spec", dbl=["value"]))
+def features_fft_long(spark, sf):
+    """Coefficients 0 to 99 of slices of 288 values."""
+    return extract.extract_features(fine_matrix(spark, sf), exclude=(), families=["fft", "fft_high"])
+
+
+@query("features_default")
+def features_default(spark, sf):
+    """The whole default set of calculators; every family has a query of its own beside SQL."""
+    return extract.extract_features(matrix(spark, sf))

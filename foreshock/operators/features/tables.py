@@ -1,8 +1,8 @@
 """Calculators that need a second grouping inside the slice.
 
 Each first derives a small table keyed by (series, id, metric, something): lags,
-distinct values, bins, ordinal patterns, frequencies, wavelet positions.  The
-second key refines the first, so grouping again needs no further shuffle.
+distinct values, bins, digits.  The second key refines the first, so grouping
+again needs no further shuffle.  Calculators on whole slices are in ``arrays``.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +18,7 @@ from foreshock.operators.features.rows import CHUNK_LENGTHS, KEYS, MAX_LAG, to_l
 
 # Parameter grids of the calculators.
 AUTOCORR_LAGS = list(range(10))
-PATTERN_SIZES = [3, 4, 5]
 BINS = 10
-FFT_COEFFS = 24
-WELCH_COEFFS = [2, 5, 8]
-FOURIER_BINS = [2, 3, 5, 10, 100]
-CWT_WIDTHS = [2, 5, 10, 20]
-CWT_COEFFS = 15
-WELCH_LENGTH = 256
 
 
 def whole():
@@ -158,27 +149,6 @@ def binned_entropy(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
     return _finish(counts.groupBy(*KEYS), {name: _entropy(counts)})
 
 
-def permutation_entropy(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    """Entropy of ordinal patterns; equal values rank by position."""
-    parts = []
-    ahead = matrix.withColumns({f"x{i}": F.lead("v", i).over(order()) for i in range(1, max(PATTERN_SIZES))})
-    ahead = ahead.withColumn("x0", F.col("v"))
-    for size in PATTERN_SIZES:
-        name = f"permutation_entropy__dimension_{size}__tau_1"
-        if not wanted(name):
-            continue
-        # The pattern is the result of each ordered comparison, one bit per pair.
-        bits = [
-            F.when(F.col(f"x{i}") <= F.col(f"x{j}"), "1").otherwise("0")
-            for i in range(size)
-            for j in range(i + 1, size)
-        ]
-        pattern = ahead.where(F.col("pos") <= F.col("n") - size).withColumn("pattern", F.concat(*bits))
-        counts = _with_total(pattern.groupBy(*KEYS, "pattern").agg(F.count("*").alias("c")))
-        parts.append(_finish(counts.groupBy(*KEYS), {name: _entropy(counts)}))
-    return _union(parts)
-
-
 def benford(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
     """Correlation of leading-digit shares with log10(1 + 1/d)."""
     if not wanted("benford_correlation"):
@@ -197,180 +167,6 @@ def benford(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
     return _finish(table.groupBy(*KEYS), {"benford_correlation": correlation("share", "law")})
 
 
-def _match_entropies(values: pd.Series) -> pd.DataFrame:
-    """Template-match entropies (m = 2, r = 0.2 s) of bounded arrays."""
-
-    def distances(x: np.ndarray, size: int, count: int) -> np.ndarray:
-        t = np.stack([x[i : i + count] for i in range(size)], axis=1)
-        return np.abs(t[:, None, :] - t[None, :, :]).max(axis=2)
-
-    out = []
-    for raw in values:
-        x = np.asarray(raw, dtype=float)
-        size, r = len(x), 0.2 * float(np.std(x)) if len(x) else 0.0
-        if size < 4 or r == 0:
-            out.append((None, None))
-            continue
-        phi = [np.log((distances(x, m, size - m + 1) <= r).mean(axis=1)).mean() for m in (2, 3)]
-        b = int((distances(x, 2, size - 2) <= r).sum()) - (size - 2)
-        a = int((distances(x, 3, size - 2) <= r).sum()) - (size - 2)
-        out.append((abs(phi[0] - phi[1]), -math.log(a / b) if a > 0 and b > 0 else None))
-    return pd.DataFrame(out, columns=["apen", "sampen"])
-
-
-def match_entropies(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    """Approximate and sample entropy.
-
-    Templates are compared inside the array of one slice, whose length the
-    look-back fixes; no pair of rows is ever emitted.
-    """
-    names = {"approximate_entropy__m_2__r_0.2": "apen", "sample_entropy": "sampen"}
-    names = {k: c for k, c in names.items() if wanted(k)}
-    if not names:
-        return None
-    arrays = matrix.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_a"))
-    both = arrays.select(*KEYS, F.pandas_udf(_match_entropies, "apen double, sampen double")(F.col("_a.v")).alias("_e"))
-    return to_long(both.select(*KEYS, *[F.col(f"_e.{c}").alias(k) for k, c in names.items()]), list(names))
-
-
-def spectrum(matrix: DataFrame) -> DataFrame:
-    """``(keys, n, k, re, im, mag)`` for k = 0..n/2.
-
-    The frequency index is exploded beside each row and summed in the same
-    stage; the work per slice is fixed by the look-back.
-    """
-    rows = matrix.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))))
-    angle = F.lit(2 * math.pi) * (F.col("k") * F.col("pos") % F.col("n")) / F.col("n")
-    table = rows.groupBy(*KEYS, "k").agg(
-        F.max("n").alias("n"), F.sum(F.col("v") * F.cos(angle)).alias("re"), (-F.sum(F.col("v") * F.sin(angle))).alias("im")
-    )
-    return table.withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-
-
-def fft_features(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    k, mag = F.col("k"), F.col("mag")
-    aggs: dict[str, Column] = {}
-    for i in range(FFT_COEFFS + 1):
-        here = k == i
-        angle = F.when(here & (mag >= 1e-9), F.degrees(F.atan2("im", "re")))
-        for attr, value in (("real", F.col("re")), ("imag", F.col("im")), ("abs", mag), ("angle", angle)):
-            aggs[f'fft_coefficient__attr_"{attr}"__coeff_{i}'] = F.max(F.when(here, value))
-    m1, m2, m3, m4 = (safe_divide(F.sum(mag * F.pow(k.cast("double"), p)), F.sum(mag)) for p in (1, 2, 3, 4))
-    var = m2 - m1 * m1
-    wide_enough = var >= 0.5
-    skew = (m3 - 3 * m1 * var - m1 * m1 * m1) / F.pow(F.nullif(var, F.lit(0.0)), F.lit(1.5))
-    kurt = (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1 * m1 * m1 * m1) / F.nullif(var * var, F.lit(0.0))
-    aggs['fft_aggregated__aggtype_"centroid"'] = m1
-    aggs['fft_aggregated__aggtype_"variance"'] = var
-    aggs['fft_aggregated__aggtype_"skew"'] = F.when(wide_enough, skew)
-    aggs['fft_aggregated__aggtype_"kurtosis"'] = F.when(wide_enough, kurt)
-    aggs = _kept(aggs, wanted)
-    return _finish(spectrum(matrix).groupBy(*KEYS), aggs) if aggs else None
-
-
-def welch(matrix: DataFrame) -> DataFrame:
-    """``(keys, k, density)``: Hann-windowed spectral density at unit sampling rate.
-
-    Slices longer than 256 points are cut into half-overlapping segments whose
-    densities are averaged.
-    """
-    length = F.least(F.col("n"), F.lit(WELCH_LENGTH))
-    hop = F.greatest(F.floor(length / 2), F.lit(1))
-    segments = F.floor((F.col("n") - length) / hop)
-    first = F.greatest(F.ceil((F.col("pos") - length + 1) / hop), F.lit(0)).cast("int")
-    last = F.least(F.floor(F.col("pos") / hop), segments).cast("int")
-    rows = matrix.withColumns({"len": length, "hop": hop, "_f": first, "_l": last}).where("_f <= _l")
-    rows = rows.withColumn("seg", F.explode(F.sequence("_f", "_l")))
-    i = F.col("pos") - F.col("seg") * F.col("hop")
-    rows = rows.withColumn("i", i).withColumn(
-        "w", F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * math.pi) * F.col("i") / F.col("len"))
-    )
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / 2).cast("int"))))
-    angle = F.lit(2 * math.pi) * (F.col("k") * F.col("i") % F.col("len")) / F.col("len")
-    w, x = F.col("w"), F.col("v")
-    mean = F.avg(x)
-    re = F.sum(w * x * F.cos(angle)) - mean * F.sum(w * F.cos(angle))
-    im = F.sum(w * x * F.sin(angle)) - mean * F.sum(w * F.sin(angle))
-    one_sided = F.when((F.col("k") == 0) | (F.col("k") * 2 == F.max("len")), 1.0).otherwise(2.0)
-    density = (re * re + im * im) * one_sided / F.nullif(F.sum(w * w), F.lit(0.0))
-    per_segment = rows.groupBy(*KEYS, "k", "seg").agg(density.alias("density"))
-    return per_segment.groupBy(*KEYS, "k").agg(F.avg("density").alias("density"))
-
-
-def welch_features(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    names = {c: f"spkt_welch_density__coeff_{c}" for c in WELCH_COEFFS}
-    density = _kept({n: F.max(F.when(F.col("k") == c, F.col("density"))) for c, n in names.items()}, wanted)
-    parts = []
-    table = welch(matrix)
-    if density:
-        parts.append(_finish(table.groupBy(*KEYS), density))
-    for bins in FOURIER_BINS:
-        name = f"fourier_entropy__bins_{bins}"
-        if not wanted(name):
-            continue
-        lo, hi = F.min("density").over(whole()), F.max("density").over(whole())
-        # Rounded so that a share on a bin edge falls the same way everywhere.
-        share = F.round((F.col("density") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins, 9)
-        binned = table.withColumns({"lo": lo, "hi": hi}).withColumn(
-            "bin", F.least(F.floor(share), F.lit(bins - 1))
-        )
-        counts = _with_total(binned.where("bin IS NOT NULL").groupBy(*KEYS, "bin").agg(F.count("*").alias("c")))
-        parts.append(_finish(counts.groupBy(*KEYS), {name: _entropy(counts)}))
-    return _union(parts)
-
-
-def _ricker(offset: Column, points: Column, width: int) -> Column:
-    """Ricker wavelet of ``width`` at a sample offset of its support of ``points``."""
-    x = offset - (points - 1) / F.lit(2.0)
-    scale = 2 / (math.sqrt(3 * width) * math.pi**0.25)
-    z = x * x / F.lit(float(width * width))
-    return F.lit(scale) * (F.lit(1.0) - z) * F.exp(-z / F.lit(2.0))
-
-
-def wavelets(matrix: DataFrame, outputs: Column) -> DataFrame:
-    """``(keys, n, i, w2, w5, w10, w20)``: wavelet response at positions ``outputs``."""
-    rows = matrix.withColumn("i", F.explode(outputs))
-    aggs = []
-    for width in CWT_WIDTHS:
-        points = F.least(F.lit(10 * width), F.col("n"))
-        offset = F.col("i") + F.floor((points - 1) / 2) - F.col("pos")
-        inside = (offset >= 0) & (offset < points)
-        aggs.append(F.sum(F.when(inside, F.col("v") * _ricker(offset, points, width)).otherwise(0.0)).alias(f"w{width}"))
-    return rows.groupBy(*KEYS, "i").agg(F.max("n").alias("n"), *aggs)
-
-
-def cwt_features(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    widths = "(" + ", ".join(map(str, CWT_WIDTHS)) + ")"
-    aggs = {
-        f"cwt_coefficients__coeff_{c}__w_{w}__widths_{widths}": F.max(F.when(F.col("i") == c, F.col(f"w{w}")))
-        for w in CWT_WIDTHS
-        for c in range(CWT_COEFFS)
-    }
-    aggs = _kept(aggs, wanted)
-    if not aggs:
-        return None
-    table = wavelets(matrix, F.sequence(F.lit(0), F.lit(CWT_COEFFS - 1)))
-    return _finish(table.groupBy(*KEYS), aggs)
-
-
-def cwt_peaks(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
-    """Positions that are strict local maxima of the response at two or more widths."""
-    name = "number_cwt_peaks__widths_2"
-    if not wanted(name):
-        return None
-    table = wavelets(matrix, F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))
-    along = whole().orderBy("i")
-    score = F.lit(0)
-    near = {}
-    for w in CWT_WIDTHS:
-        near[f"p{w}"] = F.lag(f"w{w}").over(along)
-        near[f"f{w}"] = F.lead(f"w{w}").over(along)
-        peak = (F.col(f"w{w}") > F.col(f"p{w}")) & (F.col(f"w{w}") > F.col(f"f{w}"))
-        score = score + F.when(peak, 1).otherwise(0)
-    marked = table.withColumns(near).withColumn("score", score)
-    return _finish(marked.groupBy(*KEYS), {name: F.sum(F.when(F.col("score") >= 2, 1.0).otherwise(0.0))})
-
-
 def longest_runs(matrix: DataFrame, wanted: Wanted) -> DataFrame | None:
     """Longest consecutive stretch above and below the mean."""
     parts = []
@@ -406,13 +202,7 @@ TABLES: dict[str, Callable[[DataFrame, Wanted], DataFrame | None]] = {
     "repeats": repeated_values,
     "runs": longest_runs,
     "binned_entropy": binned_entropy,
-    "permutation_entropy": permutation_entropy,
     "benford": benford,
-    "match_entropy": match_entropies,
-    "fft": fft_features,
-    "welch": welch_features,
-    "cwt": cwt_features,
-    "cwt_peaks": cwt_peaks,
 }
 
 # Calculators of each family, so that a family nobody asked for is not built.
@@ -429,11 +219,5 @@ CALCULATORS: dict[str, list[str]] = {
     ],
     "runs": ["longest_strike_above_mean", "longest_strike_below_mean"],
     "binned_entropy": ["binned_entropy"],
-    "permutation_entropy": ["permutation_entropy"],
     "benford": ["benford_correlation"],
-    "match_entropy": ["approximate_entropy", "sample_entropy"],
-    "fft": ["fft_coefficient", "fft_aggregated"],
-    "welch": ["spkt_welch_density", "fourier_entropy"],
-    "cwt": ["cwt_coefficients"],
-    "cwt_peaks": ["number_cwt_peaks"],
 }
