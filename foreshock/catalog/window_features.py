@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from foreshock import bindings as B
 from foreshock.catalog.base import BAND_CASE, FILL, cte, oracle, query
 from foreshock.catalog.label_matrix import STEP_S, labels, matrix
-from foreshock.operators import lookback
+from foreshock.operators import labels as L
+from foreshock.operators import lookback, panes
 from foreshock.operators.features import arrays, extract, rows, tables
 from foreshock.plans.tremor import filled_rsam
 
@@ -517,3 +518,36 @@ def features_fft_long(spark, sf):
 def features_default(spark, sf):
     """The whole default set of calculators; every family has a query of its own beside SQL."""
     return extract.extract_features(matrix(spark, sf))
+
+
+# Labels every ten minutes: neighbouring look-backs share 287 of 288 panes.
+PANE_CALCULATORS = ["sum_values", "mean", "maximum", "minimum", "standard_deviation", "skewness", "kurtosis", "median", "quantile", "ratio_beyond_r_sigma"]
+cte(
+    "dense_y",
+    f"""SELECT 'all' AS series, row_number() OVER (ORDER BY ts) - 1 AS id, ts FROM (
+  SELECT unnest(generate_series(TIMESTAMP '{B.GRID_START} 00:00:00', TIMESTAMP '{B.GRID_END} 23:59:59', INTERVAL 10 MINUTE)) AS ts)""",
+)
+cte(
+    "dense_slices",
+    f"""SELECT * FROM (SELECT *, count(*) OVER g AS n, avg(v) OVER g AS m, stddev_pop(v) OVER g AS sd FROM (
+  SELECT y.series, y.id, t.metric, t.v FROM dense_y y JOIN fine_tremor t ON t.series = y.series
+    AND t.ts >= y.ts - INTERVAL {B.LOOKBACK_DAYS} DAY AND t.ts < y.ts) WINDOW g AS (PARTITION BY series, id, metric)) WHERE n = 288""",
+    "dense_y",
+    "fine_tremor",
+)
+
+
+@query(
+    "features_panes",
+    oracle(
+        unpivot("dense_slices", {n: e for n, e in moments_sql().items() if rows.calculator_of(n) in PANE_CALCULATORS}),
+        "dense_slices",
+        dbl=["value"],
+    ),
+)
+def features_panes(spark, sf):
+    """Moments, extremes and order statistics of 48-hour look-backs that end every ten minutes."""
+    dense = L.label_grid(spark, B.GRID_START, B.GRID_END, 10, "minutes").select(F.lit("all").alias("series"), "id", "ts")
+    return panes.pane_features(
+        fine_tremor(spark, sf), dense, B.LOOKBACK_DAYS, FINE_S, FINE_S, wanted=lambda n: rows.calculator_of(n) in PANE_CALCULATORS
+    )

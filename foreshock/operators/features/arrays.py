@@ -353,31 +353,39 @@ def compute(x: np.ndarray, families: Sequence[str], names: Sequence[str]) -> np.
     return np.stack([found[n] for n in names], axis=1)
 
 
+def feature_rows(made: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Long form of ``(series, id, metric, _f)`` with one value per name; NaN becomes NULL."""
+    labels = F.array(*[F.lit(n) for n in names])
+    cells = made.select("series", "id", "metric", F.posexplode("_f").alias("_k", "value"))
+    value = F.nanvl("value", F.lit(None).cast("double"))
+    return cells.select("series", "id", F.concat("metric", F.lit("__"), F.get(labels, F.col("_k"))).alias("feature"), value.alias("value"))
+
+
 def array_features(matrix: DataFrame, wanted: Callable[[str], bool], families: Sequence[str]) -> DataFrame | None:
-    """All wanted features of the ``families`` in one pass, long form."""
+    """All wanted features of the ``families`` of the slices in ``matrix`` in one pass, long form."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "v")))
+    slices = matrix.groupBy(*KEYS).agg(ordered.alias("_a")).select(*KEYS, F.col("_a.v").cast("array<double>").alias("v"))
+    return features_of_arrays(slices, wanted, families)
+
+
+def features_of_arrays(slices: DataFrame, wanted: Callable[[str], bool], families: Sequence[str]) -> DataFrame | None:
+    """The same of slices given as ordered arrays ``v`` (series, id, metric, v); None if nothing is wanted."""
     named = {f: [n for n in feature_names(f) if wanted(n)] for f in families}
     used, names = [f for f in named if named[f]], [n for f in named for n in named[f]]
     if not names:
         return None
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "v")))
-    arrays = matrix.groupBy(*KEYS).agg(ordered.alias("_a")).select(*KEYS, F.col("_a.v").cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = np.full((b.num_rows, len(names)), np.nan)
-                slices = [np.asarray(v, float) for v in b.column("v").to_pylist()]
-                size = np.array([len(v) for v in slices])
+                arrays = [np.asarray(v, float) for v in b.column("v").to_pylist()]
+                size = np.array([len(v) for v in arrays])
                 for n in np.unique(size[size > 0]):
                     rows = np.flatnonzero(size == n)
-                    out[rows] = compute(np.stack([slices[i] for i in rows]), used, names)
-                flat = pa.array(out.ravel(), from_pandas=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(names), pa.int32()), flat)
+                    out[rows] = compute(np.stack([arrays[i] for i in rows]), used, names)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(names), pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEYS), lists], [*KEYS, "_f"])
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema if f.name in KEYS)
-    made = arrays.mapInArrow(run, f"{keys}, _f array<double>")
-    # names beside values without a join: one row per feature leaves the slice
-    cells = F.posexplode("_f").alias("_k", "value")
-    labels = F.array(*[F.lit(n) for n in names])
-    return made.select("series", "id", "metric", cells).select("series", "id", F.concat("metric", F.lit("__"), F.get(labels, F.col("_k"))).alias("feature"), "value")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slices.schema if f.name in KEYS)
+    return feature_rows(slices.select(*KEYS, "v").mapInArrow(run, f"{keys}, _f array<double>"), names)
