@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foreshock import bindings as B
 from foreshock.catalog.base import BAND_CASE, FILL, cte, oracle, query
-from foreshock.catalog.label_matrix import STEP_S, labels, matrix
+from foreshock.catalog.label_matrix import STEP_S, labels, matrix, tremor
 from foreshock.operators import labels as L
 from foreshock.operators import lookback, panes
 from foreshock.operators.features import arrays, extract, rows, tables
@@ -158,7 +158,13 @@ def _rows_query(family, exprs):
         return extract.extract_features(matrix(spark, sf), exclude=(), families=[family])
 
 
-_rows_query("moments", moments_sql())
+
+
+@query("features_moments", oracle(unpivot("fx", moments_sql()), "fx", dbl=["value"]))
+def features_moments(spark, sf):
+    return panes.pane_features(tremor(spark, sf), labels(spark), B.LOOKBACK_DAYS, STEP_S, B.WINDOW_S)
+
+
 _rows_query("changes", changes_sql())
 _rows_query("trends", trends_sql())
 _rows_query("counts", counts_sql())

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foreshock.functions.blocked import carry_back, running_sum
 from foreshock.functions.expr import (
     SECONDS_PER_DAY,
     check_divides_day,
@@ -29,6 +28,7 @@ from foreshock.functions.expr import (
     window_start,
 )
 from foreshock.functions.reuse import join_back, keep
+from foreshock.operators import onepass
 
 KEYS = ["series", "band"]
 DEFAULT_RATIO = 0.3
@@ -241,22 +241,9 @@ def integrate(samples: DataFrame) -> DataFrame:
     """Trapezoid integral per series, band and day, starting at 0 each day.
 
     The running total is computed per hour and carried over, so a day of raw
-    samples is spread over tasks.
+    samples is spread over tasks; the samples are read and dealt once.
     """
-    keys = [*KEYS, "day"]
-    base = samples.where(F.col("x").isNotNull() & ~F.isnan("x")).select(
-        *KEYS,
-        "ts",
-        "x",
-        day_start("ts").alias("day"),
-        F.date_trunc("hour", "ts").alias("hour"),
-        F.struct("ts", "x").alias("ord"),
-    )
-    lagged = carry_back(base, keys, "hour", "ord", ["ts", "x"])
-    dt = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)
-    area = F.coalesce((F.col("x") + F.col("prev_x")) / F.lit(2.0) * dt, F.lit(0.0))
-    total = running_sum(lagged.withColumn("area", area), keys, "hour", "ord", {"y": F.col("area")})
-    return total.select(*KEYS, "ts", F.col("y").alias("x"))
+    return onepass.integral(samples)
 
 
 def adjacent_ratio(means: DataFrame, bands: Sequence[str], multiplier: float = 1.0) -> DataFrame:
@@ -288,7 +275,14 @@ def dsar(
     multiplier: float = 1.0,
 ) -> DataFrame:
     """Ratio of mean magnitudes of the integrated signal between adjacent bands."""
-    return adjacent_ratio(rsam(integrate(samples), seconds, expected, min_ratio), bands, multiplier)
+    check_divides_day(seconds)
+    deep = onepass.reduced(samples, seconds, entropy=False, magnitudes=False)
+    return adjacent_ratio(_integrated_rsam(deep, expected, min_ratio), bands, multiplier)
+
+
+def _integrated_rsam(deep: DataFrame, expected: float | None, min_ratio: float) -> DataFrame:
+    enough = F.lit(True) if expected is None else F.col("y_n_valid") / F.lit(float(expected)) >= F.lit(min_ratio)
+    return deep.where("y_n_valid > 0").select(*KEYS, F.col("window_start").alias("ts"), F.when(enough, mean_without_max("y_")).alias("v"))
 
 
 def shannon_entropy(
@@ -297,54 +291,18 @@ def shannon_entropy(
     expected: float | None = None,
     min_ratio: float = DEFAULT_RATIO,
     strict: bool = False,
+    band: str | None = None,
 ) -> DataFrame:
-    """Amplitude entropy per series and window over all bands passed in.
+    """Amplitude entropy per series and window, of one ``band`` or pooled over all bands passed in.
 
-    Mean and deviation after the maximum rule come from the first aggregate;
-    the second pass sums ``-y log2 y`` of the normal density ``y`` and takes the
-    removed maximum back out.  ``strict`` makes a window with a zero or missing
-    sample NULL.
+    Mean and deviation after the maximum rule come from the summaries of the
+    windows; the second reader of the same exchange sums ``-y log2 y`` of the
+    normal density ``y``, and the removed maximum is taken back out.  ``strict``
+    makes a window with a zero or missing sample NULL.
     """
     check_divides_day(seconds)
-    key = ["series", "window_start"]
-    rows = samples.select("series", window_start("ts", seconds).alias("window_start"), "x")
-    stats = rows.groupBy(*key).agg(
-        *magnitude_stats(), F.count("*").alias("n_rows")
-    )
-    n, m, sd, top, s = (F.col(c) for c in ("n", "m", "sd", "top", "s"))
-    cut = (sd > 0) & ((top - m) / F.nullif(sd, F.lit(0.0)) > F.lit(3.0))
-    cut = F.coalesce(cut, F.lit(False))
-    left_var = (sd * sd * n - (top - m) * (top - m) * n / (n - 1)) / (n - 1)
-    stats = (
-        stats.withColumn("cut", cut)
-        .withColumn("m2", F.when(cut, (s - top) / (n - 1)).otherwise(m))
-        .withColumn("sd2", F.when(cut, F.sqrt(F.greatest(left_var, F.lit(0.0)))).otherwise(sd))
-        .withColumn("energy2", F.when(cut, F.col("energy") - top * top).otherwise(F.col("energy")))
-        .drop("m", "sd", "s", "energy")
-    )
-
-    def density(a: Column) -> Column:
-        z = (a - F.col("m2")) / F.nullif("sd2", F.lit(0.0))
-        return F.exp(-z * z / F.lit(2.0)) / (F.col("sd2") * F.lit(math.sqrt(2 * math.pi)))
-
-    def term(y: Column) -> Column:
-        return -y * F.log2(F.nullif(y, F.lit(0.0)))
-
-    a = F.abs(valid_sample("x"))
-    y, y_top = density(a), density(F.col("top"))
-    totals = join_back(rows, stats, key).groupBy(*key).agg(
-        F.sum(term(y)).alias("h"),
-        F.sum(F.when(y == 0, 1).otherwise(0)).alias("zeros"),
-        *[F.first(c).alias(c) for c in ("n", "n_rows", "n_valid", "cut", "energy2")],
-        F.first(F.when(F.col("cut"), F.coalesce(term(y_top), F.lit(0.0))).otherwise(0.0)).alias("h_top"),
-        F.first(F.when(F.col("cut") & (y_top == 0), 1).otherwise(0)).alias("zero_top"),
-    )
-    ok = (F.col("energy2") >= 1) & (F.col("zeros") - F.col("zero_top") == 0) & _enough(expected, min_ratio)
-    if strict:
-        ok = ok & (F.col("n") == F.col("n_rows"))
-    return totals.select(
-        "series", F.col("window_start").alias("ts"), F.when(ok, F.col("h") - F.col("h_top")).alias("v")
-    )
+    chosen = samples if band is None else samples.where(F.col("band") == band)
+    return onepass.entropy_of(onepass.reduced(chosen, seconds, integrated=False, magnitudes=False), _enough(expected, min_ratio), strict)
 
 
 def bandpass(samples: DataFrame, bands: Sequence[tuple[str, float, float]], rate: float) -> DataFrame:
@@ -416,19 +374,30 @@ def tremor_long(
     methods: Sequence[str] = ("rsam", "dsar", "entropy"),
     expected: float | None = None,
     multiplier: float = 1.0,
+    entropy_band: str | None = None,
 ) -> DataFrame:
-    """All window metrics as ``(series, metric, ts, v)``, computed windows only."""
+    """All window metrics as ``(series, metric, ts, v)``, computed windows only.
+
+    The samples are scanned once, unless the entropy has a band of its own.
+    """
     unknown = set(methods) - {"rsam", "dsar", "entropy"}
     if unknown:
         raise ValueError(f"unknown method(s) {sorted(unknown)}")
+    deep_methods = [m for m in ("dsar", "entropy") if m in methods and (m != "dsar" or len(bands) > 1)]
     parts = []
+    table = None
+    if deep_methods and not (deep_methods == ["entropy"] and entropy_band is not None):
+        table = keep(onepass.reduced(samples, seconds, "dsar" in deep_methods, "entropy" in deep_methods and entropy_band is None))
     if "rsam" in methods:
-        r = rsam(samples, seconds, expected, multiplier=multiplier)
+        r = rsam(samples, seconds, expected, multiplier=multiplier) if table is None else _raw_rsam(table, expected, multiplier)
         parts.append(r.select("series", band_metric(bands).alias("metric"), "ts", "v").where("metric IS NOT NULL"))
-    if "dsar" in methods and len(bands) > 1:
-        parts.append(dsar(samples, seconds, bands, expected, multiplier=multiplier))
+    if "dsar" in deep_methods:
+        parts.append(adjacent_ratio(_integrated_rsam(table, expected, DEFAULT_RATIO), bands, multiplier))
     if "entropy" in methods:
-        h = shannon_entropy(samples, seconds, None if expected is None else expected * len(bands))
+        if entropy_band is None:
+            h = onepass.entropy_of(table, _enough(None if expected is None else expected * len(bands), DEFAULT_RATIO), False)
+        else:
+            h = shannon_entropy(samples, seconds, expected, band=entropy_band)
         parts.append(h.select("series", F.lit("entropy").alias("metric"), "ts", "v"))
     out = parts[0]
     for p in parts[1:]:
@@ -436,6 +405,13 @@ def tremor_long(
     return out
 
 
+def _raw_rsam(raw: DataFrame, expected: float | None, multiplier: float) -> DataFrame:
+    v = mean_without_max()
+    if multiplier != 1.0:
+        v = v * F.lit(multiplier)
+    return raw.select(*KEYS, F.col("window_start").alias("ts"), F.when(_enough(expected, DEFAULT_RATIO), v).alias("v"))
+
+
 def metric_names(bands: Sequence[str], methods: Sequence[str]) -> list[str]:
     names = []
     if "rsam" in methods:
@@ -466,10 +442,11 @@ def tremor_table(
     bands: Sequence[str],
     methods: Sequence[str] = ("rsam", "dsar", "entropy"),
     expected: float | None = None,
+    entropy_band: str | None = None,
 ) -> DataFrame:
     """Wide table: one row per series and window of every day, one column per metric."""
     names = metric_names(bands, methods)
-    long = tremor_long(samples, seconds, bands, methods, expected)
+    long = tremor_long(samples, seconds, bands, methods, expected, entropy_band=entropy_band)
     wide = keep(
         long.groupBy("series", "ts").agg(
             *[F.max(F.when(F.col("metric") == n, F.col("v"))).alias(n) for n in names]
