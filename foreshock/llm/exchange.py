@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 
 def deal(key: np.ndarray, row: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -38,3 +39,13 @@ def equal_keys(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(len(key), bool)
     first[1:] = ~same
     return place[twice], (np.cumsum(first) - 1)[twice]
+
+
+def pack_ids(ids: list[int | None]) -> bytes:
+    """Ids with their validity; a list would reach pandas as doubles if one of them is null."""
+    return np.array([0 if v is None else v for v in ids], "<i8").tobytes() + np.array([v is not None for v in ids], np.uint8).tobytes()
+
+
+def unpack_ids(data: bytes) -> pd.array:
+    n = len(data) // 9
+    return pd.arrays.IntegerArray(np.frombuffer(data[: 8 * n], "<i8").astype(np.int64), np.frombuffer(data[8 * n :], np.uint8) == 0)

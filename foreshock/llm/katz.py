@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreshock.llm.base import remainder, stored
+from foreshock.llm.exchange import pack_ids, unpack_ids
 from foreshock.llm.text import mix, rounds, text_bytes, to_batch, words
 
 #: Counts up to this are discounted.
@@ -425,8 +426,8 @@ def _pair_entries(pairs: DataFrame, histories: DataFrame) -> DataFrame:
     return pairs.select("part", "keys", "before", "seen").groupBy("part").cogroup(told.groupBy("part")).applyInPandas(add, "part int, kind int, keys binary, counts binary, entries binary")
 
 
-_ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids array<long>, n_tokens array<long>, base array<double>, score array<double>"
-_SUMS = "batch long, part int, kind int, base binary, known binary, score binary, ids array<long>, n_tokens array<long>"
+_ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids binary, n_tokens array<long>, base array<double>, score array<double>"
+_SUMS = "batch long, part int, kind int, base binary, known binary, score binary, ids binary, n_tokens array<long>"
 
 
 def score(docs: DataFrame, model: KatzModel) -> DataFrame:
@@ -441,7 +442,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
         out = pa.schema(
-            [("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("rows", pa.binary()), ("ids", longs), ("n_tokens", longs), ("base", doubles), ("score", doubles)]
+            [("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("rows", pa.binary()), ("ids", pa.binary()), ("n_tokens", longs), ("base", doubles), ("score", doubles)]
         )
         batch = TaskContext.get().partitionId() << 32
         for b in rounds(batches, ROUND, 4000):
@@ -462,7 +463,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
                     keys, times = np.unique(key[a:z], return_counts=True)
                     put(p, kind, _ascending(keys), _planes(times.astype("<u4")), _planes(who[a:z]))
             rare = np.bincount(row[(now == RARE_HASH) & (h != END_HASH)], minlength=rows)
-            put(batch % parts, ABOUT, ids=b.column("doc_id").to_pylist(), size=n.tolist(), base=(-n * floor).tolist(), score=(rare * model.rare_weight).tolist())
+            put(batch % parts, ABOUT, ids=pack_ids(b.column("doc_id").to_pylist()), size=n.tolist(), base=(-n * floor).tolist(), score=(rare * model.rare_weight).tolist())
             yield to_batch(out, **columns)
             batch += 1
 
@@ -505,8 +506,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
             for x in rows[name]:
                 x = np.frombuffer(x, kind)
                 out[name][: len(x)] += x
-        ids = pd.array([None if v is None or v != v else int(v) for v in about["ids"]], "Int64")
-        return pd.DataFrame({"doc_id": ids, "n_tokens": about["n_tokens"], "n_known": out["known"], "base_score": out["base"], "score": out["score"]})
+        return pd.DataFrame({"doc_id": unpack_ids(about["ids"]), "n_tokens": about["n_tokens"], "n_known": out["known"], "base_score": out["base"], "score": out["score"]})
 
     entries = docs.select("doc_id", "text").mapInArrow(look_up, _ENTRY)
     summed = entries.groupBy("part").cogroup(model.tables.groupBy("part")).applyInPandas(sums, _SUMS)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from foreshock.llm.base import stored
 from foreshock.llm.text import rounds, to_batch
 
-#: Words kept per Python worker; about 250 bytes each.  When there are more, those of the last texts stay.
-CACHED_WORDS = 300_000
+#: Words kept per Python worker; about 250 bytes each.  The ones before are looked up until there are as many again.
+CACHED_WORDS = 200_000
 #: Pieces per block in which ranks are counted.
 BLOCK_ROWS = 4000
 
@@ -46,6 +46,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # the words known before the last clearing
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -70,6 +71,9 @@ class WordTokenizer:
         get = self.known.get
         found = [list(map(get, s)) for s in split]
         new = {c for s, f in zip(split, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None}
+        again = new & self.before.keys()
+        self.known.update((c, self.before[c]) for c in again)
+        new -= again
         # Letters and one closing mark are two tokens of the splitting rule, so the parts are encoded alone.
         cut = {c for c in new if c[-1] in ",." and c[:-1].isalpha() and c.lower()[:-1].isalpha()}
         single = (new - cut) | {c[:-1] for c in cut} | {c[-1] for c in cut}
@@ -78,7 +82,7 @@ class WordTokenizer:
             self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
         ids = [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""} | {w: get(w) for s in split for w in s}
+            self.known, self.before = {"": b""}, self.known
         return ids
 
 

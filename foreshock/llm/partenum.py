@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.llm.base import stored
-from foreshock.llm.exchange import deal, equal_keys
+from foreshock.llm.exchange import deal, equal_keys, pack_ids, unpack_ids
 from foreshock.llm.text import distinct_per_row, mix, rounds, shingles, text_bytes, to_batch, words
 
 SIZE = 5
@@ -153,12 +153,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-_PACKED = "part int, batch long, keys binary, rows binary, ids array<long>, sizes array<long>, sets array<long>"
+_PACKED = "part int, batch long, keys binary, rows binary, ids binary, sizes array<long>, sets array<long>"
 
 
 def _packed_schema() -> pa.Schema:
     longs = pa.list_(pa.int64())
-    return pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("ids", longs), ("sizes", longs), ("sets", longs)])
+    return pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("ids", pa.binary()), ("sizes", longs), ("sets", longs)])
 
 
 def profiles(docs: DataFrame, parts: int) -> DataFrame:
@@ -179,7 +179,7 @@ def profiles(docs: DataFrame, parts: int) -> DataFrame:
                 batch=[batch] * (m + 1),
                 keys=[*(k for _, k, _ in dealt), None],
                 rows=[*(r for _, _, r in dealt), None],
-                ids=pa.array([*[None] * m, ids], pa.list_(pa.int64())),
+                ids=[*[None] * m, pack_ids(ids)],
                 sizes=pa.array([*[None] * m, n.tolist()], pa.list_(pa.int64())),
                 sets=pa.array([*[None] * m, _signed(s).tolist()], pa.list_(pa.int64())),
             )
@@ -205,16 +205,12 @@ def profiles(docs: DataFrame, parts: int) -> DataFrame:
         for c in rows["counts"].dropna():
             c = np.frombuffer(c, "<u4")
             shared[: len(c)] += c
-        return pd.DataFrame({"doc_id": pd.array(_nullable(meta["ids"]), "Int64"), "n": meta["sizes"], "s": meta["sets"], "shared": shared})
+        return pd.DataFrame({"doc_id": unpack_ids(meta["ids"]), "n": meta["sizes"], "s": meta["sets"], "shared": shared})
 
-    counted = docs.select("doc_id", "text").mapInArrow(pack, _PACKED).groupBy("part").applyInPandas(count, "batch long, counts binary, ids array<long>, sizes array<long>, sets array<long>")
+    counted = docs.select("doc_id", "text").mapInArrow(pack, _PACKED).groupBy("part").applyInPandas(count, "batch long, counts binary, ids binary, sizes array<long>, sets array<long>")
     return counted.groupBy("batch").applyInPandas(add, "doc_id long, n long, s long, shared long")
 
 
-def _nullable(values: np.ndarray) -> list:
-    return [None if v is None or v != v else int(v) for v in values]
-
-
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """s, n, elements (ascending, 8 bytes each) and sketch of the chosen (doc_id, s)."""
 
@@ -248,7 +244,7 @@ def _groups(sets: DataFrame, parts: int) -> DataFrame:
                 batch=[0] * len(dealt),
                 keys=[k for _, k, _ in dealt],
                 rows=[i.astype("<u4").tobytes() for _, i in local],
-                ids=pa.nulls(len(dealt), pa.list_(pa.int64())),
+                ids=[None] * len(dealt),
                 sizes=pa.nulls(len(dealt), pa.list_(pa.int64())),
                 sets=pa.array([s[u] for u, _ in local], pa.list_(pa.int64())),
             )

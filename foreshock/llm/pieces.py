@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from foreshock.llm.text import rounds, to_batch
 
 SPACE_MARK = "▁"
-#: Chunks kept per Python worker; about 250 bytes each.  When there are more, those of the last texts stay.
-CACHED_CHUNKS = 300_000
+#: Chunks kept per Python worker; about 250 bytes each.  The ones before are looked up until there are as many again.
+CACHED_CHUNKS = 200_000
 
 
 def _number(b: bytes, i: int) -> tuple[int, int]:
@@ -140,6 +140,7 @@ class PieceCodec:
         line = "\n" if not any("\n" in p for p in pairs) else ""
         self.chunks = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}{line}]+|{SPACE_MARK}+" + (f"|{line}" if line else "")) if split_ok else None
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the chunks known before the last clearing
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its bytes (and its end) the original byte it comes from."""
@@ -217,10 +218,13 @@ class PieceCodec:
             split = [self.chunks.findall(t) for t, _ in normal]
             get = self.known.get
             found = [list(map(get, s)) for s in split]
-            self._learn({c for s, f in zip(split, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None})
+            new = {c for s, f in zip(split, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None}
+            again = new & self.before.keys()
+            self.known.update((c, self.before[c]) for c in again)
+            self._learn(new - again)
             ids = [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
             if len(self.known) > CACHED_CHUNKS:
-                self.known = {c: get(c) for s in split for c in s}
+                self.known, self.before = {}, self.known
         out = []
         for x, (_, source) in zip(ids, normal, strict=True):
             x = np.frombuffer(x, "<u4")

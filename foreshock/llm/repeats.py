@@ -428,9 +428,15 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with an id and a tie, which tell rows of different texts apart (equal rows may share what is found), and the text."""
+    """``docs`` with an id and a tie, which tell rows of different ids or texts apart (equal rows may share what is found), and the text.
+
+    The two are 80 bits of independent hashes of the id, whether there is one, and
+    the whole text; so no two rows that differ are taken for one, also of those
+    without an id.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_repeats_id": F.coalesce("doc_id", F.lit(-1 << 63)), "_repeats_tie": F.hash(text), "_repeats_text": text})
+    key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), text]
+    return docs.withColumns({"_repeats_id": F.xxhash64(*key), "_repeats_tie": F.pmod(F.hash(*key), F.lit(1 << 16)), "_repeats_text": text})
 
 
 def _with_texts(keyed: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
@@ -479,7 +485,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     spans = equal.select("doc_id", "tie", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("more") + length).alias("end")).alias("span"))
     spans = spans.unionByName(ends.select("doc_id", "tie", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("span")))
-    return spans.groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
+    return spans.groupBy("doc_id", "tie").agg(F.collect_set("span").alias("spans"))  # distinct, so bounded by the text's length however often the row is repeated
 
 
 def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -95,3 +95,28 @@ def test_edges_of_one_passage_are_merged_by_several_tasks(spark, monkeypatch):
     got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(corpus.frame(spark, enumerate(texts))).collect()}
     assert got == {i: k for i, (k, _) in enumerate(plain(texts, 200))}
     assert max(sizes.values()) <= 4 * repeats.MERGE_ROWS < sum(sizes.values()) / 3, sizes
+
+
+def test_rows_without_id_and_with_equal_short_hashes(spark):
+    """Texts that a 32-bit hash takes for one stay apart, with and without an id; what occurs once stays."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(256))
+    many = spark.createDataFrame([(text(),) for _ in range(200_000)], "text string").select("text", F.hash("text").alias("h"))
+    pair = many.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()
+    assert pair is not None
+    a, b = pair["t"][:2]
+    for ids in ((None, None, 1), (5, 5, 6), (5, 6, 7)):
+        d = corpus.frame(spark, [(ids[0], a), (ids[1], b), (ids[2], a)])
+        got = [(r["text"], r["n_removed"]) for r in repeats.remove_repeats(d).collect()]
+        assert sorted(got) == sorted([(a, 256), (b, 0), (a, 256)])
+
+
+def test_spans_of_equal_rows_do_not_add_up(spark):
+    text = " ".join(f"w{i * 7919 % 1000}" for i in range(80))[:256]
+    d = corpus.frame(spark, [(None, text)] * 120 + [(3, text)])
+    spans = repeats.repeated_spans(d).collect()
+    assert len(spans) == 2 and all(len(r["spans"]) <= 256 for r in spans)
+    few = {len(r["spans"]) for r in repeats.repeated_spans(corpus.frame(spark, [(None, text)] * 3 + [(3, text)])).collect()}
+    assert {len(r["spans"]) for r in spans} == few
