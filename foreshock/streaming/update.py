@@ -15,11 +15,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for checkpoints and results.
 
     Lies under ``spark.checkpoint.dir`` when the cluster names one; only a local
-    session without that setting falls back to a temporary folder.
+    session without that setting falls back to a temporary folder.  On any other
+    master the setting is required: executors would not see the driver's folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if base:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
 
 

@@ -85,3 +85,21 @@ def test_upsert_touches_only_its_days(spark, tmp_path):
     assert got.count() == 72 and got.where("v = 9").count() == 1
     after = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "t").iterdir() if p.is_dir()}
     assert before["dt=2025-01-01"] == after["dt=2025-01-01"] and before["dt=2025-01-02"] != after["dt=2025-01-02"]
+
+
+def test_folder_of_a_cluster_has_to_be_named():
+    """Only a local master may fall back to a folder of the driver."""
+    from foreshock.streaming.update import shared_folder
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        def __init__(self, master, folder=""):
+            self.conf = Conf({"spark.checkpoint.dir": folder})
+            self.sparkContext = type("C", (), {"master": master})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("spark://host:7077"), "x")
+    assert shared_folder(Session("spark://host:7077", "/shared/"), "x").startswith("/shared/x-")
+    assert shared_folder(Session("local[4]"), "x")
