@@ -37,9 +37,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 200 bytes that occur again; a null text stays null, n_chars is counted anew."""
     reach(spark)
-    cut = repeats.remove_repeats(docs, 200, as_text=True)
+    # Columns of the corpus that are named like a result wait under names of their own.
+    aside = {c: f"_corpus_{c}" for c in docs.columns if c in ("n_bytes", "n_removed", "n_spans", "kept")}
+    cut = repeats.remove_repeats(docs.withColumnsRenamed(aside), 200, as_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+    cut = cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")})
+    return cut.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
