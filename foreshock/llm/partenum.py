@@ -46,6 +46,8 @@ CELLS = 3
 SKETCH = 64
 #: Members of a group of equal signatures of which every pair may be tried.
 SMALL = 16
+#: Members of a group that are compared in one place; larger groups are dealt out in tiles.
+TILE = 4096
 #: Entries of packed blocks that one task compares.
 PART_ENTRIES = 1_000_000
 
@@ -347,12 +349,47 @@ def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     return stored(members.join(mixed, F.col("g") == F.col("_g")).drop("_g"), "open-members")
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """Pairs (x, y) of members of one group g that lie in different components and are not too different in size."""
-    other = members.select(F.col("g").alias("_g"), F.col("y").alias("z"), F.col("n").alias("m"), F.col("k").alias("_k"))
-    near = (100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n"))
-    both = members.join(other, (F.col("g") == F.col("_g")) & (F.col("k") != F.col("_k")) & (F.col("y") < F.col("z")) & near)
-    return both.select(F.col("y").alias("x"), F.col("z").alias("y")).distinct()
+def _near_in_groups(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (x, y) of many groups, or tiles of large groups, that lie in different components and that sizes and sketches do not rule out."""
+    rows = rows.sort_values(["g", "i", "j", "y"])
+    g, i, j, side, y, n, k = (rows[c].to_numpy() for c in ("g", "i", "j", "side", "y", "n", "k"))
+    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, 2 * SKETCH)
+    left, right, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(rows))
+    step = 0
+    while True:  # pairs at a growing distance in the sorted rows, as long as some group is that wide
+        step += 1
+        at = at[at < len(rows) - step]
+        to = at + step
+        at = at[(g[at] == g[to]) & (i[at] == i[to]) & (j[at] == j[to])]
+        if not len(at):
+            break
+        to = at + step
+        a = at[(k[at] != k[to]) & ((i[at] == j[at]) | (side[at] != side[to])) & (100 * n[at] >= PERCENT * n[to]) & (100 * n[to] >= PERCENT * n[at])]
+        a = a[7 * least_difference(flat[a], flat[a + step]) <= n[a] + n[a + step]]
+        left.append(a)
+        right.append(a + step)
+    left, right = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(y[left], y[right]), np.maximum(y[left], y[right])]), axis=1)
+    return pd.DataFrame({"x": pairs[0], "y": pairs[1]})
+
+
+def _crossing(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Possible pairs (x, y) of members (g, y, n, k) of one group that lie in different components.
+
+    Pairs are compared by their sketches inside packed parts of many groups, and
+    only those that pass become rows; a group of more than TILE members is dealt
+    out in tiles of two blocks.
+    """
+    sketches = sets.groupBy(F.col("s").alias("_s")).agg(F.first("sketch").alias("sketch"))
+    members = stored(members.select("g", "y", "n", "k").distinct().join(sketches, F.col("y") == F.col("_s")).drop("_s"), "sketched-members")
+    large = members.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TILE)
+    large = stored(large.select("_g", F.ceil(F.lit(2) * F.col("_n") / TILE).cast("int").alias("_t")), "large-groups")
+    tiles = F.coalesce("_t", F.lit(1))
+    rows = members.join(large, F.col("g") == F.col("_g"), "left").withColumn("side", F.pmod(F.xxhash64("y"), tiles).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.select("g", "y", "n", "k", "sketch", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("g", "i", "j"), F.lit(max(parts, 8) * 4)))
+    return dealt.groupBy("part").applyInPandas(_near_in_groups, "x long, y long").distinct()
 
 
 def _rare_prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -399,10 +436,11 @@ def link_sets(sets: DataFrame, parts: int) -> DataFrame:
     links = stored(links.unionByName(second), "links-to-least")
     opened = _labelled(opened.select("g", "y", "n"), components(links))
 
-    few = _crossing(opened.where(F.col("size") <= SMALL))
+    few = opened.where(F.col("size") <= SMALL).select("g", "y", "n", "k")
     nodes = opened.where(F.col("size") > SMALL).groupBy("y").agg(F.min("k").alias("k"))
-    pairs = few.unionByName(_crossing(_rare_prefixes(sets, nodes))).distinct()
-    return links.unionByName(_verified(stored(_possible(pairs, sets), "possible-pairs"), sets))
+    rare = _rare_prefixes(sets, nodes).select(F.xxhash64(F.lit(1), "g").alias("g"), "y", "n", "k")
+    pairs = stored(_crossing(few.unionByName(rare), sets, parts), "possible-pairs")
+    return links.unionByName(_verified(pairs, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

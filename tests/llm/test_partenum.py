@@ -124,3 +124,27 @@ def test_keep_one_of_repeated_rows_and_null_ids(spark):
     kept = [(r["doc_id"], r["text"]) for r in partenum.keep_one(corpus.frame(spark, rows)).collect()]
     groups = [{(5, a)}, {(None, b), (None, b + " y")}, {(3, c)}, {(8, d), (8, d + " z")}, {(1, "")}, {(2, None)}]
     assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups)
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_pairs_inside_groups_equal_all_pairs(spark, monkeypatch, tile):
+    """Members of shared groups meet once, whole or in tiles, and no alike pair of different components is missed."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(partenum, "TILE", tile)
+    base = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(12)]
+    sets = {}
+    for b in base:
+        for _ in range(4):
+            x = b.copy()
+            x[: rng.integers(0, 12)] = rng.integers(0, 1 << 62, 1)[0]
+            h = np.unique(x)
+            sets[int(rng.integers(-(1 << 60), 1 << 60))] = h
+    names = sorted(sets)
+    flat = [(s, len(sets[s]), bytearray(partenum.sketch(np.zeros(len(sets[s]), int), sets[s], 1)[0].tobytes())) for s in names]
+    members = [(g, s, len(sets[s]), i % 7) for g in (5, -9) for i, s in enumerate(names) if g == 5 or i % 2]
+    got = partenum._crossing(spark.createDataFrame(members, "g long, y long, n long, k long"), spark.createDataFrame(flat, "s long, n long, sketch binary"), 2)
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got)) and all(x < y for x, y in got)
+    k = {s: i % 7 for i, s in enumerate(names)}
+    want = {(a, b) for a in names for b in names if a < b and k[a] != k[b] and partenum.alike(sets[a], sets[b])}
+    assert want and want <= set(got) and len(got) < len(names) ** 2 / 6
