@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foreshock import bindings as B
 from foreshock.catalog.base import BAND_CASE, FILL, cte, oracle, query
 from foreshock.functions.reuse import keep
-from foreshock.operators import checks, gaps, signal
+from foreshock.operators import bands, checks, gaps, signal
 from foreshock.plans.tremor import filled_rsam
 from foreshock.sources import archive, tables
 
@@ -471,7 +471,32 @@ def shannon_entropy(spark, sf):
     return signal.shannon_entropy(B.samples(spark, sf), H)
 
 
-@query("bandpass")
+FILTERS = [("slow", 0.0001, 0.001), ("fast", 0.002, 0.006)]
+MINUTE = 1 / 60
+
+
+def _bandpass_sql():
+    """Kernels as cosine sums over their spectra, then one weighted sum of neighbours per minute and band."""
+    rows = []
+    for name, low, high in FILTERS:
+        halo = bands.halo_samples(low, high, MINUTE, 1e-6)
+        rows.append(f"('{name}', {low!r}::DOUBLE, {high!r}::DOUBLE, {halo}, {bands.kernel_points(halo)})")
+    return f"""WITH b AS (SELECT * FROM (VALUES {", ".join(rows)}) t(band, low, high, halo, n)),
+minutes AS (SELECT series, date_trunc('minute', ts)::TIMESTAMP AS ts, CAST(epoch(date_trunc('minute', ts)) / 60 AS BIGINT) AS place, avg(x) AS x
+  FROM (SELECT 'all' AS series, ts, value AS x FROM events) GROUP BY ALL),
+lines AS (SELECT band, halo, n, k, CASE WHEN 2 * k = n THEN 1 ELSE 2 END / sqrt(1 + pow((f * f - low * high) / (f * (high - low)), 8)) AS g
+  FROM (SELECT *, k * {MINUTE!r}::DOUBLE / n AS f FROM (SELECT *, unnest(generate_series(1, n // 2)) AS k FROM b))),
+raw AS (SELECT band, halo, j, sum(g * cos(2 * pi() * ((j * k) % n) / n)) / any_value(n) AS w
+  FROM lines JOIN (SELECT band AS jb, unnest(generate_series(0, halo)) AS j FROM b) ON jb = band GROUP BY band, halo, j),
+kernel AS (SELECT band, halo, j, w - sum(CASE WHEN j = 0 THEN w ELSE 2 * w END) OVER (PARTITION BY band) / (2 * halo + 1) AS w FROM raw),
+pairs AS (SELECT a.series, a.ts, a.place - c.place AS d, c.x FROM minutes a JOIN minutes c ON a.series = c.series
+  AND c.place BETWEEN a.place - (SELECT max(halo) FROM b) AND a.place + (SELECT max(halo) FROM b)),
+sums AS (SELECT series, band, ts, sum(w * x) AS v FROM pairs JOIN kernel ON j = abs(d) GROUP BY series, band, ts)
+SELECT m.series, b.band, m.ts, CASE WHEN m.x IS NOT NULL THEN coalesce(v, 0) END AS x
+FROM minutes m CROSS JOIN b LEFT JOIN sums s ON s.series = m.series AND s.ts = m.ts AND s.band = b.band"""
+
+
+@query("bandpass", oracle(_bandpass_sql(), dbl=["x"]))
 def bandpass(spark, sf):
     """Minute means of all samples filtered into two bands."""
     minutes = (
@@ -479,7 +504,7 @@ def bandpass(spark, sf):
         .groupBy("series", F.date_trunc("minute", "ts").alias("ts"))
         .agg(F.avg("x").alias("x"))
     )
-    return signal.bandpass(minutes, [("slow", 0.0001, 0.001), ("fast", 0.002, 0.006)], 1 / 60)
+    return signal.bandpass(minutes, FILTERS, MINUTE)
 
 
 def _dft_sql():

@@ -13,8 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -29,6 +27,7 @@ from foreshock.functions.expr import (
 )
 from foreshock.functions.reuse import join_back, keep
 from foreshock.operators import onepass
+from foreshock.operators.bands import bandpass  # noqa: F401  (part of this module's interface)
 
 KEYS = ["series", "band"]
 DEFAULT_RATIO = 0.3
@@ -305,38 +304,6 @@ def shannon_entropy(
     return onepass.entropy_of(onepass.reduced(chosen, seconds, integrated=False, magnitudes=False), _enough(expected, min_ratio), strict)
 
 
-def bandpass(samples: DataFrame, bands: Sequence[tuple[str, float, float]], rate: float) -> DataFrame:
-    """Butterworth-shaped amplitude response applied to each series-day.
-
-    ``bands`` are ``(name, low_hz, high_hz)``.  Four corners, zero phase: the
-    gain is ``1 / sqrt(1 + ((f^2 - f0^2) / (f bw))^8)``.  A causal recursive
-    filter has the same amplitude response but shifts phase; that shift is not
-    reproduced.  A group is one series-day, so its size is fixed by ``rate``.
-    """
-    n = int(round(rate * SECONDS_PER_DAY))
-
-    def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        day = pdf["day"].iloc[0]
-        pos = np.rint((pdf["ts"] - day).dt.total_seconds().to_numpy() * rate).astype(int)
-        ok = (pos >= 0) & (pos < n) & pdf["x"].notna().to_numpy()
-        trace = np.zeros(n)
-        trace[pos[ok]] = pdf["x"].to_numpy()[ok]
-        spectrum = np.fft.rfft(trace)
-        freq = np.fft.rfftfreq(n, 1.0 / rate)
-        out = []
-        for name, low, high in bands:
-            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-                shape = ((freq * freq - low * high) / (freq * (high - low))) ** 8
-                gain = np.where(freq > 0, 1.0 / np.sqrt(1.0 + shape), 0.0)
-            filtered = np.fft.irfft(spectrum * gain, n)
-            out.append(pdf.assign(band=name, x=np.where(ok, filtered[np.clip(pos, 0, n - 1)], np.nan)))
-        return pd.concat(out)[["series", "band", "ts", "x"]]
-
-    grouped = samples.select("series", "ts", "x", day_start("ts").alias("day")).groupBy("series", "day")
-    out = grouped.applyInPandas(one_day, "series string, band string, ts timestamp, x double")
-    return out.withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
-
-
 def band_energy_dft(
     df: DataFrame, bands: Sequence[tuple[str, int, int]], points: int, period_s: int
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foreshock.functions.expr import rounded
 from foreshock.functions.reuse import keep
 from foreshock.operators import attribution, evaluation, gaps, labels, lookback, scoring, signal, training
+from foreshock.operators import bands as bands_
 from foreshock.operators.features.extract import extract_features
 
 
@@ -29,6 +30,9 @@ class ForecastPlan:
     min_day_ratio: float = 0.3
     include_event_date: bool = True
     feature_names: Sequence[str] | None = None
+    filters: Sequence[bands_.Band] | None = None
+    rate: float | None = None
+    entropy_band: str | None = None
     models: list[training.SeedModel] = field(default_factory=list)
 
     @property
@@ -36,8 +40,16 @@ class ForecastPlan:
         return signal.metric_names(self.bands, self.methods)
 
     def calculate(self, samples: DataFrame) -> DataFrame:
-        """Samples to a gap-free long tremor table; write it before training at scale."""
-        wide = signal.tremor_table(samples, self.window_s, self.bands, self.methods, self.expected)
+        """Samples to a gap-free long tremor table; write it before training at scale.
+
+        With ``filters`` the samples are unfiltered, at ``rate`` a second, and
+        are split into the bands first.
+        """
+        if self.filters is not None:
+            if [b[0] for b in self.filters] != list(self.bands) or self.rate is None:
+                raise ValueError("filters need a rate and the names of bands, in order")
+            samples = bands_.bandpass(samples, self.filters, self.rate)
+        wide = signal.tremor_table(samples, self.window_s, self.bands, self.methods, self.expected, self.entropy_band)
         good = signal.drop_incomplete_days(wide, self.window_s, self.min_day_ratio)
         cells = ", ".join(f"'{m}', `{m}`" for m in self.metrics)
         long = keep(good.selectExpr("series", "ts", f"stack({len(self.metrics)}, {cells}) as (metric, v)"))
