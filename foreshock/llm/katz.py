@@ -149,6 +149,17 @@ def _climbed(data: bytes) -> np.ndarray:
     return np.cumsum(_flat(data, "<u8"), dtype=np.uint64)
 
 
+def _listed(x: np.ndarray) -> bytes:
+    """Different values once, ascending, and where each entry is among them: few bytes where words come again."""
+    names, index = np.unique(x, return_inverse=True)
+    return np.int64(len(names)).tobytes() + _ascending(names) + _planes(index.astype("<u4"))
+
+
+def _unlisted(data: bytes) -> np.ndarray:
+    n = 8 + 8 * int(np.frombuffer(data[:8], "<i8")[0])
+    return _climbed(data[8:n])[_flat(data[n:], "<u4")]
+
+
 def _joined(blocks: Iterator[bytes], read) -> np.ndarray:
     return np.concatenate([read(b) for b in blocks])
 
@@ -247,7 +258,7 @@ def _pair_counts(docs: DataFrame, model: KatzModel) -> DataFrame:
             yield rows()
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        before, now = _joined(rows["before"], _climbed), _joined(rows["now"], lambda x: _flat(x, "<u8"))
+        before, now = _joined(rows["before"], _climbed), _joined(rows["now"], _unlisted)
         _, first, index = np.unique(_pair_hash(before, now), return_index=True, return_inverse=True)
         counts = np.bincount(index, _joined(rows["counts"], lambda x: _flat(x, "<u8"))).astype(np.int64)
         before, now, packed = _pair_block(before[first], now[first], counts)
@@ -259,7 +270,7 @@ def _pair_counts(docs: DataFrame, model: KatzModel) -> DataFrame:
 
 def _pair_block(before: np.ndarray, now: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
     order = np.lexsort((now, before))
-    return _ascending(before[order]), _planes(now[order].astype("<u8")), _planes(counts[order].astype("<u8"))
+    return _ascending(before[order]), _listed(now[order]), _planes(counts[order].astype("<u8"))
 
 
 def _often(table: DataFrame) -> dict[int, int]:
@@ -294,7 +305,8 @@ def fit(docs: DataFrame, shortlist: int | None = None) -> KatzModel:
     weighed = stored(_weighed(seen.where(F.col("kind") == HISTORY), words_, model), "word-entries")
     if shortlist is not None:
         model.rare_weight = weighed.agg(F.max("rare_weight")).first()[0] or 0.0
-    entries = stored(_pair_entries(seen.where(F.col("kind") == PAIRS), weighed.where(F.col("kind") == HISTORY)), "pair-entries")
+    # Not written: the scores deal the entries out once more, and a lost part is made again from the tables above.
+    entries = _pair_entries(pairs, seen.where(F.col("kind") == PAIRS), weighed.where(F.col("kind") == HISTORY), model)
     model.tables = weighed.where(F.col("kind") == WORDS).select("part", "kind", "keys", "counts", "entries").unionByName(entries)
     return model
 
@@ -340,14 +352,14 @@ def _kept(keep: np.ndarray):
 
 
 def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFrame:
-    """Rows HISTORY, dealt like words: what each part of the bigrams holds after its histories; rows PAIRS: the bigrams' own share of their entries."""
+    """Rows HISTORY, dealt like words: what each part of the bigrams holds after its histories; rows PAIRS: the counts of the bigrams' second words."""
     parts = model.parts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("part", pa.int32()), ("origin", pa.int32()), ("keys", pa.binary())])
         for b in batches:
             for origin, now in zip(b.column("part").to_pylist(), b.column("now").to_pylist(), strict=True):
-                now = np.unique(_flat(now, "<u8"))
+                now = np.unique(_unlisted(now))
                 order, cuts = _deal(now, parts)
                 now = now[order]
                 yield to_batch(out, part=[p for p, _, _ in cuts], origin=[origin] * len(cuts), keys=[_ascending(now[i:j]) for _, i, j in cuts])
@@ -365,19 +377,20 @@ def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFra
         order = np.argsort(name)
         name, count = name[order], count[order]
         pair = mine.iloc[0]
-        before, now, c = _climbed(pair["before"]), _flat(pair["now"], "<u8"), _flat(pair["counts"], "<u8").astype(np.int64)
-        chance = np.where(name == RARE_HASH, model.rare, model.word_chance(count))[_at(name, now)[0]]
+        before, now, c = _climbed(pair["before"]), _unlisted(pair["now"]), _flat(pair["counts"], "<u8").astype(np.int64)
+        count = count[_at(name, now)[0]]
+        chance = _second_chance(now, count, model)
         less = discounted(c, model.keep_pairs)
         h, index = np.unique(before, return_inverse=True)
         sums = [np.bincount(index, x) for x in (c, less, chance)]
         order, cuts = _deal(h, parts)
-        found = [(p, int(pair["part"]), HISTORY, _ascending(h[order[i:j]]), b"", *(_planes(x[order[i:j]]) for x in sums)) for p, i, j in cuts]
-        found.append((int(pair["part"]), 0, PAIRS, _planes(_pair_hash(before, now)), pair["before"], b"", np.log10(less / chance).tobytes(), b""))
-        return pd.DataFrame(found, columns=["part", "origin", "kind", "keys", "before", "total", "seen", "covered"])
+        found = [(p, int(pair["part"]), HISTORY, _ascending(h[order[i:j]]), *(_planes(x[order[i:j]]) for x in sums)) for p, i, j in cuts]
+        found.append((int(pair["part"]), 0, PAIRS, b"", _planes(count.astype("<u8")), b"", b""))
+        return pd.DataFrame(found, columns=["part", "origin", "kind", "keys", "total", "seen", "covered"])
 
     asked = pairs.select("part", "now").mapInArrow(ask, "part int, origin int, keys binary")
     told = asked.groupBy("part").cogroup(words_.groupBy("part")).applyInPandas(answer, "origin int, keys binary, counts binary")
-    schema = "part int, origin int, kind int, keys binary, before binary, total binary, seen binary, covered binary"
+    schema = "part int, origin int, kind int, keys binary, total binary, seen binary, covered binary"
     return told.groupBy("origin").cogroup(pairs.drop("often").groupBy("part")).applyInPandas(see, schema)
 
 
@@ -412,18 +425,28 @@ def _weighed(histories: DataFrame, words_: DataFrame, model: KatzModel) -> DataF
     return histories.select("part", "origin", "keys", "total", "seen", "covered").groupBy("part").cogroup(words_.groupBy("part")).applyInPandas(weigh, schema)
 
 
-def _pair_entries(pairs: DataFrame, histories: DataFrame) -> DataFrame:
+def _second_chance(now: np.ndarray, count: np.ndarray, model: KatzModel) -> np.ndarray:
+    """Probability of second words, with their counts, by the unigram model."""
+    return np.where(now == RARE_HASH, model.rare, model.word_chance(count))
+
+
+def _pair_entries(pairs: DataFrame, seconds: DataFrame, histories: DataFrame, model: KatzModel) -> DataFrame:
+    """Entries of the bigrams: from their counts, those of their second words and what their histories add."""
+
     def add(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        pair = mine.iloc[0]
-        name, added = _joined(told["keys"], _climbed), np.frombuffer(b"".join(told["entries"]), "<f8")
+        pair, history = mine.iloc[0], told[told["kind"] == HISTORY]
+        before, now, c = _climbed(pair["before"]), _unlisted(pair["now"]), _flat(pair["counts"], "<u8").astype(np.int64)
+        count = _flat(told[told["kind"] == PAIRS]["entries"].iloc[0], "<u8").astype(np.int64)
+        name, added = _joined(history["keys"], _climbed), np.frombuffer(b"".join(history["entries"]), "<f8")
         order = np.argsort(name)
-        at, _ = _at(name[order], _climbed(pair["before"]))
-        keys, entry = _flat(pair["keys"], "<u8"), np.frombuffer(pair["seen"], "<f8") + added[order][at]
+        at, _ = _at(name[order], before)
+        entry = np.log10(discounted(c, model.keep_pairs) / _second_chance(now, count, model)) + added[order][at]
+        keys = _pair_hash(before, now)
         order = np.argsort(keys)
-        return pd.DataFrame({"part": [pair["part"] // FINER], "kind": [PAIRS], "keys": [keys[order].tobytes()], "counts": [b""], "entries": [entry[order].tobytes()]})
+        return pd.DataFrame({"part": [pair["part"] // FINER], "kind": [PAIRS], "keys": [_ascending(keys[order])], "counts": [b""], "entries": [_planes(entry[order])]})
 
-    told = histories.select("part", "keys", "entries")
-    return pairs.select("part", "keys", "before", "seen").groupBy("part").cogroup(told.groupBy("part")).applyInPandas(add, "part int, kind int, keys binary, counts binary, entries binary")
+    told = histories.select("part", "kind", "keys", "entries").unionByName(seconds.select("part", "kind", "keys", F.col("total").alias("entries")))
+    return pairs.drop("often").groupBy("part").cogroup(told.groupBy("part")).applyInPandas(add, "part int, kind int, keys binary, counts binary, entries binary")
 
 
 _ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids binary, n_tokens array<long>, base array<double>, score array<double>"
@@ -470,11 +493,12 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     def sums(entries: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         found = []
         table = {}
-        for kind in (WORDS, PAIRS):
-            mine = tables[tables["kind"] == kind]
-            table[kind] = tuple(np.frombuffer(b"".join(mine[c]), width) for c, width in (("keys", "<u8"), ("counts", "<i8"), ("entries", "<f8")))
-            del mine
-        del tables
+        mine = tables[tables["kind"] == WORDS]
+        table[WORDS] = tuple(np.frombuffer(b"".join(mine[c]), width) for c, width in (("keys", "<u8"), ("counts", "<i8"), ("entries", "<f8")))
+        mine = tables[tables["kind"] == PAIRS]
+        nothing = np.zeros(0, np.int64)
+        table[PAIRS] = (_joined(mine["keys"], _climbed), nothing, _joined(mine["entries"], lambda x: _flat(x, "<f8"))) if len(mine) else (nothing.view(np.uint64), nothing, nothing.astype(float))
+        del tables, mine
         names, counts, values = table[PAIRS]  # FINER blocks; words are one
         order = np.argsort(names)
         table[PAIRS] = names[order], counts, values[order]
