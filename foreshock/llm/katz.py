@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ PART_BYTES = 24 << 20
 HELD_KEYS = 1_500_000
 #: Parts in which bigrams are counted, for each part of the tables: with both words they are wide.
 FINER = 4
-WORDS, PAIRS, ABOUT, HISTORY = 0, 1, 2, 3
+WORDS, PAIRS, ABOUT, HISTORY, SECONDS = 0, 1, 2, 3, 4
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def discounted(count: np.ndarray, keep: np.ndarray) -> np.ndarray:
 class KatzModel:
     """Stored tables and what all tasks know."""
 
-    tables: DataFrame  # part, kind, keys, counts, entries
+    tables: DataFrame  # part, kind, origin, keys, before, counts, entries
     parts: int
     total: int  # tokens
     distinct: int  # different tokens
@@ -132,13 +133,13 @@ def _pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal rank together: where they are few or zero, the codecs of shuffles and tables see it."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Bytes of equal rank together and compressed: they are few or zero in most ranks."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _flat(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _ascending(x: np.ndarray) -> bytes:
@@ -152,11 +153,12 @@ def _climbed(data: bytes) -> np.ndarray:
 def _listed(x: np.ndarray) -> bytes:
     """Different values once, ascending, and where each entry is among them: few bytes where words come again."""
     names, index = np.unique(x, return_inverse=True)
-    return np.int64(len(names)).tobytes() + _ascending(names) + _planes(index.astype("<u4"))
+    front = _ascending(names)
+    return np.int64(len(front)).tobytes() + front + _planes(index.astype("<u4"))
 
 
 def _unlisted(data: bytes) -> np.ndarray:
-    n = 8 + 8 * int(np.frombuffer(data[:8], "<i8")[0])
+    n = 8 + int(np.frombuffer(data[:8], "<i8")[0])
     return _climbed(data[8:n])[_flat(data[n:], "<u4")]
 
 
@@ -305,9 +307,7 @@ def fit(docs: DataFrame, shortlist: int | None = None) -> KatzModel:
     weighed = stored(_weighed(seen.where(F.col("kind") == HISTORY), words_, model), "word-entries")
     if shortlist is not None:
         model.rare_weight = weighed.agg(F.max("rare_weight")).first()[0] or 0.0
-    # Not written: the scores deal the entries out once more, and a lost part is made again from the tables above.
-    entries = _pair_entries(pairs, seen.where(F.col("kind") == PAIRS), weighed.where(F.col("kind") == HISTORY), model)
-    model.tables = weighed.where(F.col("kind") == WORDS).select("part", "kind", "keys", "counts", "entries").unionByName(entries)
+    model.tables = _tables(pairs, seen.where(F.col("kind") == SECONDS), weighed)
     return model
 
 
@@ -352,7 +352,7 @@ def _kept(keep: np.ndarray):
 
 
 def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFrame:
-    """Rows HISTORY, dealt like words: what each part of the bigrams holds after its histories; rows PAIRS: the counts of the bigrams' second words."""
+    """Rows HISTORY, dealt like words: what each part of the bigrams holds after its histories; rows SECONDS: the counts of the bigrams' second words."""
     parts = model.parts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +385,7 @@ def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFra
         sums = [np.bincount(index, x) for x in (c, less, chance)]
         order, cuts = _deal(h, parts)
         found = [(p, int(pair["part"]), HISTORY, _ascending(h[order[i:j]]), *(_planes(x[order[i:j]]) for x in sums)) for p, i, j in cuts]
-        found.append((int(pair["part"]), 0, PAIRS, b"", _planes(count.astype("<u8")), b"", b""))
+        found.append((int(pair["part"]), 0, SECONDS, b"", _planes(count.astype("<u8")), b"", b""))
         return pd.DataFrame(found, columns=["part", "origin", "kind", "keys", "total", "seen", "covered"])
 
     asked = pairs.select("part", "now").mapInArrow(ask, "part int, origin int, keys binary")
@@ -410,7 +410,7 @@ def _weighed(histories: DataFrame, words_: DataFrame, model: KatzModel) -> DataF
         scale = np.where(full, 1 / share, np.minimum(1.0, total / (total + 1) / share))
         weight = np.where(full, 1.0, (1 - scale * share) / np.where(full, 1, free))  # of a full history, nothing asks for it
         added, weight = np.log10(scale / total) - np.log10(weight), np.log10(weight)
-        found = [(int(o), HISTORY, k, b"", added[_at(h, x)[0]].tobytes(), None) for o, k, x in zip(asked["origin"], asked["keys"], keys, strict=True)]
+        found = [(int(o), HISTORY, k, b"", _planes(added[_at(h, x)[0]]), None) for o, k, x in zip(asked["origin"], asked["keys"], keys, strict=True)]
         if len(known):
             name, count = np.frombuffer(known["keys"].iloc[0], "<u8"), np.frombuffer(known["counts"].iloc[0], "<i8")
             at, there = _at(h, name)
@@ -430,23 +430,28 @@ def _second_chance(now: np.ndarray, count: np.ndarray, model: KatzModel) -> np.n
     return np.where(now == RARE_HASH, model.rare, model.word_chance(count))
 
 
-def _pair_entries(pairs: DataFrame, seconds: DataFrame, histories: DataFrame, model: KatzModel) -> DataFrame:
-    """Entries of the bigrams: from their counts, those of their second words and what their histories add."""
+def _tables(pairs: DataFrame, seconds: DataFrame, weighed: DataFrame) -> DataFrame:
+    """What scores are looked up in, by parts of the words: the words' entries, and of every block of bigrams all that makes its entries."""
+    words_, histories = (weighed.where(F.col("kind") == kind) for kind in (WORDS, HISTORY))
+    block = (F.col("part") / FINER).cast("int").alias("part")
+    nothing = F.lit(None).cast("binary")
+    return (
+        words_.select("part", "kind", F.lit(0).alias("origin"), "keys", nothing.alias("before"), "counts", "entries")
+        .unionByName(pairs.select(block, F.lit(PAIRS).alias("kind"), F.col("part").alias("origin"), F.col("now").alias("keys"), "before", "counts", nothing.alias("entries")))
+        .unionByName(seconds.select(block, "kind", F.col("part").alias("origin"), nothing.alias("keys"), nothing.alias("before"), F.col("total").alias("counts"), nothing.alias("entries")))
+        .unionByName(histories.select(block, "kind", F.col("part").alias("origin"), "keys", nothing.alias("before"), nothing.alias("counts"), "entries"))
+    )
 
-    def add(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        pair, history = mine.iloc[0], told[told["kind"] == HISTORY]
-        before, now, c = _climbed(pair["before"]), _unlisted(pair["now"]), _flat(pair["counts"], "<u8").astype(np.int64)
-        count = _flat(told[told["kind"] == PAIRS]["entries"].iloc[0], "<u8").astype(np.int64)
-        name, added = _joined(history["keys"], _climbed), np.frombuffer(b"".join(history["entries"]), "<f8")
-        order = np.argsort(name)
-        at, _ = _at(name[order], before)
-        entry = np.log10(discounted(c, model.keep_pairs) / _second_chance(now, count, model)) + added[order][at]
-        keys = _pair_hash(before, now)
-        order = np.argsort(keys)
-        return pd.DataFrame({"part": [pair["part"] // FINER], "kind": [PAIRS], "keys": [_ascending(keys[order])], "counts": [b""], "entries": [_planes(entry[order])]})
 
-    told = histories.select("part", "kind", "keys", "entries").unionByName(seconds.select("part", "kind", "keys", F.col("total").alias("entries")))
-    return pairs.drop("often").groupBy("part").cogroup(told.groupBy("part")).applyInPandas(add, "part int, kind int, keys binary, counts binary, entries binary")
+def _pair_entries(block: pd.DataFrame, model: KatzModel) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and entries of a block of bigrams: from their counts, those of their second words and what their histories add."""
+    pair, second, history = (block[block["kind"] == kind] for kind in (PAIRS, SECONDS, HISTORY))
+    before, now = _climbed(pair["before"].iloc[0]), _unlisted(pair["keys"].iloc[0])
+    c, count = (_flat(x["counts"].iloc[0], "<u8").astype(np.int64) for x in (pair, second))
+    name, added = _joined(history["keys"], _climbed), _joined(history["entries"], lambda x: _flat(x, "<f8"))
+    order = np.argsort(name)
+    at, _ = _at(name[order], before)
+    return _pair_hash(before, now), np.log10(discounted(c, model.keep_pairs) / _second_chance(now, count, model)) + added[order][at]
 
 
 _ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids binary, n_tokens array<long>, base array<double>, score array<double>"
@@ -495,13 +500,11 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
         table = {}
         mine = tables[tables["kind"] == WORDS]
         table[WORDS] = tuple(np.frombuffer(b"".join(mine[c]), width) for c, width in (("keys", "<u8"), ("counts", "<i8"), ("entries", "<f8")))
-        mine = tables[tables["kind"] == PAIRS]
-        nothing = np.zeros(0, np.int64)
-        table[PAIRS] = (_joined(mine["keys"], _climbed), nothing, _joined(mine["entries"], lambda x: _flat(x, "<f8"))) if len(mine) else (nothing.view(np.uint64), nothing, nothing.astype(float))
-        del tables, mine
-        names, counts, values = table[PAIRS]  # FINER blocks; words are one
+        made = [(np.zeros(0, np.uint64), np.zeros(0)), *(_pair_entries(block, model) for _, block in tables[tables["kind"] != WORDS].groupby("origin"))]
+        names, values = (np.concatenate(x) for x in zip(*made, strict=True))
+        del tables, mine, made
         order = np.argsort(names)
-        table[PAIRS] = names[order], counts, values[order]
+        table[PAIRS] = names[order], np.zeros(0, np.int64), values[order]
         del names, values, order
         for e in entries.itertuples():
             if e.kind == ABOUT:
