@@ -59,6 +59,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, column: str, values: list[int]) -> dict[int, DataFrame]:
+    """``df`` stored as one table for each of the values of ``column``, which the tables do without."""
+    path = shared_folder(df.sparkSession, f"llm-{name}")
+    df.write.partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    for v in values:  # a value without rows has no folder
+        df.sparkSession.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{column}={v}")
+    tables = {v: df.sparkSession.read.schema(schema).parquet(f"{path}/{column}={v}") for v in values}
+    for v, table in tables.items():
+        table._stored_in = f"{path}/{column}={v}"
+    return tables
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`stored_by` that nothing reads any more, because what was made of it is stored."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_in)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id: str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % m

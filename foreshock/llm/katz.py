@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreshock.llm.base import remainder, stored
+from foreshock.llm.base import discard, remainder, stored, stored_by
 from foreshock.llm.exchange import pack_ids, unpack_ids
 from foreshock.llm.text import mix, rounds, text_bytes, to_batch, words
 
@@ -49,6 +50,10 @@ PART_BYTES = 24 << 20
 HELD_KEYS = 1_500_000
 #: Parts in which bigrams are counted, for each part of the tables: with both words they are wide.
 FINER = 4
+#: Bigrams are looked up by these bits of their hash besides their part, whose number grows with the data.
+LOW = np.uint64((1 << 48) - 1)
+#: Texts are scored in so many passes, so that the keys of one pass alone are on the disks.
+PASSES = 3
 WORDS, PAIRS, ABOUT, HISTORY, SECONDS = 0, 1, 2, 3, 4
 
 
@@ -174,10 +179,10 @@ def _at(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, names[at] == keys
 
 
-def _deal(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of the keys by (part, key), and (part, from, to)."""
+def _deal(key: np.ndarray, parts: int, mask: np.uint64 | None = None) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the keys by (part, key, or its bits in ``mask``), and (part, from, to)."""
     part = (mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    order = np.lexsort((key, part))
+    order = np.lexsort((key if mask is None else key & mask, part))
     part = part[order]
     cut = np.flatnonzero(np.diff(part)) + 1
     return order, [(int(part[a]), a, b) for a, b in zip([0, *cut], [*cut, len(part)], strict=True) if b > a]
@@ -303,11 +308,12 @@ def fit(docs: DataFrame, shortlist: int | None = None) -> KatzModel:
 
     pairs = stored(_pair_counts(docs, model), "pair-counts")
     model.keep_pairs = discounts(_often(pairs))
-    seen = stored(_followers(pairs, words_, model), "pair-chances")
-    weighed = stored(_weighed(seen.where(F.col("kind") == HISTORY), words_, model), "word-entries")
+    seen = stored_by(_followers(pairs, words_, model), "pair-chances", "kind", [HISTORY, SECONDS])
+    weighed = stored(_weighed(seen[HISTORY], words_, model), "word-entries")
+    discard(seen[HISTORY])
     if shortlist is not None:
         model.rare_weight = weighed.agg(F.max("rare_weight")).first()[0] or 0.0
-    model.tables = _tables(pairs, seen.where(F.col("kind") == SECONDS), weighed)
+    model.tables = _tables(pairs, seen[SECONDS], weighed)
     return model
 
 
@@ -438,7 +444,7 @@ def _tables(pairs: DataFrame, seconds: DataFrame, weighed: DataFrame) -> DataFra
     return (
         words_.select("part", "kind", F.lit(0).alias("origin"), "keys", nothing.alias("before"), "counts", "entries")
         .unionByName(pairs.select(block, F.lit(PAIRS).alias("kind"), F.col("part").alias("origin"), F.col("now").alias("keys"), "before", "counts", nothing.alias("entries")))
-        .unionByName(seconds.select(block, "kind", F.col("part").alias("origin"), nothing.alias("keys"), nothing.alias("before"), F.col("total").alias("counts"), nothing.alias("entries")))
+        .unionByName(seconds.select(block, F.lit(SECONDS).alias("kind"), F.col("part").alias("origin"), nothing.alias("keys"), nothing.alias("before"), F.col("total").alias("counts"), nothing.alias("entries")))
         .unionByName(histories.select(block, "kind", F.col("part").alias("origin"), "keys", nothing.alias("before"), nothing.alias("counts"), "entries"))
     )
 
@@ -484,9 +490,9 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
                 for name, v in zip(columns, (part, kind, batch, keys, times, at, ids, size, base, score), strict=True):
                     columns[name].append(v)
 
-            for kind, key in ((WORDS, h), (PAIRS, _pair_hash(before, now))):
-                order, cuts = _deal(key, parts)
-                key, who = key[order], row[order].astype("<u2")
+            for kind, key, mask in ((WORDS, h, None), (PAIRS, _pair_hash(before, now), LOW)):
+                order, cuts = _deal(key, parts, mask)
+                key, who = key[order] if mask is None else key[order] & mask, row[order].astype("<u2")
                 for p, a, z in cuts:
                     keys, times = np.unique(key[a:z], return_counts=True)
                     put(p, kind, _ascending(keys), _planes(times.astype("<u4")), _planes(who[a:z]))
@@ -503,6 +509,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
         made = [(np.zeros(0, np.uint64), np.zeros(0)), *(_pair_entries(block, model) for _, block in tables[tables["kind"] != WORDS].groupby("origin"))]
         names, values = (np.concatenate(x) for x in zip(*made, strict=True))
         del tables, mine, made
+        names = names & LOW
         order = np.argsort(names)
         table[PAIRS] = names[order], np.zeros(0, np.int64), values[order]
         del names, values, order
@@ -535,9 +542,13 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
                 out[name][: len(x)] += x
         return pd.DataFrame({"doc_id": unpack_ids(about["ids"]), "n_tokens": about["n_tokens"], "n_known": out["known"], "base_score": out["base"], "score": out["score"]})
 
-    entries = docs.select("doc_id", "text").mapInArrow(look_up, _ENTRY)
-    summed = entries.groupBy("part").cogroup(model.tables.groupBy("part")).applyInPandas(sums, _SUMS)
-    return summed.groupBy("batch").applyInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = []
+    for k in range(PASSES):
+        mine = docs.where(F.pmod(F.xxhash64(F.substring("text", 1, 64), F.length("text"), "doc_id"), F.lit(PASSES)) == k)
+        entries = mine.select("doc_id", "text").mapInArrow(look_up, _ENTRY)
+        summed = entries.groupBy("part").cogroup(model.tables.groupBy("part")).applyInPandas(sums, _SUMS)
+        found.append(stored(summed.groupBy("batch").applyInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def score_held_out(docs: DataFrame, shortlist: int | None = None) -> DataFrame:
