@@ -46,8 +46,8 @@ END_HASH = np.uint64(0x5DEECE66D1234567)
 RARE_HASH = np.uint64(0x3C6EF372FE94F82B)
 #: Bytes of text in one round, bytes of text per part of the tables, and distinct keys a task holds before it passes them on.
 ROUND = 4 << 20
-PART_BYTES = 24 << 20
-HELD_KEYS = 1_500_000
+PART_BYTES = 16 << 20
+HELD_KEYS = 1_000_000
 #: Parts in which bigrams are counted, for each part of the tables: with both words they are wide.
 FINER = 4
 #: Bigrams are looked up by these bits of their hash besides their part, whose number grows with the data.
