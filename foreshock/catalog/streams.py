@@ -40,6 +40,25 @@ def stream_metrics(spark, sf):
     return spark.read.parquet(f"{out}/data")
 
 
+@query(
+    "stream_all_outliers",
+    oracle(
+        f"""SELECT series, band, ts, v FROM (SELECT n.series, n.band, n.ts, k.v FROM
+  (SELECT DISTINCT series, band, date_trunc('hour', ts) AS ts FROM samples) n LEFT JOIN
+  (SELECT series, band, h AS ts, avg(a) AS v FROM ranked WHERE NOT (sd > 0 AND abs((a - m) / nullif(sd, 0)) > 3.5) GROUP BY ALL) k
+  ON n.series = k.series AND n.band = k.band AND n.ts = k.ts) WHERE {CLOSED}""",
+        "samples",
+        "ranked",
+        dbl=["v"],
+    ),
+)
+def stream_all_outliers(spark, sf):
+    """Closed windows of the stream, without every outlier, equal the batch metric."""
+    out = shared_folder(spark, "stream-outliers")
+    run_available(stream_window_metrics(stream_samples(spark, sf), B.WINDOW_S, outliers="all"), f"{out}/checkpoint", path=f"{out}/data")
+    return spark.read.parquet(f"{out}/data")
+
+
 @query(
     "stream_update_tremor",
     oracle(

@@ -76,6 +76,39 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert spark.read.parquet(out).where("v > 100").count() == 0
 
 
+def test_stream_without_all_outliers_equals_batch(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "series string, band string, ts timestamp, x double"
+    # Both signs, several outliers, zeros, missing values, a constant hour and an hour of zeros.
+    values = [float((-1) ** i * (1 + i % 7)) for i in range(600)]
+    for i, v in {5: 90.0, 17: -80.0, 70: 1e6, 90: None, 91: float("nan"), 95: 0.0}.items():
+        values[i] = v
+    values[180:240], values[240:300] = [4.0] * 60, [0.0] * 60
+    every = samples(spark, values)
+    stream = lambda: stream_window_metrics(spark.readStream.schema(schema).parquet(src), 3600, outliers="all")
+    early = F.col("ts") < F.lit("2025-01-01 00:40:00").cast("timestamp")
+    every.where(early).coalesce(1).write.parquet(src)
+    run_available(stream(), cp, path=out)
+    every.where(~early).coalesce(1).write.mode("append").parquet(src)
+    run_available(stream(), cp, path=out)
+    samples(spark, [1e9, 1e9]).coalesce(1).write.mode("append").parquet(src)  # too late
+    run_available(stream(), cp, path=out)
+    got = {r["ts"]: r["v"] for r in spark.read.parquet(out).collect()}
+    batch = {r["ts"]: r["v"] for r in signal.window_metric(every, 3600, F.avg, outliers="all").collect()}
+    assert len(got) == 8 and [got[t] for t in sorted(got)][4] is None and [got[t] for t in sorted(got)][3] == 4.0
+    for t, v in got.items():
+        assert (v is None and batch[t] is None) or abs(v - batch[t]) < 1e-12
+    a = [abs(v) for v in values[:60]]
+    m = sum(a) / 60
+    sd = (sum((v - m) ** 2 for v in a) / 60) ** 0.5
+    inside = [v for v in a if abs(v - m) / sd <= 3.5]
+    assert len(inside) == 58 and abs(got[START] - sum(inside) / 58) < 1e-12
+    assert spark.read.parquet(out).count() == 8
+    for wrong in ({"outliers": "some"}, {"outliers": "all", "threshold": 0.0}):
+        with pytest.raises(ValueError):
+            stream_window_metrics(every, 3600, **wrong)
+
+
 def test_upsert_touches_only_its_days(spark, tmp_path):
     path, keys = str(tmp_path / "t"), ["series", "metric", "ts"]
     upsert_days(spark, long(spark, [1.0] * 72), path, keys)
