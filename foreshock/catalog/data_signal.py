@@ -412,7 +412,7 @@ def window_metric(spark, sf):
 
 @query("rsam", oracle("SELECT series, band, ts, v FROM rsam", "rsam", dbl=["v"]))
 def rsam(spark, sf):
-    return signal.rsam(B.samples(spark, sf), H)
+    return signal.rsam(B.samples(spark, sf), H, empty_windows=False)
 
 
 cte(

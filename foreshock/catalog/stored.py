@@ -18,7 +18,7 @@ from foreshock.streaming.update import run_available, shared_folder
 def write_table(spark, sf):
     """Window metrics through a Parquet table partitioned by band."""
     path = f"{shared_folder(spark, 'write-table')}/rsam"
-    tables.write_table(signal.rsam(B.samples(spark, sf), B.WINDOW_S), path, partition_by=["band"])
+    tables.write_table(signal.rsam(B.samples(spark, sf), B.WINDOW_S, empty_windows=False), path, partition_by=["band"])
     return spark.read.parquet(path).select("series", "band", "ts", "v")
 
 
@@ -82,7 +82,7 @@ DAY_S = 86400
 @query("rsam_many_series", oracle("SELECT series, band, ts, v FROM user_rsam", "user_rsam", dbl=["v"]))
 def rsam_many_series(spark, sf):
     """Daily metrics of every user as a series of its own."""
-    return signal.rsam(B.samples(spark, sf, "user_id"), DAY_S)
+    return signal.rsam(B.samples(spark, sf, "user_id"), DAY_S, empty_windows=False)
 
 
 @query(

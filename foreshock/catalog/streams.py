@@ -68,7 +68,7 @@ def stream_all_outliers(spark, sf):
 def stream_update(spark, sf):
     """A stored table of older values is replaced by the stream on the same instants."""
     out = shared_folder(spark, "stream-update")
-    old = signal.rsam(B.samples(spark, sf), B.WINDOW_S).withColumn("v", F.col("v") + 1)
+    old = signal.rsam(B.samples(spark, sf), B.WINDOW_S, empty_windows=False).withColumn("v", F.col("v") + 1)
     keys = ["series", "band", "ts"]
     upsert_days(spark, old, f"{out}/table", keys)
     run_available(

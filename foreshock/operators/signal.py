@@ -226,10 +226,17 @@ def rsam(
     expected: float | None = None,
     min_ratio: float = DEFAULT_RATIO,
     multiplier: float = 1.0,
+    empty_windows: bool = True,
 ) -> DataFrame:
-    """Mean magnitude per band and window after the maximum rule, in one pass."""
+    """Mean magnitude per band and window after the maximum rule, in one pass.
+
+    A window whose samples are all zero, missing or NaN has a NULL, or no row
+    without ``empty_windows``.
+    """
     check_divides_day(seconds)
     stats = samples.groupBy(*KEYS, window_start("ts", seconds).alias("ts")).agg(*magnitude_stats())
+    if not empty_windows:
+        stats = stats.where("n > 0")
     v = mean_without_max()
     if multiplier != 1.0:
         v = v * F.lit(multiplier)

@@ -1,11 +1,13 @@
 from datetime import timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from foreshock.operators import signal
-from tests.helpers import START, column, samples
+from tests.helpers import START, column, events_with_a_day_of_zeros, samples
 
 
 def test_maximum_outlier_goes_and_ties_keep_one(spark):
@@ -26,6 +28,22 @@ def test_zero_samples_are_not_used(spark):
     assert column(signal.rsam(samples(spark, [0.0, 0.0]), 3600)) == [None]
 
 
+def test_windows_of_zeros_may_be_left_out(spark):
+    df = samples(spark, [0.0, None, float("nan"), 2.0, -4.0, 0.0], step_s=1200)
+    assert column(signal.rsam(df, 3600)) == [None, 3.0]
+    assert column(signal.rsam(df, 3600, empty_windows=False)) == [3.0]
+
+
+@pytest.mark.parametrize("name", ["rsam_many_series", "rsam", "write_table"])
+def test_queries_of_window_means_equal_their_sql(spark, tmp_path, name):
+    sf = events_with_a_day_of_zeros(tmp_path)
+    got = [tuple(r) for r in entry.queries()[name](spark, sf).select("series", "band", "ts", "v").collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.sql(f"SELECT series, band, ts, v FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr) and None not in [r[3] for r in got]
+
+
 def test_one_pass_equals_two_pass(spark):
     rng = np.random.default_rng(1)
     df = samples(spark, [float(v) for v in rng.standard_t(2, 2000)], step_s=20)
