@@ -101,5 +101,5 @@ def stream_outlier_metrics(spark, sf):
     samples = files.select(
         F.col("user_id").cast("string").alias("series"), F.col("event_type").alias("band"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x")
     )
-    run_available(stream_window_metrics(samples, DAY_S), f"{out}/checkpoint", path=f"{out}/data")
+    run_available(stream_window_metrics(samples, DAY_S, empty_windows=False), f"{out}/checkpoint", path=f"{out}/data")
     return spark.read.parquet(f"{out}/data")

@@ -36,7 +36,7 @@ CLOSED = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM samples) - INTERVAL 1 HOU
 def stream_metrics(spark, sf):
     """Closed windows of the stream equal the batch metric."""
     out = shared_folder(spark, "stream-metrics")
-    run_available(stream_window_metrics(stream_samples(spark, sf), B.WINDOW_S), f"{out}/checkpoint", path=f"{out}/data")
+    run_available(stream_window_metrics(stream_samples(spark, sf), B.WINDOW_S, empty_windows=False), f"{out}/checkpoint", path=f"{out}/data")
     return spark.read.parquet(f"{out}/data")
 
 
@@ -72,7 +72,7 @@ def stream_update(spark, sf):
     keys = ["series", "band", "ts"]
     upsert_days(spark, old, f"{out}/table", keys)
     run_available(
-        stream_window_metrics(stream_samples(spark, sf), B.WINDOW_S), f"{out}/checkpoint", sink=upsert_sink(f"{out}/table", keys)
+        stream_window_metrics(stream_samples(spark, sf), B.WINDOW_S, empty_windows=False), f"{out}/checkpoint", sink=upsert_sink(f"{out}/table", keys)
     )
     return spark.read.parquet(f"{out}/table").drop("dt")
 

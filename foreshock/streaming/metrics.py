@@ -35,12 +35,14 @@ def stream_window_metrics(
     min_ratio: float = 0.3,
     outliers: str = "maximum",
     threshold: float = 3.5,
+    empty_windows: bool = True,
 ) -> DataFrame:
     """Mean magnitude per closed window after the maximum rule, or without 'all' samples whose z exceeds ``threshold``.
 
     Rows later than ``delay`` behind the newest event are dropped; windows are
     emitted once the watermark passes their end.  Equals the batch metric on
-    closed windows.
+    closed windows.  One without a valid sample has a NULL, or no row without
+    ``empty_windows``.
     """
     if outliers not in ("maximum", "all"):
         raise ValueError("outliers must be 'maximum' or 'all'")
@@ -53,6 +55,8 @@ def stream_window_metrics(
         .groupBy(*KEYS, F.window("ts", width, slide).alias("w"))
         .agg(*magnitude_stats(), *([F.collect_list(F.abs(valid_sample("x"))).alias("magnitudes")] if outliers == "all" else []))
     )
+    if not empty_windows:
+        stats = stats.where("n > 0")
     v = mean_without_max() if outliers == "maximum" else mean_within(threshold)
     if expected is not None:
         v = F.when(F.col("n_valid") / F.lit(float(expected)) >= F.lit(min_ratio), v)

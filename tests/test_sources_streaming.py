@@ -1,13 +1,15 @@
 from datetime import timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from foreshock.operators import signal
 from foreshock.sources import archive, tables
 from foreshock.streaming.metrics import stream_window_metrics
 from foreshock.streaming.update import run_available, upsert_days
-from tests.helpers import START, column, long, samples
+from tests.helpers import START, column, events_with_a_day_of_zeros, long, samples
 
 
 def test_partitioned_samples_are_pruned(spark, tmp_path):
@@ -76,6 +78,16 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert spark.read.parquet(out).where("v > 100").count() == 0
 
 
+@pytest.mark.parametrize("name", ["stream_outlier_metrics", "stream_window_metrics"])
+def test_streams_of_window_means_equal_their_sql(spark, tmp_path, name):
+    sf = events_with_a_day_of_zeros(tmp_path)
+    got = [tuple(r) for r in entry.queries()[name](spark, sf).select("series", "band", "ts", "v").collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.sql(f"SELECT series, band, ts, v FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert want and sorted(got, key=repr) == sorted(want, key=repr) and None not in [r[3] for r in got]
+
+
 def test_stream_without_all_outliers_equals_batch(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = "series string, band string, ts timestamp, x double"
