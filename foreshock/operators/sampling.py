@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from foreshock.functions.blocked import running_sum
 from foreshock.functions.expr import KEY_MODULUS, literal_table, shuffle_key
 from foreshock.functions.reuse import join_back
+from foreshock.operators import nearest
 
 SLICES = 64
+#: Blocks that a search has at least, the vectors each of them has then, and most partitions that pairs of blocks are dealt over.
+BLOCKS, BLOCK_LEAST, MOST_PARTS = 8, 1024, 4096
 
 
 def with_seeds(labels: DataFrame, seeds: Sequence[int]) -> DataFrame:
@@ -144,20 +147,27 @@ def knn(
     k: int = 3,
     p: int = 2,
     weights: str = "uniform",
-    block_rows: int = 4096,
+    block_rows: int = 32768,
 ) -> DataFrame:
     """Class probability by the k nearest training vectors (Minkowski distance p).
 
     ``train(id, vector, label)``, ``query(id, vector)``; a vector is not its own
-    neighbour.  Exact neighbours need every distance, but no pair becomes a row:
-    both sides are dealt into blocks of about ``block_rows`` by id, each pair of
-    blocks is one co-group whose task computes a distance tile and returns only
-    the k best per query, and the few candidates per query are merged.
+    neighbour.  Exact neighbours need every pair of blocks, but no pair of
+    vectors becomes a row: both sides are dealt into blocks of at most about
+    ``block_rows`` by id, each pair of blocks is one co-group whose task bounds
+    the distances by a matrix product, measures those that may count
+    (:mod:`foreshock.operators.nearest`) and returns only the k best per query,
+    and the few candidates per query are merged.
     """
     if k < 1 or p < 1 or weights not in ("uniform", "distance"):
         raise ValueError("bad k, p or weights")
-    q_blocks = max(1, -(-query.count() // block_rows))
-    t_blocks = max(1, -(-train.count() // block_rows))
+
+    def blocks_of(n: int) -> int:
+        # Enough pairs of blocks to keep many tasks busy, unless there is little to do.
+        return max(1, -(-n // block_rows), min(BLOCKS, n // BLOCK_LEAST))
+
+    q_blocks, t_blocks = blocks_of(query.count()), blocks_of(train.count())
+    parts = min(4 * q_blocks * t_blocks, MOST_PARTS)
 
     def dealt(blocks: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -166,29 +176,23 @@ def knn(
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     vector = F.col("vector").cast("array<double>")
-    left = query.select("id", vector.alias("vector"), dealt(q_blocks).alias("qb"), every(t_blocks).alias("tb"))
+    pair = (F.col("qb") * F.lit(t_blocks) + F.col("tb")).alias("pair")
+    left = query.select(F.col("id").alias("query_id"), vector.alias("vector"), dealt(q_blocks).alias("qb"), every(t_blocks).alias("tb"))
     right = train.select(
-        "id", vector.alias("vector"), F.col("label").cast("double").alias("label"), dealt(t_blocks).alias("tb"), every(q_blocks).alias("qb")
+        F.col("id").alias("train_id"), vector.alias("vector"), F.col("label").cast("double").alias("label"), dealt(t_blocks).alias("tb"), every(q_blocks).alias("qb")
     )
 
     def tile(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "train_id", "label", "dist"]
         if qs.empty or ts.empty:
             return pd.DataFrame({n: [] for n in names})
-        ts = ts.sort_values("id", kind="stable")
-        t, tid, lab = np.stack(ts["vector"].to_list()), ts["id"].to_numpy(), ts["label"].to_numpy()
-        out = []
-        for qid, qv in zip(qs["id"].to_numpy(), qs["vector"]):
-            d = np.round((np.abs(t - np.asarray(qv)) ** p).sum(axis=1) ** (1.0 / p), 9)
-            d[tid == qid] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"query_id": qid, "train_id": tid[best], "label": lab[best], "dist": d[best]}))
-        return pd.concat(out)[names]
+        qid, tid, label = qs["query_id"].to_numpy(), ts["train_id"].to_numpy(), ts["label"].to_numpy()
+        i, j, d = nearest.nearest_others(qid, np.stack(qs["vector"].to_list()), tid, np.stack(ts["vector"].to_list()), k, p)
+        return pd.DataFrame({"query_id": qid[i], "train_id": tid[j], "label": label[j], "dist": d})
 
     partial = (
-        left.groupBy("qb", "tb")
-        .cogroup(right.groupBy("qb", "tb"))
+        left.select("query_id", "vector", pair).repartition(parts, "pair").groupBy("pair")
+        .cogroup(right.select("train_id", "vector", "label", pair).repartition(parts, "pair").groupBy("pair"))
         .applyInPandas(tile, "query_id long, train_id long, label double, dist double")
     )
     final = Window.partitionBy("query_id").orderBy("dist", "train_id")

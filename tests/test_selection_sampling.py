@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foreshock.operators import sampling, selection
+from foreshock.operators import nearest, sampling, selection
 
 
 def frame(spark, columns, y):
@@ -104,6 +104,35 @@ def test_knn_brute_force_over_blocks(spark, p, weights):
         assert np.isclose(got[1000 + i], (w * y[near]).sum() / w.sum())
 
 
+@pytest.mark.parametrize("p,k", [(1, 3), (2, 6), (3, 1)])
+def test_nearest_measures_few_pairs_and_misses_none(monkeypatch, p, k):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x[100:200], x[200:300] = x[5], x[6] + 1e-7 * rng.normal(size=(100, 64))  # copies and near copies
+    x[300, 0], x[301, 1], x[302] = np.nan, np.inf, 1e9
+    ids = rng.permutation(3000)
+    rows, pairs, measured = np.arange(0, 400), [0], nearest.measured
+    monkeypatch.setattr(nearest, "measured", lambda q, t, i, *a: pairs.__setitem__(0, pairs[0] + len(i)) or measured(q, t, i, *a))
+    i, j, d = nearest.nearest_others(ids[rows], x[rows], ids, x, k, p)
+    got, want = list(zip(i.tolist(), ids[j].tolist(), d.tolist())), []
+    with np.errstate(invalid="ignore"):
+        for r in rows:
+            far = np.round((np.abs(x - x[r]) ** p).sum(axis=1) ** (1 / p), 9)
+            far[r] = np.inf
+            best = [b for b in np.lexsort((ids, far))[:k] if np.isfinite(far[b])]
+            want += [(int(r), int(ids[b]), float(far[b])) for b in best]
+    assert got == want
+    assert pairs[0] < 0.35 * len(rows) * len(x)
+
+
+def test_knn_of_one_vector_many_times(spark):
+    same = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), (F.col("id") % 2).cast("double").alias("label"))
+    got = sampling.knn(same, same, 3, 1, "distance", block_rows=1000)
+    # The three smallest other ids: 0, 1, 2 but for those themselves.
+    assert {r["query_id"]: round(r["p"], 6) for r in got.where("query_id < 4").collect()} == {0: round(2 / 3, 6), 1: round(1 / 3, 6), 2: round(2 / 3, 6), 3: round(1 / 3, 6)}
+    assert got.count() == 3000 and got.where("kth_distance <> 0").count() == 0
+
+
 def test_pick_n_rules(spark):
     df = spark.createDataFrame([(5, 0.80, 0.02, 4), (10, 0.815, 0.02, 4), (20, 0.82, 0.02, 4)], "N int, mean double, std double, n_seeds long")
     star = lambda **k: sampling.pick_n(df, **k).first()["n_star"]
