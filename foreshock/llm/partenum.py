@@ -43,13 +43,19 @@ PARTS = 28
 TINY = 16
 CELLS = 3
 #: Cells of the sketch that bounds the difference of two sets from below.
-SKETCH = 64
+SKETCH = 256
+#: Largest count that a cell holds; beyond it a cell only tells that there are as many.
+FULL = 15
 #: Members of a group of equal signatures of which every pair may be tried.
 SMALL = 16
 #: Members of a group that are compared in one place; larger groups are dealt out in tiles.
 TILE = 4096
 #: Entries of packed blocks that one task compares.
 PART_ENTRIES = 1_000_000
+#: Members of groups that one task compares.
+PART_MEMBERS = 60_000
+#: Pairs whose sketches are compared at once.
+AT_ONCE = 8192
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -130,19 +136,22 @@ def signatures(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def sketch(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """Per set and cell: how many elements, and a hash of them (rows x 2 SKETCH bytes)."""
+    """Per set and cell: how many elements, and a hash of them, in one byte (rows x SKETCH)."""
     spread = mix(h + np.uint64(31))
-    place = row * SKETCH + (spread >> np.uint64(58)).astype(np.int64)
+    place = row * SKETCH + (spread >> np.uint64(56)).astype(np.int64)
     total = np.zeros(rows * SKETCH, np.uint64)
     np.add.at(total, place, mix(h))
-    count = np.minimum(np.bincount(place, minlength=rows * SKETCH), 255)
-    return np.concatenate([count.reshape(rows, SKETCH), (mix(total) & np.uint64(255)).astype(np.int64).reshape(rows, SKETCH)], 1).astype(np.uint8)
+    count = np.minimum(np.bincount(place, minlength=rows * SKETCH), FULL)
+    return (count * 16 + (mix(total) & np.uint64(15)).astype(np.int64)).astype(np.uint8).reshape(rows, SKETCH)
 
 
 def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """No pair of sets with these sketches differs in fewer elements."""
-    count = np.abs(a[:, :SKETCH].astype(np.int64) - b[:, :SKETCH])
-    return np.where(count > 0, count, 2 * (a[:, SKETCH:] != b[:, SKETCH:])).sum(1)
+    m, n = a >> 4, b >> 4
+    more = np.maximum(m, n) - np.minimum(m, n)
+    # Equal counts of other elements: one is missing on either side, or a full cell holds one more.
+    other = (more == 0) & (a != b)
+    return more.sum(1, dtype=np.int64) + 2 * other.sum(1) - (other & (m == FULL)).sum(1)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -300,7 +309,7 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 2 * SKETCH) for c in ("left", "right"))
+            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("left", "right"))
             ok = 7 * least_difference(left, right) <= b.column("n").to_numpy() + b.column("m").to_numpy()
             yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
@@ -353,7 +362,7 @@ def _near_in_groups(rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs (x, y) of many groups, or tiles of large groups, that lie in different components and that sizes and sketches do not rule out."""
     rows = rows.sort_values(["g", "i", "j", "y"])
     g, i, j, side, y, n, k = (rows[c].to_numpy() for c in ("g", "i", "j", "side", "y", "n", "k"))
-    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, 2 * SKETCH)
+    flat = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
     left, right, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(rows))
     step = 0
     while True:  # pairs at a growing distance in the sorted rows, as long as some group is that wide
@@ -365,20 +374,22 @@ def _near_in_groups(rows: pd.DataFrame) -> pd.DataFrame:
             break
         to = at + step
         a = at[(k[at] != k[to]) & ((i[at] == j[at]) | (side[at] != side[to])) & (100 * n[at] >= PERCENT * n[to]) & (100 * n[to] >= PERCENT * n[at])]
-        a = a[7 * least_difference(flat[a], flat[a + step]) <= n[a] + n[a + step]]
-        left.append(a)
-        right.append(a + step)
+        for b in np.array_split(a, -(-len(a) // AT_ONCE)) if len(a) else ():
+            b = b[7 * least_difference(flat[b], flat[b + step]) <= n[b] + n[b + step]]
+            left.append(b)
+            right.append(b + step)
     left, right = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.stack([np.minimum(y[left], y[right]), np.maximum(y[left], y[right])]), axis=1)
     return pd.DataFrame({"x": pairs[0], "y": pairs[1]})
 
 
-def _crossing(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Possible pairs (x, y) of members (g, y, n, k) of one group that lie in different components.
 
     Pairs are compared by their sketches inside packed parts of many groups, and
     only those that pass become rows; a group of more than TILE members is dealt
-    out in tiles of two blocks.
+    out in tiles of two blocks.  A pair may meet in many groups; it is one row of
+    each part, so there are no more parts than the number of members asks for.
     """
     sketches = sets.groupBy(F.col("s").alias("_s")).agg(F.first("sketch").alias("sketch"))
     members = stored(members.select("g", "y", "n", "k").distinct().join(sketches, F.col("y") == F.col("_s")).drop("_s"), "sketched-members")
@@ -388,7 +399,8 @@ def _crossing(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     rows = members.join(large, F.col("g") == F.col("_g"), "left").withColumn("side", F.pmod(F.xxhash64("y"), tiles).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     rows = rows.select("g", "y", "n", "k", "sketch", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("g", "i", "j"), F.lit(max(parts, 8) * 4)))
+    parts = max(8, -(-rows.count() // PART_MEMBERS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("g", "i", "j"), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(_near_in_groups, "x long, y long").distinct()
 
 
@@ -439,7 +451,7 @@ def link_sets(sets: DataFrame, parts: int) -> DataFrame:
     few = opened.where(F.col("size") <= SMALL).select("g", "y", "n", "k")
     nodes = opened.where(F.col("size") > SMALL).groupBy("y").agg(F.min("k").alias("k"))
     rare = _rare_prefixes(sets, nodes).select(F.xxhash64(F.lit(1), "g").alias("g"), "y", "n", "k")
-    pairs = stored(_crossing(few.unionByName(rare), sets, parts), "possible-pairs")
+    pairs = stored(_crossing(few.unionByName(rare), sets), "possible-pairs")
     return links.unionByName(_verified(pairs, sets))
 
 

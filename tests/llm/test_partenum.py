@@ -3,6 +3,7 @@ import re
 
 import corpus
 import numpy as np
+import pandas as pd
 import pytest
 
 from foreshock.llm import partenum
@@ -148,3 +149,30 @@ def test_pairs_inside_groups_equal_all_pairs(spark, monkeypatch, tile):
     k = {s: i % 7 for i, s in enumerate(names)}
     want = {(a, b) for a in names for b in names if a < b and k[a] != k[b] and partenum.alike(sets[a], sets[b])}
     assert want and want <= set(got) and len(got) < len(names) ** 2 / 6
+
+
+@pytest.mark.parametrize("n", [20, 300, 800, 6000])
+def test_sketches_bound_the_difference_from_below(n):
+    rng = np.random.default_rng(n)
+    sets = []
+    for k in range(60):
+        h = np.unique(rng.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64))
+        cut = rng.integers(0, n // 2)
+        sets += [h, np.unique(np.concatenate([h[cut:], rng.integers(0, 1 << 62, rng.integers(0, n // 2 + 1), dtype=np.int64).astype(np.uint64)]))]
+    size = np.array([len(x) for x in sets])
+    flat = partenum.sketch(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
+    a, b = flat[0::2], flat[1::2]
+    true = np.array([len(np.setxor1d(x, y)) for x, y in zip(sets[0::2], sets[1::2], strict=True)])
+    assert (partenum.least_difference(a, b) <= true).all()
+    assert (partenum.least_difference(a, a) == 0).all()
+
+
+def test_half_alike_members_of_a_group_are_no_pairs():
+    """A source of 800 shingles of which every text keeps three quarters: pairs are 0.6 alike."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 1 << 62, 600, dtype=np.int64)
+    sets = [np.unique(np.concatenate([base, rng.integers(1, 1 << 62, 200, dtype=np.int64)])).astype(np.uint64) for _ in range(100)]
+    size = np.array([len(x) for x in sets])
+    flat = partenum.sketch(np.repeat(np.arange(100), size), np.concatenate(sets), 100)
+    rows = pd.DataFrame({"g": 1, "y": np.arange(100), "n": size, "k": np.arange(100), "sketch": [f.tobytes() for f in flat], "side": 0, "i": 0, "j": 0, "part": 0})
+    assert len(partenum._near_in_groups(rows)) < 50
