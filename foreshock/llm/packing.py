@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +27,19 @@ from foreshock.llm.base import stored
 from foreshock.llm.text import rounds, to_batch
 
 #: Words kept per Python worker; about 250 bytes each.  The ones before are looked up until there are as many again.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
+#: What may follow a word's letters as one token of the splitting rule.
+MARKS = ".,;:!?#*$%&|<>"
 #: Pieces per block in which ranks are counted.
 BLOCK_ROWS = 4000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _latin(chunk: str) -> bool:
+    return chunk.isalpha() if chunk.isascii() else max(chunk) < "\u0250" and chunk.lower().isalpha()
+
+
 class WordTokenizer:
     """Ids of whole texts from the ids of their space-separated chunks.
 
@@ -53,37 +60,58 @@ class WordTokenizer:
 
     def _learn(self, chunks: list[str]) -> None:
         # A chunk of Latin letters is one word to the tokenizer: many are encoded in one call and cut at word ends.
-        words = [c for c in chunks if max(c) < "\u0250" and c.lower().isalpha()]
+        words = [c for c in chunks if _latin(c)]
         for at in range(0, len(words), 500):
             some = words[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
-                raw = ids.tobytes()
-                self.known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
         rest = [c for c in chunks if c not in self.known]
         done = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
         self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in done), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.known.get
-        found = [list(map(get, s)) for s in split]
-        new = {c for s, f in zip(split, found, strict=True) if None in f for c, x in zip(s, f, strict=True) if x is None}
-        again = new & self.before.keys()
-        self.known.update((c, self.before[c]) for c in again)
-        new -= again
-        # Letters and one closing mark are two tokens of the splitting rule, so the parts are encoded alone.
-        cut = {c for c in new if c[-1] in ",." and c[:-1].isalpha() and c.lower()[:-1].isalpha()}
-        single = (new - cut) | {c[:-1] for c in cut} | {c[-1] for c in cut}
-        self._learn(sorted(single.difference(self.known)))
-        for c in cut:
-            self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
-        ids = [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found, strict=True)]
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        found = list(map(self.known.get, chunks))
+        new = [c for c, x in zip(chunks, found, strict=True) if x is None]
+        if new:
+            again = {c: x for c in new if (x := self.before.get(c)) is not None}
+            self.known.update(again)
+            # Letters and marks after them are two tokens of the splitting rule, so the parts are encoded alone.
+            cut, single = [], {}
+            for c in new:
+                if c in again:
+                    continue
+                body = c.rstrip(MARKS)
+                if 0 < len(body) < len(c) and _latin(body):
+                    cut.append((c, body, c[len(body) :]))
+                    single[body] = single[c[len(body) :]] = None
+                else:
+                    single[c] = None
+            self._learn([c for c in single if c not in self.known])
+            self.known.update((c, self.known[body] + self.known[marks]) for c, body, marks in cut)
+            found = [self.known[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
         if len(self.known) > CACHED_WORDS:
             self.known, self.before = {"": b""}, self.known
-        return ids
+        return found
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text, little-endian unsigned 32-bit; null is empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        chunk = coded.indices.to_numpy()
+        times = size[chunk]
+        end = np.cumsum(times)
+        place = np.arange(end[-1] if len(end) else 0) + np.repeat(start[chunk] - end + times, times)
+        raw = flat[place].tobytes()
+        stops = (4 * np.append(0, end)[np.cumsum(split.value_lengths().to_numpy())]).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -111,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
         tok = _tokenizer(tokenizer_path)
         for b in rounds(batches):
             rows: dict[str, list] = {f.name: [] for f in out}
-            ids = tok.encode([t or "" for t in b.column("text").to_pylist()])
+            ids = tok.encode(b.column("text"))
             for doc, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):
                 x += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(x), 4 * capacity)):

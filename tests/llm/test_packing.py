@@ -76,3 +76,25 @@ def test_pieces_match_the_tokenizer(spark):
         assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert max(ends.values()) <= 64
+
+
+def test_words_with_marks_are_learned_with_others():
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls.append(list(texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    tok = packing.WordTokenizer(queries.WORD_TOKENIZER)
+    tok.tokenizer = spy = Spy(plain := tok.tokenizer)
+    texts = ["alphen betous$$$ gammel!!", None, "betous gammel, alphen?", " ", "l'été. abc<|endoftext|>\nisn't é.. 日本。 ʰx!"]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tok.encode(texts[:4]) == want[:4]
+    assert sorted(sum(spy.calls, [])) == sorted(["alphen betous gammel", "$$$", "!!", ",", "?"])
+    assert tok.encode(texts) == want
+    spy.calls.clear()
+    assert tok.encode(texts) == want and not spy.calls
+    tok.known, tok.before = {"": b""}, tok.known
+    assert tok.encode(texts) == want and not spy.calls
