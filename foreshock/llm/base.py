@@ -56,7 +56,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the cluster's shared folder and read back: later steps restart from it when executors are lost."""
     path = shared_folder(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_in = path
+    return table
 
 
 def stored_by(df: DataFrame, name: str, column: str, values: list[int]) -> dict[int, DataFrame]:
@@ -73,7 +75,7 @@ def stored_by(df: DataFrame, name: str, column: str, values: list[int]) -> dict[
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a table of :func:`stored_by` that nothing reads any more, because what was made of it is stored."""
+    """Delete a table of :func:`stored` or :func:`stored_by` that nothing reads any more, because what was made of it is stored."""
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_in)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -94,7 +94,7 @@ def discounted(count: np.ndarray, keep: np.ndarray) -> np.ndarray:
 class KatzModel:
     """Stored tables and what all tasks know."""
 
-    tables: DataFrame  # part, kind, origin, keys, before, counts, entries
+    tables: DataFrame  # part, kind, origin, source, keys, before, counts, entries
     parts: int
     total: int  # tokens
     distinct: int  # different tokens
@@ -311,6 +311,7 @@ def fit(docs: DataFrame, shortlist: int | None = None) -> KatzModel:
     seen = stored_by(_followers(pairs, words_, model), "pair-chances", "kind", [HISTORY, SECONDS])
     weighed = stored(_weighed(seen[HISTORY], words_, model), "word-entries")
     discard(seen[HISTORY])
+    discard(table)
     if shortlist is not None:
         model.rare_weight = weighed.agg(F.max("rare_weight")).first()[0] or 0.0
     model.tables = _tables(pairs, seen[SECONDS], weighed)
@@ -401,7 +402,10 @@ def _followers(pairs: DataFrame, words_: DataFrame, model: KatzModel) -> DataFra
 
 
 def _weighed(histories: DataFrame, words_: DataFrame, model: KatzModel) -> DataFrame:
-    """Rows WORDS with the words' entries, and rows HISTORY for the parts of the bigrams: what a history adds to their entries."""
+    """Rows WORDS with the words' entries, and rows HISTORY for the parts of the bigrams: what a history adds to their entries.
+
+    Rows HISTORY are without keys: the bigrams' part knows which it asked of ``source`` for, in order.
+    """
 
     def weigh(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         asked = asked.sort_values("origin")  # sums in the same order whenever a task is run again
@@ -416,18 +420,18 @@ def _weighed(histories: DataFrame, words_: DataFrame, model: KatzModel) -> DataF
         scale = np.where(full, 1 / share, np.minimum(1.0, total / (total + 1) / share))
         weight = np.where(full, 1.0, (1 - scale * share) / np.where(full, 1, free))  # of a full history, nothing asks for it
         added, weight = np.log10(scale / total) - np.log10(weight), np.log10(weight)
-        found = [(int(o), HISTORY, k, b"", _planes(added[_at(h, x)[0]]), None) for o, k, x in zip(asked["origin"], asked["keys"], keys, strict=True)]
+        found = [(int(o), int(p), HISTORY, b"", b"", _planes(added[_at(h, x)[0]]), None) for o, p, x in zip(asked["origin"], asked["part"], keys, strict=True)]
         if len(known):
             name, count = np.frombuffer(known["keys"].iloc[0], "<u8"), np.frombuffer(known["counts"].iloc[0], "<i8")
             at, there = _at(h, name)
             entry = np.log10(model.word_chance(count)) + (np.where(there, weight[at], 0) if len(h) else 0)
-            found.append((int(known["part"].iloc[0]), WORDS, known["keys"].iloc[0], known["counts"].iloc[0], entry.tobytes(), None))
+            found.append((int(known["part"].iloc[0]), 0, WORDS, _ascending(name), _planes(count), _planes(entry), None))
         rare, there = _at(h, np.array([RARE_HASH]))
         if there[0]:
-            found.append((0, ABOUT, b"", b"", b"", float(weight[rare[0]])))
-        return pd.DataFrame(found, columns=["part", "kind", "keys", "counts", "entries", "rare_weight"]).astype({"rare_weight": "float64"})
+            found.append((0, 0, ABOUT, b"", b"", b"", float(weight[rare[0]])))
+        return pd.DataFrame(found, columns=["part", "source", "kind", "keys", "counts", "entries", "rare_weight"]).astype({"rare_weight": "float64"})
 
-    schema = "part int, kind int, keys binary, counts binary, entries binary, rare_weight double"
+    schema = "part int, source int, kind int, keys binary, counts binary, entries binary, rare_weight double"
     return histories.select("part", "origin", "keys", "total", "seen", "covered").groupBy("part").cogroup(words_.groupBy("part")).applyInPandas(weigh, schema)
 
 
@@ -440,12 +444,12 @@ def _tables(pairs: DataFrame, seconds: DataFrame, weighed: DataFrame) -> DataFra
     """What scores are looked up in, by parts of the words: the words' entries, and of every block of bigrams all that makes its entries."""
     words_, histories = (weighed.where(F.col("kind") == kind) for kind in (WORDS, HISTORY))
     block = (F.col("part") / FINER).cast("int").alias("part")
-    nothing = F.lit(None).cast("binary")
+    nothing, here = F.lit(None).cast("binary"), F.lit(0).alias("source")
     return (
-        words_.select("part", "kind", F.lit(0).alias("origin"), "keys", nothing.alias("before"), "counts", "entries")
-        .unionByName(pairs.select(block, F.lit(PAIRS).alias("kind"), F.col("part").alias("origin"), F.col("now").alias("keys"), "before", "counts", nothing.alias("entries")))
-        .unionByName(seconds.select(block, F.lit(SECONDS).alias("kind"), F.col("part").alias("origin"), nothing.alias("keys"), nothing.alias("before"), F.col("total").alias("counts"), nothing.alias("entries")))
-        .unionByName(histories.select(block, "kind", F.col("part").alias("origin"), "keys", nothing.alias("before"), nothing.alias("counts"), "entries"))
+        words_.select("part", "kind", F.lit(0).alias("origin"), "source", "keys", nothing.alias("before"), "counts", "entries")
+        .unionByName(pairs.select(block, F.lit(PAIRS).alias("kind"), F.col("part").alias("origin"), here, F.col("now").alias("keys"), "before", "counts", nothing.alias("entries")))
+        .unionByName(seconds.select(block, F.lit(SECONDS).alias("kind"), F.col("part").alias("origin"), here, nothing.alias("keys"), nothing.alias("before"), F.col("total").alias("counts"), nothing.alias("entries")))
+        .unionByName(histories.select(block, "kind", F.col("part").alias("origin"), "source", nothing.alias("keys"), nothing.alias("before"), nothing.alias("counts"), "entries"))
     )
 
 
@@ -454,10 +458,12 @@ def _pair_entries(block: pd.DataFrame, model: KatzModel) -> tuple[np.ndarray, np
     pair, second, history = (block[block["kind"] == kind] for kind in (PAIRS, SECONDS, HISTORY))
     before, now = _climbed(pair["before"].iloc[0]), _unlisted(pair["keys"].iloc[0])
     c, count = (_flat(x["counts"].iloc[0], "<u8").astype(np.int64) for x in (pair, second))
-    name, added = _joined(history["keys"], _climbed), _joined(history["entries"], lambda x: _flat(x, "<f8"))
-    order = np.argsort(name)
-    at, _ = _at(name[order], before)
-    return _pair_hash(before, now), np.log10(discounted(c, model.keep_pairs) / _second_chance(now, count, model)) + added[order][at]
+    first = np.ones(len(before), bool)
+    first[1:] = before[1:] != before[:-1]
+    order, _ = _deal(before[first], model.parts)
+    added = np.empty(len(order))
+    added[order] = _joined(history.sort_values("source")["entries"], lambda x: _flat(x, "<f8"))
+    return _pair_hash(before, now), np.log10(discounted(c, model.keep_pairs) / _second_chance(now, count, model)) + added[np.cumsum(first) - 1]
 
 
 _ENTRY = "part int, kind int, batch long, keys binary, times binary, rows binary, ids binary, n_tokens array<long>, base array<double>, score array<double>"
@@ -505,7 +511,8 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
         found = []
         table = {}
         mine = tables[tables["kind"] == WORDS]
-        table[WORDS] = tuple(np.frombuffer(b"".join(mine[c]), width) for c, width in (("keys", "<u8"), ("counts", "<i8"), ("entries", "<f8")))
+        reads = {"keys": _climbed, "counts": lambda x: _flat(x, "<i8"), "entries": lambda x: _flat(x, "<f8")}
+        table[WORDS] = tuple(_joined(mine[c], read) if len(mine) else np.zeros(0) for c, read in reads.items())  # one block
         made = [(np.zeros(0, np.uint64), np.zeros(0)), *(_pair_entries(block, model) for _, block in tables[tables["kind"] != WORDS].groupby("origin"))]
         names, values = (np.concatenate(x) for x in zip(*made, strict=True))
         del tables, mine, made

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -6,8 +7,9 @@ from collections import Counter
 
 import corpus
 import numpy as np
+from pyspark.sql import functions as F
 
-from foreshock.llm import katz
+from foreshock.llm import base, katz
 from foreshock.llm.text import text_bytes, words
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -142,3 +144,18 @@ def test_bigrams_of_more_words_than_a_shortlist_had_room_for(spark):
     for r in katz.score_held_out(corpus.frame(spark, data)).collect():
         t = token_list(data[r["doc_id"]][1])
         assert math.isclose(r["score"], sum(math.log10(chance(p, w)) for p, w in zip([None, *t], t, strict=False)), rel_tol=1e-6)
+
+
+def test_tables_hold_no_keys_of_histories_nor_what_was_counted(spark, monkeypatch):
+    kept = {}
+
+    def stored(df, name):
+        kept[name] = table = base.stored(df, name)
+        return table
+
+    monkeypatch.setattr(katz, "stored", stored)
+    model = katz.fit(corpus.frame(spark, rows(60)).select("text"))
+    histories = model.tables.where(F.col("kind") == katz.HISTORY)
+    assert histories.count() and not histories.where("length(keys) > 0").count()
+    assert not os.path.exists(kept["word-counts"]._stored_in.removeprefix("file:"))
+    assert os.path.exists(kept["word-entries"]._stored_in.removeprefix("file:"))
