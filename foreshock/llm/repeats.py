@@ -6,7 +6,9 @@ Suffixes are compared on their first ``length`` bytes.  They need not all be sor
     equal windows have equal anchors.  A suffix whose anchor string occurs once
     in the corpus cannot repeat; only anchors that occur again go on.
 2.  Windows around one anchor are alike in all copies of a passage, except at
-    its ends.  Stretches of windows that are equal as a whole repeat.  The others
+    its ends.  Stretches of windows that are equal as a whole repeat; chains
+    of neighbouring ones are told apart first, so that a passage found in many
+    documents is looked at once from there on.  The others
     are cut into blocks of starts, at fixed distances before the anchor: a block
     repeats if it is equal to another as a whole, and none of its suffixes does
     if the bytes common to all of them occur once.  The suffixes of what is left,
@@ -33,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreshock.llm.base import stored
@@ -43,6 +45,8 @@ from foreshock.llm.text import BASE, BYTE_VALUE, grown, mix, powers, rounds, tex
 ANCHOR = 40
 #: Windows looked at in one round of array operations; a longer text is several rounds.
 ROUND = 1 << 18
+#: Runs of stretches in a chain, on average.
+CHAIN = 4
 #: Suffix starts of a block.
 BLOCK = 16
 #: Suffixes sorted into one run, and suffixes of all runs merged by one task.
@@ -447,6 +451,41 @@ def _with_texts(keyed: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
     return joined.select(F.col("_repeats_id").alias("doc_id"), F.col("_repeats_tie").alias("tie"), F.col("_repeats_text").alias("text"), "windows")
 
 
+def _unlike_chains(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places of the chains that repeat as a whole, stretches of one chain of each kind with the windows of their run and how often they occur).
+
+    A run is equal stretches one after the other, as in a line written many times.
+    A chain is neighbouring runs of a document up to the next that content alone,
+    or a gap, makes the first of another; so a passage found in many documents has
+    equal chains in all of them, except at its ends.
+    """
+    order = Window.partitionBy("doc_id", "tie").orderBy("at")
+    window = ["more", "lead", "anchor", "content"]
+
+    def numbered(rows: DataFrame, first: Column, name: str) -> DataFrame:
+        rows = rows.withColumn("_first", F.coalesce(first, F.lit(True)).cast("int"))
+        return rows.withColumn(name, F.sum("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def gap(more: str) -> Column:
+        return F.lag(F.col("at") + F.col(more) + 1).over(order) != F.col("at")
+
+    once = mixed.repartition("doc_id", "tie").groupBy("doc_id", "tie", "at", *window).agg(F.count(F.lit(1)).alias("n"))  # equal rows share a place
+    runs = numbered(once, gap("more") | (F.lag(F.struct(*window)).over(order) != F.struct(*window)), "run")
+    whole = (F.max("at") - F.min("at") + F.col("more")).alias("whole")
+    runs = runs.groupBy("doc_id", "tie", "run", *window).agg(F.min("at").alias("at"), whole, F.max("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    chains = numbered(runs, gap("whole") | (F.pmod("content", F.lit(CHAIN)) == 0), "chain")
+    more = (F.max(F.col("at") + F.col("whole")) - F.min("at")).alias("all")
+    chains = chains.groupBy("doc_id", "tie", "chain").agg(F.min("at").alias("at"), more, F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "whole", "times", *window))).alias("runs"))
+    alike = F.transform("runs", lambda r: F.struct(*[r[c] for c in ("times", *window)]))
+    chains = stored(chains.select("doc_id", "tie", "at", "all", "n", "runs", F.xxhash64(alike).alias("name"), F.hash(alike).alias("check")), "chains")
+    place = F.min(F.struct("doc_id", "tie", "at", "runs")).alias("w")
+    kinds = stored(chains.groupBy("name", "check").agg(F.sum("n").alias("n"), place), "chain-kinds")
+    twice = kinds.where("n >= 2").select(F.col("name").alias("_n"), F.col("check").alias("_c"))
+    copied = chains.join(twice, (F.col("name") == F.col("_n")) & (F.col("check") == F.col("_c")), "left_semi").select("doc_id", "tie", "at", F.col("all").alias("more"))
+    single = kinds.select("w.doc_id", "w.tie", "n", F.explode("w.runs").alias("r"))
+    return copied, stored(single.select("doc_id", "tie", *[f"r.{c}" for c in ("at", "whole", *window)], (F.col("n") * F.col("r.times")).alias("n")), "unlike-stretches")
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, tie and spans (array of start, end in bytes, not yet united) of the documents that hold repeated strings."""
     keyed = _keyed(docs)
@@ -456,12 +495,12 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     again = stored(again.where("n >= 2").select("_anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     hit = stored(stretches.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "stretches")
 
-    mixed = hit.where("mixed")
+    copied, mixed = _unlike_chains(hit.where("mixed"))
     place = F.min(F.struct("doc_id", "tie", "at", "more", "lead")).alias("w")
-    kinds = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place), "kinds")
+    kinds = stored(mixed.groupBy("anchor", "content").agg(F.sum("n").alias("n"), place), "kinds")
     whole = kinds.where("n >= 2").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
     equal = mixed.join(whole, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi")
-    equal = hit.where("not mixed").unionByName(equal).select("doc_id", "tie", "at", "more")
+    equal = hit.where("not mixed").select("doc_id", "tie", "at", "more").unionByName(copied).unionByName(equal.select("doc_id", "tie", "at", F.col("whole").alias("more")))
 
     blocks_ = stored(_blocks(_with_texts(keyed, kinds, "at", "more", "lead", "anchor", "n"), length), "blocks")
     place = F.min(F.struct("doc_id", "tie", "at", "more")).alias("w")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from foreshock.llm import repeats
+from foreshock.llm import base, repeats
 
 
 def plain(texts, length):
@@ -120,3 +120,26 @@ def test_spans_of_equal_rows_do_not_add_up(spark):
     assert len(spans) == 2 and all(len(r["spans"]) <= 256 for r in spans)
     few = {len(r["spans"]) for r in repeats.repeated_spans(corpus.frame(spark, [(None, text)] * 3 + [(3, text)])).collect()}
     assert {len(r["spans"]) for r in spans} == few
+
+
+def test_what_many_documents_hold_is_looked_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    line, passage = corpus.prose(rng, 9) + "\n", corpus.prose(rng, 300)
+    # A line written many times, differently often; a long passage at different distances from the text's start; equal rows.
+    texts = [corpus.prose(rng, 5 + i % 7) + " " + line * (9 + i % 4) + corpus.prose(rng, 8) + " " + passage + corpus.prose(rng, 4) for i in range(40)]
+    data = [*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, texts[5])]
+    kept = {}
+
+    def stored(df, name):
+        kept[name] = table = base.stored(df, name)
+        return table
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    got = {(r["doc_id"], r["text"]): (bytes(r["kept"]), r["n_spans"]) for r in repeats.remove_repeats(corpus.frame(spark, data)).collect()}
+    for (i, t), expected in zip(data, plain([t for _, t in data], 200), strict=True):
+        assert got[i, t] == expected
+    mixed, single = kept["stretches"].where("mixed"), kept["unlike-stretches"]
+    assert single.agg({"n": "sum"}).first()[0] == mixed.count()
+    assert 2 * single.count() < mixed.count()
+    most = [d.groupBy("anchor", "content").count().agg({"count": "max"}).first()[0] for d in (single, mixed)]
+    assert 3 * most[0] < most[1], most
