@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from foreshock.functions.blocked import running_sum
 from foreshock.functions.expr import KEY_MODULUS, literal_table, shuffle_key
-from foreshock.functions.reuse import join_back
+from foreshock.functions.reuse import join_back, keep
 from foreshock.operators import nearest
 
 SLICES = 64
 #: Blocks that a search has at least, the vectors each of them has then, and most partitions that pairs of blocks are dealt over.
 BLOCKS, BLOCK_LEAST, MOST_PARTS = 8, 1024, 4096
+#: Columns of candidates.
+NEAR = "query_id long, train_id long, label double, dist double"
 
 
 def with_seeds(labels: DataFrame, seeds: Sequence[int]) -> DataFrame:
@@ -157,7 +159,9 @@ def knn(
     ``block_rows`` by id, each pair of blocks is one co-group whose task bounds
     the distances by a matrix product, measures those that may count
     (:mod:`foreshock.operators.nearest`) and returns only the k best per query,
-    and the few candidates per query are merged.
+    and the few candidates per query are merged.  If both are the same table, a
+    pair of blocks is looked at once for both, within the distances that the
+    blocks themselves give.
     """
     if k < 1 or p < 1 or weights not in ("uniform", "distance"):
         raise ValueError("bad k, p or weights")
@@ -166,6 +170,8 @@ def knn(
         # Enough pairs of blocks to keep many tasks busy, unless there is little to do.
         return max(1, -(-n // block_rows), min(BLOCKS, n // BLOCK_LEAST))
 
+    if query is train:
+        return _vote(_within_one(train, k, p, blocks_of(train.count())), k, weights)
     q_blocks, t_blocks = blocks_of(query.count()), blocks_of(train.count())
     parts = min(4 * q_blocks * t_blocks, MOST_PARTS)
 
@@ -193,8 +199,53 @@ def knn(
     partial = (
         left.select("query_id", "vector", pair).repartition(parts, "pair").groupBy("pair")
         .cogroup(right.select("train_id", "vector", "label", pair).repartition(parts, "pair").groupBy("pair"))
-        .applyInPandas(tile, "query_id long, train_id long, label double, dist double")
+        .applyInPandas(tile, NEAR)
     )
+    return _vote(partial, k, weights)
+
+
+def _within_one(table: DataFrame, k: int, p: int, blocks: int) -> DataFrame:
+    """Candidates (query_id, train_id, label, dist) of a table's rows among its own: every unordered pair of blocks is one group."""
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, label, x = rows["id"].to_numpy(), rows["label"].to_numpy(), np.stack(rows["vector"].to_list())
+        i, j, d = nearest.nearest_others(ids, x, ids, x, k, p)
+        start, end = np.searchsorted(i, np.arange(len(ids))), np.searchsorted(i, np.arange(len(ids)), side="right")
+        far = np.full(len(ids), np.inf)
+        full = end - start == k
+        far[full] = d[end[full] - 1]
+        parts = {n: np.split(v, start[1:]) for n, v in (("train_id", ids[j]), ("near_label", label[j]), ("dist", d))}
+        return rows.assign(far=far, **parts)
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        lower = (rows["block"] == rows["block"].min()).to_numpy()
+        sides = [(g["id"].to_numpy(), np.stack(g["vector"].to_list()), g["far"].to_numpy(), g["label"].to_numpy()) for g in (rows[lower], rows[~lower]) if len(g)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        if len(sides) == 2:
+            both = nearest.between(*sides[0][:3], *sides[1][:3], k, p)
+            found += [(q[0][i], t[0][j], t[3][j], d) for (i, j, d), q, t in zip(both, sides, sides[::-1], strict=True)]
+        return pd.DataFrame(dict(zip(["query_id", "train_id", "label", "dist"], map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = table.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("label").cast("double").alias("label"), block.alias("block"))
+    # Read twice: for what a block's rows find in their own block, and for the limits this gives in others.
+    first = keep(
+        rows.repartition(min(4 * blocks, MOST_PARTS), "block").groupBy("block")
+        .applyInPandas(own, "id long, vector array<double>, label double, block int, far double, train_id array<long>, near_label array<double>, dist array<double>")
+    )
+    near = first.select(F.col("id").alias("query_id"), F.inline(F.arrays_zip("train_id", "near_label", "dist"))).toDF("query_id", "train_id", "label", "dist")
+    near = near.withColumn("label", F.nullif("label", F.lit(float("nan"))))  # a missing label
+    if blocks == 1:
+        return near
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    pair = F.least("block", "other") * F.lit(blocks) + F.greatest("block", "other")
+    sent = first.select("id", "vector", "label", "block", "far", other).where("block <> other").select("id", "vector", "label", "block", "far", pair.alias("pair"))
+    parts = min(2 * blocks * (blocks - 1), MOST_PARTS)
+    return near.union(sent.repartition(parts, "pair").groupBy("pair").applyInPandas(tile, NEAR))
+
+
+def _vote(partial: DataFrame, k: int, weights: str) -> DataFrame:
+    """Share of the labels of the k nearest of each query's candidates."""
     final = Window.partitionBy("query_id").orderBy("dist", "train_id")
     best = partial.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= k)
     if weights == "uniform":

@@ -125,6 +125,54 @@ def test_nearest_measures_few_pairs_and_misses_none(monkeypatch, p, k):
     assert pairs[0] < 0.35 * len(rows) * len(x)
 
 
+@pytest.mark.parametrize("p,weights", [(1, "distance"), (2, "uniform"), (3, "uniform")])
+def test_knn_in_one_table_looks_at_a_pair_of_blocks_once(spark, p, weights):
+    rng = np.random.default_rng(8)
+    x, y, k = rng.integers(0, 4, (90, 3)) + 0.5, [None if i % 17 == 0 else float(i % 2) for i in range(90)], 4  # copies and ties
+    table = spark.createDataFrame([(3 * i, [float(v) for v in r], c) for i, (r, c) in enumerate(zip(x, y))], "id long, vector array<double>, label double")
+    got = {r["query_id"]: (r["p"], r["kth_distance"]) for r in sampling.knn(table, table, k, p, weights, block_rows=16).collect()}
+    assert len(got) == 90
+    for i in range(90):
+        d = np.round((np.abs(x - x[i]) ** p).sum(axis=1) ** (1 / p), 9)
+        near = [j for j in np.lexsort((np.arange(90), d)) if j != i][:k]
+        w = np.ones(k) if weights == "uniform" else (d[near] == 0) * 1.0 if (d[near] == 0).any() else 1 / d[near]
+        voted = [w[a] * y[j] for a, j in enumerate(near) if y[j] is not None]
+        assert got[3 * i][1] == d[near].max() and (np.isclose(got[3 * i][0], sum(voted) / w.sum()) if voted else got[3 * i][0] is None)
+    candidates = sampling._within_one(table, k, p, 6)
+    assert "CoGroup" not in candidates._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("p,k", [(1, 3), (2, 6), (3, 1)])
+def test_two_blocks_find_each_other_by_one_product(monkeypatch, p, k):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2300, 16))
+    x[100:200], x[1200:1300], x[1300:1400] = x[5], x[5], x[6] + 1e-7 * rng.normal(size=(100, 16))  # copies and near copies
+    x[300, 0], x[1500, 1], x[302] = np.nan, np.inf, 1e9
+    ids = rng.permutation(2300)
+    ids[1600] = ids[7]  # one id on both sides
+    a, b = np.arange(0, 1100), np.arange(1100, 2300)
+    with np.errstate(invalid="ignore"):
+        far = np.array([np.round((np.abs(x[b] - x[r]) ** p).sum(axis=1) ** (1 / p), 9) for r in a])
+    far[(ids[a][:, None] == ids[b][None, :]) | ~np.isfinite(far)] = np.inf
+    limits = []
+    for d in (far, far.T):  # some rows without a limit, some with one that leaves out most
+        limit = np.sort(d, axis=1)[:, k] * 1.01
+        limit[::9] = np.inf
+        limit[::7] *= 0.9
+        limits.append(np.where(np.isnan(limit), np.inf, limit))
+    work, measured = [0], nearest.measured
+    monkeypatch.setattr(nearest, "measured", lambda q, t, i, *rest: work.__setitem__(0, work[0] + len(i)) or measured(q, t, i, *rest))
+    monkeypatch.setattr(nearest, "FOUND", 3000)
+    found = nearest.between(ids[a], x[a], limits[0], ids[b], x[b], limits[1], k, p)
+    for (i, j, d), mine, other, all_d, limit in zip(found, (a, b), (b, a), (far, far.T), limits):
+        got, want = list(zip(i.tolist(), ids[other][j].tolist(), d.tolist())), []
+        for r in range(len(mine)):
+            best = [c for c in np.lexsort((ids[other], all_d[r]))[:k] if all_d[r][c] <= limit[r] and np.isfinite(all_d[r][c])]
+            want += [(r, int(ids[other][c]), float(all_d[r][c])) for c in best]
+        assert sorted(got) == sorted(want)
+    assert work[0] < 0.5 * far.size
+
+
 def test_knn_of_one_vector_many_times(spark):
     same = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), (F.col("id") % 2).cast("double").alias("label"))
     got = sampling.knn(same, same, 3, 1, "distance", block_rows=1000)
