@@ -28,6 +28,10 @@ from foreshock.llm.text import rounds, to_batch
 
 #: Words kept per Python worker; about 250 bytes each.  The ones before are looked up until there are as many again.
 CACHED_WORDS = 400_000
+#: Words encoded in one call; longer texts cost the tokenizer more a word.
+WORDS_A_CALL = 100
+#: Bytes of text whose distinct chunks are looked up at once.
+LOOKED_UP = 4 << 20
 #: What may follow a word's letters as one token of the splitting rule.
 MARKS = ".,;:!?#*$%&|<>"
 #: Pieces per block in which ranks are counted.
@@ -61,8 +65,8 @@ class WordTokenizer:
     def _learn(self, chunks: list[str]) -> None:
         # A chunk of Latin letters is one word to the tokenizer: many are encoded in one call and cut at word ends.
         words = [c for c in chunks if _latin(c)]
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
+        for at in range(0, len(words), WORDS_A_CALL):
+            some = words[at : at + WORDS_A_CALL]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
@@ -102,7 +106,7 @@ class WordTokenizer:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        ids = self._look_up(coded.dictionary.to_pylist())
+        ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # strings in one call, not one scalar each
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         chunk = coded.indices.to_numpy()
@@ -137,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
             + ([("ids", pa.binary())] if with_ids else [])
         )
         tok = _tokenizer(tokenizer_path)
-        for b in rounds(batches):
+        for b in rounds(batches, LOOKED_UP):
             rows: dict[str, list] = {f.name: [] for f in out}
             ids = tok.encode(b.column("text"))
             for doc, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):

@@ -98,3 +98,34 @@ def test_words_with_marks_are_learned_with_others():
     assert tok.encode(texts) == want and not spy.calls
     tok.known, tok.before = {"": b""}, tok.known
     assert tok.encode(texts) == want and not spy.calls
+
+
+def test_distinct_chunks_become_strings_in_one_call_and_are_encoded_in_short_ones(monkeypatch):
+    class Whole:
+        """An array that does not give its values one by one."""
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            assert name not in ("to_pylist", "__iter__")
+            found = getattr(self.inner, name)
+            if name in ("flatten", "dictionary_encode"):
+                return lambda: Whole(found())
+            return Whole(found) if name == "dictionary" else found
+
+    split = packing.pc.split_pattern
+    monkeypatch.setattr(packing.pc, "split_pattern", lambda *a: Whole(split(*a)))
+    tok = packing.WordTokenizer(queries.WORD_TOKENIZER)
+    plain, calls = tok.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    tok.tokenizer = Spy()
+    words = [a + b + c for a in "bcdfgh" for b in "aeiou" for c in ("l", "mut", "n\u00e9", "rst", "\u00fc", "x", "z")]
+    text = " ".join(words)
+    assert tok.encode([text, None]) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
+    assert len(words) == 210 and sorted(len(t.split()) for call in calls for t in call) == [10, 100, 100]
